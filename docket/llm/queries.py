@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import chat
+from docket.llm import chat, quality, secrets, warc
+from docket.llm.shared import new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +72,95 @@ select conv_id,
 from marked group by conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat_format": op1_chat_format}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), path)
+    return (
+        warc.read_archives(spark, path, payloads=False)
+        .where("gap_reason is null")
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    )
+
+
+OP2_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body)::bigint as payload_bytes, sha256(body) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and first_id <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to
+from f
+"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.figures(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return quality.verdicts(written(scored, "quality")).select(
+        "doc_id", *quality.FIGURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate")
+    )
+
+
+OP4_SQL = r"""
+with docs as (
+  select doc_id, source, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), grams as (
+  select doc_id, i, words[i] || ' ' || words[i+1] || ' ' || words[i+2] || ' ' || words[i+3] || ' ' || words[i+4] as gram
+  from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from docs)
+), repeats as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as c from grams) where c > 1
+), marked as (
+  select doc_id, count(distinct i + k)::bigint as n_repeat_words from repeats, (select unnest(range(0, 5)) as k) group by doc_id
+), figures as (
+  select docs.doc_id, source, len(words)::bigint as n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from docs left join marked on docs.doc_id = marked.doc_id
+), judged as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from figures
+), hosts as (
+  select source, count(*) as n, sum(case when base_failed then 1 else 0 end) as f from judged group by source
+), moments as (
+  select sum(f) / sum(n) as m, coalesce(var_samp(f / n), 0) as v, avg(1 / n) as r from hosts
+), prior as (
+  select m, case when greatest(v - m * (1 - m) * r, 0) > 0
+    then greatest(m * (1 - m) / greatest(v - m * (1 - m) * r, 0) - 1, 1) else 1 end as s from moments
+), rates as (
+  select source, (f + m * s) / (n + s) as rate from hosts, prior
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and rate < 0.5 as kept, round(rate, 6) as host_rate
+from judged join rates on judged.source is not distinct from rates.source
+"""
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.joined(spans, secrets.KINDS[:3]), 256).alias("base_sha256"),
+        secrets.joined(spans).alias("spans"),
+    )
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_warc": op2_warc,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+    "op2_warc": OP2_SQL,
+    "op4_quality_rules": OP4_SQL,
+}
