@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import chat, quality, secrets, warc
+from docket.llm import chat, decontaminate, language, quality, secrets, sentencepiece_bpe, warc, wordpiece
 from docket.llm.shared import new_path, written
 
 
@@ -153,11 +154,52 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(spans).alias("spans"),
     )
 
+
+def tokenizer_file(name: str) -> str:
+    """Where the vocabulary file of a public tokenizer lies."""
+    return public_tokenizers.path(name)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.count_tokens(documents, tokenizer_file("byte_bpe_50k.json")).select(
+        "doc_id", "n_words", "n_tokens"
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each item found in a document; documents without leaks give none."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(documents, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_bpe.encode(documents, tokenizer_file("piece_bpe_32k.model")).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.held_out(F.col("doc_id"))
+    identifier = language.fit(documents.where(~held_out & F.col("doc_id").isNotNull()))
+    found = language.identify(documents.select("doc_id", "text", held_out.alias("held_out")), identifier)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_warc": op2_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,

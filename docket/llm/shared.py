@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Inside a character class of a Java, Python or RE2 pattern: the white space that ends a word.
 BLANKS = r" \t\n\x0B\f\r"
@@ -64,3 +68,27 @@ def components(edges: DataFrame) -> DataFrame:
                 after.select("b", "b").distinct()
             )
         edges = after
+
+
+def with_python_columns(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[list]]], ddl: str, rows: int = 256
+) -> DataFrame:
+    """`df` with the columns of `ddl` added, replacing any of their names.
+
+    `make()` runs once in each task and gives a function from a slice of at most `rows` rows to one list of values per
+    new column, so that a task holds the new values of one slice at a time.
+    """
+    added = T.StructType.fromDDL(ddl)
+    kept = df.drop(*added.names)
+    schema = T.StructType([*kept.schema.fields, *added.fields])
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                new = [pa.array(values, kind) for values, kind in zip(function(part), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], schema.names)
+
+    return kept.mapInArrow(run, schema)
