@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import chat, decontaminate, language, quality, secrets, sentencepiece_bpe, warc, wordpiece
+from docket.llm import chat, decontaminate, jaccard, language, quality, secrets, sentencepiece_bpe, warc, wordpiece
 from docket.llm.shared import new_path, written
 
 
@@ -94,6 +94,10 @@ from f
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.figures(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return quality.verdicts(written(scored, "quality")).select(
@@ -194,6 +198,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_warc": op2_warc,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
