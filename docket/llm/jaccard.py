@@ -74,23 +74,25 @@ class Powers:
             cls.down = np.cumprod(steps)
 
 
-def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """The distinct shingles of each text, as sorted 64-bit hashes."""
-    encoded = [(t or "").encode("utf-8", "replace").lower() for t in texts]
-    sizes = np.array([len(e) + 1 for e in encoded], np.int64)
-    data = np.frombuffer(b" ".join([*encoded, b""]), np.uint8)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all texts, in order, and the index of each text's first word (and one past the last)."""
+    sizes = np.array([len(e) + 1 for e in texts], np.int64)
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    blank = IS_BLANK[data]
-    inside = np.flatnonzero(~blank)
+    inside = np.flatnonzero(~IS_BLANK[data])
     if not len(inside):
-        return [np.zeros(0, np.uint64)] * len(texts)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     edge = np.flatnonzero(np.diff(inside) > 1)
     begin = inside[np.concatenate([[0], edge + 1])]
     end = inside[np.append(edge, len(inside) - 1)] + 1
     Powers.to(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_values()[data] * Powers.up[: len(data)])])
-    word = mixed((sums[end] - sums[begin]) * Powers.down[begin])
-    first = np.searchsorted(begin, bounds)
+    return mixed((sums[end] - sums[begin]) * Powers.down[begin]), np.searchsorted(begin, bounds)
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, as sorted 64-bit hashes."""
+    word, first = word_hashes([(t or "").encode("utf-8", "replace").lower() for t in texts])
     factors = mixed(np.arange(1001, 1001 + words, dtype=np.uint64))
     n = max(0, len(word) - words + 1)
     joined = np.zeros(n, np.uint64)
