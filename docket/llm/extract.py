@@ -341,6 +341,8 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     body = "".join(before) + start + inner + end + "".join(after)
     if wrap:
         body = f'<div class="{wrap}">{body}</div>'
+    if rng.random() < 0.15:
+        return body, main
     return f"<html><head><title>{prose(1, 9)}</title></head><body>{body}</body></html>", main
 
 
