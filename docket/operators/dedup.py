@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.functions.lineage import written
 from docket.functions.similarity import indel_ratio, similar_strings
 from docket.functions.text import blank_to_null, strip
 
@@ -222,20 +223,20 @@ def settle_in_order(pairs: DataFrame, rows: DataFrame, most_rounds: int = 100) -
     of them is kept. Ends when all are settled; a chain of n rows takes n rounds.
     """
     open_rows = rows.select("id").distinct()
-    edges = pairs.where("earlier < later").distinct()
-    kept, dropped = None, None
+    edges = written(pairs.where("earlier < later").select("earlier", "later").distinct(), "pairs")
+    settled = []
     for _ in range(most_rounds):
-        waiting = edges.select(F.col("later").alias("id")).distinct()
-        free = open_rows.join(waiting, "id", "left_anti")
-        gone = edges.join(free.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("id")).distinct()
-        kept = free if kept is None else kept.union(free)
-        dropped = gone if dropped is None else dropped.union(gone)
-        open_rows = open_rows.join(free, "id", "left_anti").join(gone, "id", "left_anti").cache()
-        edges = edges.join(free.union(gone).withColumnRenamed("id", "earlier"), "earlier", "left_anti")
-        edges = edges.join(gone.withColumnRenamed("id", "later"), "later", "left_anti").cache()
+        free = open_rows.join(edges.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
+        gone = edges.join(free.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"))
+        now = free.select("id", F.lit(True).alias("kept")).union(gone.distinct().select("id", F.lit(False)))
+        settled.append(written(now, "settled"))
+        done = settled[-1].select("id")
+        open_rows = written(open_rows.join(done, "id", "left_anti"), "open")
+        edges = edges.join(done.withColumnRenamed("id", "earlier"), "earlier", "left_anti")
+        edges = written(edges.join(done.withColumnRenamed("id", "later"), "later", "left_anti"), "pairs")
         if open_rows.isEmpty():
             break
-    return kept.select("id", F.lit(True).alias("kept")).union(dropped.distinct().select("id", F.lit(False).alias("kept")))
+    return reduce(DataFrame.union, settled)
 
 
 def name_ratio(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.functions.lineage import written
 from docket.functions.text import first_filled
 from docket.operators import dedup, geocode, persist
 from docket.operators.validate import validate
@@ -41,10 +42,12 @@ class Ingest:
         checked = validate(records.drop("is_duplicate", "duplicate_reason"), self.as_of)
         if self.gazetteer is not None:
             checked = geocode.enrich(checked, self.gazetteer)
+        checked = written(checked, "checked")
         valid = checked.where("is_valid")
         found = dedup.check_duplicates(
             valid, stored["cases"], stored["locations"], stored["people"], stored["vehicles"], self.config, self.window_days
         ).withColumnRenamed("reason", "duplicate_reason")
+        found = written(found, "duplicates")
         fresh = valid.join(found.where("not is_duplicate").select("row_id"), "row_id", "left_semi")
         key = first_filled(F.col("case_number"), F.col("fir_number"))
         later = dedup.first_wins(fresh.select("row_id", key.alias("_number")), F.col("_number"), "row_id")
@@ -60,7 +63,7 @@ class Ingest:
         ).drop("_earlier")
 
     def tables(self, outcomes: DataFrame, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        return persist.persist(outcomes.where("outcome = 'Inserted'"), stored)
+        return persist.persist(written(outcomes.where("outcome = 'Inserted'"), "accepted"), stored)
 
 
 def reply_records(replies: DataFrame) -> DataFrame:

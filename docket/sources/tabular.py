@@ -62,6 +62,8 @@ REQUIRED = ("fir_number", "crime_type", "incident_date")
 #: Encodings in the order they are tried, and file extensions.
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "ascii")
 EXTENSIONS = (".csv", ".xlsx", ".xls")
+#: How much of a file tells its encoding.
+HEAD = 1 << 20
 ALIASES = {alias: name for name, listed in HEADERS.items() for alias in listed.split(", ")}
 
 
@@ -92,10 +94,10 @@ def clean_cells(df: DataFrame) -> DataFrame:
 
 
 def guess_encoding(head: bytes) -> str:
-    """The first encoding that decodes the bytes; a character cut off at their end is no error."""
+    """The first encoding that decodes the first bytes of a file; where the file goes on, the last character may be cut off."""
     for name in ENCODINGS:
         try:
-            codecs.getincrementaldecoder(name)().decode(head, False)
+            codecs.getincrementaldecoder(name)().decode(head, len(head) < HEAD)
             return name
         except UnicodeDecodeError:
             continue
@@ -105,7 +107,7 @@ def guess_encoding(head: bytes) -> str:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A file or folder of CSV with a header, all columns as strings. Malformed rows fail the read."""
     if encoding is None:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20)).limit(1).collect()
+        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD)).limit(1).collect()
         encoding = guess_encoding(bytes(head[0][0])) if head else "utf-8"
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     return reader.option("mode", "FAILFAST").option("encoding", encoding.replace("-sig", "")).csv(path)
