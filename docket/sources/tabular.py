@@ -62,6 +62,8 @@ REQUIRED = ("fir_number", "crime_type", "incident_date")
 #: Encodings in the order they are tried, and file extensions.
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "ascii")
 EXTENSIONS = (".csv", ".xlsx", ".xls")
+#: What Spark calls encodings. It knows no cp1252, which is never reached, as latin-1 decodes any bytes.
+CHARSETS = {"utf-8-sig": "utf-8", "latin-1": "iso-8859-1", "ascii": "us-ascii"}
 #: How much of a file tells its encoding.
 HEAD = 1 << 20
 ALIASES = {alias: name for name, listed in HEADERS.items() for alias in listed.split(", ")}
@@ -110,7 +112,8 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
         head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD)).limit(1).collect()
         encoding = guess_encoding(bytes(head[0][0])) if head else "utf-8"
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return reader.option("mode", "FAILFAST").option("encoding", encoding.replace("-sig", "")).csv(path)
+    charset = CHARSETS.get(encoding, encoding)
+    return reader.option("mode", "FAILFAST").option("encoding", charset).csv(path)
 
 
 def sheet_rows(content: bytes) -> list[list[str | None]]:
