@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docket.functions.lineage import written
 from docket.functions.text import blank_to_null, first_filled, strip
 
 ROLE_OF = {"victims": "Victim", "suspects": "Suspect", "witnesses": "Witness", "officers": "Officer"}
@@ -15,11 +16,12 @@ ROLE_OF = {"victims": "Victim", "suspects": "Suspect", "witnesses": "Witness", "
 def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """`df` with `name`: start + 1, 2, ... in the order of the columns `order`, which have to be unique.
 
-    Rows are sorted over all partitions; each partition's count is added up on the driver (a number per partition), and
-    the numbers go out from there. No partition holds all rows.
+    Rows are dealt out by range and written, as a range's bounds come from a sample that could differ in a second run.
+    Each range's count is added up on the driver (a number per partition), and the numbers go out from there. No
+    partition holds all rows.
     """
-    ranged = df.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order)
-    placed = ranged.withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*(F.col(c) for c in order))
+    placed = written(ranged.withColumn("_part", F.spark_partition_id()), "numbered")
     counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
     offsets, total = [], start
     for part in range(max(counts, default=-1) + 1):
