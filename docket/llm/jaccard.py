@@ -6,8 +6,8 @@ shingles: all elements are put in one order, rare ones first, and a document bel
 and is replicated to those of the next ones that a partner within the threshold could have as its first
 (n - ceil(t n) + 1 elements of n). Two linked documents meet in a region at least.
 
-Within a region the recursion begins. The document with the smallest class is its pivot, all others are verified against it;
-links join components. What is left of the region are the other documents; if they are of one component, it is done.
+Within a region the recursion begins. The document with the fewest elements of its own is its pivot, all others that may
+link are verified against it; links join components. What is left of the region are the other documents; if they are of one component, it is done.
 Small regions then verify their pairs across components, within windows: |d(x, p) - d(y, p)| beyond the threshold's
 distance excludes x, y by the triangle inequality. Larger regions get the next pivot. A group of thousands of near copies
 is thus one component after a star or two, and its pairs are never listed.
@@ -171,12 +171,11 @@ def describe(documents: DataFrame, words: int, percent: int, ranks: np.ndarray)
             texts = b.column("text").to_pylist()
             for i, j in slices(texts):
                 sets = [ordered(s, shared.value) for s in shingle_sets(texts[i:j], words)]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=8).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([d and int.from_bytes(d, "little", signed=True) for d in digests], pa.int64()),
+                        pa.array([class_of(s) for s in sets], pa.int64()),
                         lists([s[: prefix_size(len(s), percent)] for s in sets]),
                     ],
                     ["doc_id", "n", "class", "keys"],
@@ -187,116 +186,195 @@ def describe(documents: DataFrame, words: int, percent: int, ranks: np.ndarray)
 
 
 def full_sets(documents: DataFrame, words: int, ranks: np.ndarray) -> DataFrame:
-    """(class, elements) of `documents` (class, text)."""
+    """(class, elements) of `documents` (class, text); rows whose text is not of that class are left out."""
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts, classes = b.column("text").to_pylist(), b.column("class").to_pylist()
             for i, j in slices(texts):
                 sets = [ordered(s, shared.value) for s in shingle_sets(texts[i:j], words)]
-                yield pa.RecordBatch.from_arrays([b.column("class").slice(i, j - i), lists(sets)], ["class", "elements"])
+                right = [(c, s) for c, s in zip(classes[i:j], sets) if class_of(s) == c]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for c, _ in right], pa.int64()), lists([s for _, s in right])], ["class", "elements"]
+                )
 
     return documents.select("class", "text").mapInArrow(run, "class long, elements array<long>")
 
 
-def sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def class_of(elements: np.ndarray) -> int | None:
+    if not len(elements):
+        return None
+    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+
 
+def may_link(n_a: str, most_a: str, n_b: str, most_b: str, percent: int) -> Column:
+    """Whether sizes and largest overlaps of two classes leave room for a link."""
+    overlap = F.least(most_a, most_b)
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & (100 * overlap >= percent * (F.col(n_a) + F.col(n_b) - overlap))
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`pairs` (a, b) with their distance and whether they link: exact intersection and union of the elements."""
-    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("of_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    counted = pairs.join(left, "a").join(right, "b").select(
-        "a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sizes")
-    )
-    either = F.col("sizes") - F.col("common")
-    return counted.select(
-        "a", "b", (1 - F.col("common") / either).alias("distance"), (100 * F.col("common") >= percent * either).alias("linked")
-    )
+
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """`df`, to be broadcast if it has few rows (of two or three numbers); otherwise Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+class Verifier:
+    """Exact distances of pairs of classes.
+
+    Linked sets of n and m elements share at least o = ceil(t (n + m) / (1 + t)). Of their shared elements, the first
+    o + 1 - ceil(t max(n, m)) are among the elements of both that give the regions. Pairs with fewer there are settled by
+    those elements alone; for the others the whole sets are made from the texts again.
+    """
+
+    def __init__(self, documents: DataFrame, described: DataFrame, words: int, percent: int, ranks: np.ndarray):
+        self.documents, self.words, self.percent, self.ranks = documents, words, percent, ranks
+        self.described = described.where("class is not null and doc_id is not null")
+        self.classes = written(self.described.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
+
+    def holders(self, pairs: DataFrame) -> DataFrame:
+        """(class, doc_id) of the classes in `pairs`."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        return written(self.classes.join(ids, "class", "left_semi"), "holders")
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """`pairs` (a, b) with distance (null if settled early) and linked."""
+        pairs = written(pairs, "pairs")
+        heads = self.described.join(small(self.holders(pairs)), ["class", "doc_id"]).select("class", "n", "keys")
+        heads = written(heads, "heads")
+        n, m = F.col("n_a"), F.col("n_b")
+        overlap = F.ceil(self.percent * (n + m) / (100 + self.percent) - 1e-9)
+        need = overlap + 1 - F.ceil(self.percent * F.greatest(n, m) / 100 - 1e-9)
+        close = written(
+            self.joined(pairs, heads.withColumnRenamed("keys", "of"), ["n", "of"])
+            .where(F.size(F.array_intersect("of_a", "of_b")) >= need)
+            .select("a", "b")
+            .distinct(),
+            "close",
+        )
+        if close.isEmpty():
+            return pairs.withColumns({"distance": F.lit(None).cast("double"), "linked": F.lit(False)})
+        texts = self.documents.select(F.col("doc_id").cast("long"), "text").join(small(self.holders(close)), "doc_id")
+        sets = written(full_sets(texts, self.words, self.ranks), "sets").withColumnRenamed("elements", "of")
+        common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
+        either = (F.size("of_a") + F.size("of_b")).cast("long") - F.col("common")
+        counted = self.joined(close, sets, ["of"]).withColumn("common", common).withColumn("either", either)
+        exact = counted.select(
+            "a",
+            "b",
+            (1 - F.col("common") / F.col("either")).alias("distance"),
+            (100 * F.col("common") >= self.percent * F.col("either")).alias("linked"),
+        ).distinct()
+        return written(
+            pairs.join(exact, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "checked"
+        )
+
+    @staticmethod
+    def joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        """`pairs` with the columns of `table` (class, ...) for both, as name_a and name_b."""
+        for side in ("a", "b"):
+            own = table.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+            pairs = pairs.join(own, side)
+        return pairs
 
 
 def class_links(documents: DataFrame, described: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame | None:
-    """Component roots (id, root) of classes that link with others; None if there are no candidates."""
-    keyed = described.where("class is not null and doc_id is not null")
-    rows = keyed.select(F.explode("keys").alias("key"), "class", "n")
-    shared = (
-        rows.groupBy("key")
-        .agg(F.min(F.struct("class", "n")).alias("pivot"), F.max("class").alias("last"))
-        .where("pivot.class <> last")
-        .select("key", "pivot")
-    )
-    live = written(rows.join(shared, "key").distinct(), "regions")
-    members = written(
-        live.select("class")
-        .distinct()
-        .join(keyed.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class"),
-        "members",
-    )
-    if members.isEmpty():
+    """Component roots (id, root) of classes that link with others; None if there are none."""
+    rows = described.where("class is not null and doc_id is not null").select(F.explode("keys").alias("key"), "class", "n")
+    shared = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    live = with_pivots(bounded(written(rows.join(shared, "key").distinct(), "shared"), percent))
+    live = written(live, "regions")
+    if live.isEmpty():
         return None
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id")
-    sets = written(full_sets(texts, words, ranks), "sets").dropDuplicates(["class"])
-    return resolve(live, sets, percent)
+    return resolve(live, Verifier(documents, described, words, percent, ranks))
+
+
+def bounded(live: DataFrame, percent: int) -> DataFrame:
+    """`live` (key, class, n) with `most`, the largest overlap that a class can have with any other.
+
+    Of its elements that give regions, those in no other class are in no overlap. Classes that can't link are left out.
+    """
+    given = F.col("n") - F.ceil(percent * F.col("n") / 100 - 1e-9) + 1
+    most = F.col("n") - (given - F.col("here"))
+    counted = live.groupBy("class", "n").agg(F.count("*").alias("here")).select("class", most.alias("most"), "n")
+    able = counted.where(100 * F.col("most") >= percent * F.col("n")).select("class", "most")
+    return live.join(able, "class")
 
 
-def resolve(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Pivot rounds over regions `live` (key, class, n, pivot (class, n)) until no region can hold an unknown link."""
+def with_pivots(live: DataFrame) -> DataFrame:
+    """`live` with the pivot of each region, the class with the smallest share of elements of its own: most others link to it.
+
+    Regions of one class or one component are left out.
+    """
+    extra = {"root": F.col("class"), "distance": F.lit(None).cast("double")}
+    live = live.withColumns({k: v for k, v in extra.items() if k not in live.columns})
+    rank = (1 - F.col("most") / F.col("n")).alias("rank")
+    regions = (
+        live.groupBy("key")
+        .agg(
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+            F.count("*").alias("size"),
+            F.min(F.struct(rank, "class", "n", "most", "root", "distance")).alias("pivot"),
+        )
+        .where("low <> high")
+        .select("key", "size", "pivot")
+    )
+    return live.join(regions, "key")
+
+
+def resolve(live: DataFrame, verifier: Verifier) -> DataFrame | None:
+    """Pivot rounds over regions `live` (as of with_pivots()) until no region can hold an unknown link."""
+    percent = verifier.percent
     reach = 1 - percent / 100 + 1e-9
-    heavy = F.lit(True)
-    live = live.withColumns({"distance": F.lit(None).cast("double"), "root": F.col("class"), "size": F.lit(0).cast("long")})
-    links, tested, roots = None, None, None
+    links, tested, roots, before = None, None, None, 0
     for turn in range(PIVOT_ROUNDS + 2):
-        last = turn > PIVOT_ROUNDS
-        heavy = F.lit(not last) if turn in (0, PIVOT_ROUNDS + 1) else F.col("size") > SMALL_REGION
+        count = live.count()
+        if turn == 0:
+            heavy = F.lit(True)
+        elif turn > PIVOT_ROUNDS or turn > 1 and count > 0.7 * before:
+            heavy = F.lit(False)
+        else:
+            heavy = F.col("size") > SMALL_REGION
+        before = count
         star = live.where(heavy & (F.col("class") != F.col("pivot.class"))).where(
-            sizes_allow(F.col("n"), F.col("pivot.n"), percent)
+            may_link("n", "most", "pivot.n", "pivot.most", percent)
         )
         if turn:
             star = star.where(F.col("root") != F.col("pivot.root"))
             star = star.where(windowed(F.col("distance"), F.col("pivot.distance"), reach))
         pairs = star.select(F.col("pivot.class").alias("a"), F.col("class").alias("b"))
         if turn:
-            small = live.where(~heavy)
-            x, y = small.alias("x"), small.alias("y")
+            listed = live.where(~heavy)
+            x, y = listed.alias("x"), listed.alias("y")
             across = x.join(y, F.col("x.key") == F.col("y.key")).where(
                 (F.col("x.class") < F.col("y.class"))
                 & (F.col("x.root") != F.col("y.root"))
-                & sizes_allow(F.col("x.n"), F.col("y.n"), percent)
+                & may_link("x.n", "x.most", "y.n", "y.most", percent)
                 & windowed(F.col("x.distance"), F.col("y.distance"), reach)
             )
             pairs = pairs.union(across.select("x.class", "y.class"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = written(verified(pairs, sets, percent), "checked")
+        checked = verifier.check(pairs)
         found = checked.where("linked").select("a", "b")
         links = found if links is None else links.union(found)
         tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
         if not found.isEmpty():
             roots = components(links)
-        rest = live.where(heavy & (F.col("class") != F.col("pivot.class"))).drop("distance", "root", "size")
-        distances = checked.select(F.col("a").alias("_a"), F.col("b").alias("class"), "distance")
+        rest = live.where(heavy & (F.col("class") != F.col("pivot.class"))).select("key", "class", "n", "most", "pivot")
+        distances = checked.where("distance is not null").select(F.col("a").alias("_a"), F.col("b").alias("class"), "distance")
         rest = rest.withColumn("_a", F.col("pivot.class")).join(distances, ["_a", "class"], "left").drop("_a", "pivot")
         if roots is not None:
             rest = rest.join(roots.withColumnRenamed("id", "class"), "class", "left")
         else:
             rest = rest.withColumn("root", F.lit(None).cast("long"))
         rest = written(rest.withColumn("root", F.coalesce("root", "class")), "rest")
-        open_regions = (
-            rest.groupBy("key")
-            .agg(
-                F.min("root").alias("low"),
-                F.max("root").alias("high"),
-                F.count("*").alias("size"),
-                F.min(F.struct("class", "n", "root", "distance")).alias("pivot"),
-            )
-            .where("low <> high")
-            .select("key", "size", "pivot")
-        )
-        live = written(rest.join(open_regions, "key"), "regions")
+        # What two classes of different components still share lies in open regions: the bounds get closer.
+        still = bounded(with_pivots(rest).drop("most", "size", "pivot"), percent)
+        live = written(with_pivots(still), "regions")
         if live.isEmpty():
             break
     return roots
