@@ -131,7 +131,6 @@ class BpeModel:
                     self.out[child] = own + self.out[self.fail[child]]
                     following.append(child)
             layer = following
-        self.step = [dict(x) for x in self.goto]
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes `token`; None for a character, or where merging its characters ends elsewhere."""
@@ -194,7 +193,7 @@ class BpeModel:
 
         Steps of the automaton that followed failure links are kept as edges of their own, as are tested pairs.
         """
-        step, out, pairs, n = self.step, self.out, self._pair, len(self.pieces)
+        step, out, pairs, n = self.goto, self.out, self._pair, len(self.pieces)
         tokens: list[int] = []
         begins: list[int] = []
         node = end = 0
@@ -232,13 +231,13 @@ class BpeModel:
         return ids
 
     def follow(self, node: int, c: str) -> int:
-        """The node after `c`, through failure links; kept for characters of the vocabulary, which are a bounded set."""
+        """The node after `c`, through failure links; kept as an edge for characters of the vocabulary, a bounded set."""
         at = node
         while at and c not in self.goto[at]:
             at = self.fail[at]
         to = self.goto[at].get(c, 0)
         if to:
-            self.step[node][c] = to
+            self.goto[node][c] = to
         return to
 
     def decode(self, ids: list[int], begins: bool = True) -> str:
@@ -283,30 +282,37 @@ STRETCH = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 class Encoder:
-    """Encodes texts; keeps what it found for up to `keep` short stretches."""
+    """Encodes texts; keeps what it found for at most twice `keep` short stretches, those of late use."""
 
-    def __init__(self, model: BpeModel, keep: int = 600_000):
+    def __init__(self, model: BpeModel, keep: int = 150_000):
         self.model, self.keep = model, keep
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def stretch(self, s: str) -> tuple[int, str, str]:
-        """(number of ids, the ids each after a space, decoded text) of a stretch."""
-        ids = self.model.encode_stretch(s)
-        written = self.model.written
-        found = (len(ids), "".join([written[i] for i in ids]), self.model.decode(ids, False))
+        """(number of ids, the ids each after a space, decoded text) of a stretch that isn't in `known`."""
+        found = self.older.get(s)
+        if found is None:
+            found = self.encoded(s)
         if len(s) < 64:
             if len(self.known) >= self.keep:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[s] = found
         return found
 
+    def encoded(self, s: str) -> tuple[int, str, str]:
+        ids = self.model.encode_stretch(s)
+        written = self.model.written
+        return len(ids), "".join([written[i] for i in ids]), self.model.decode(ids, False)
+
     def text(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids with the end id, ids joined by spaces, decoded text)."""
         marked = (text or "").replace(" ", MARK)
         if marked and self.model.prefix:
             marked = MARK + marked
-        known, stretch = self.known.get, self.stretch
-        parts = [known(s) or stretch(s) for s in STRETCH.findall(marked)]
+        stretch, parts = self.stretch, []
+        for s in STRETCH.findall(marked):
+            parts.append(self.known.get(s) or stretch(s))
         ids = "".join([p[1] for p in parts]) + f" {self.model.eos}"
         decoded = "".join([p[2] for p in parts])
         if self.model.prefix and decoded.startswith(" "):
