@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.shared import components, written
+from docket.llm.shared import components, small, written
 
 BUCKET_BITS = 17
 #: Regions of more documents than this get a further pivot, this many times at most, before pairs are listed.
@@ -111,7 +111,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 300_000) -> Iterator[tuple[int, int]]:
     first = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
@@ -215,11 +215,6 @@ def may_link(n_a: str, most_a: str, n_b: str, most_b: str, percent: int) -> Colu
     return sizes & (100 * overlap >= percent * (F.col(n_a) + F.col(n_b) - overlap))
 
 
-def small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """`df`, to be broadcast if it has few rows (of two or three numbers); otherwise Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 class Verifier:
     """Exact distances of pairs of classes.
 
@@ -405,12 +400,15 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """`documents` without near duplicates: of each component, the document with the smallest id; of repeated ids, one row.
 
-    Rows with empty sets or null ids all stay.
+    Rows with empty sets or null ids all stay. Rows of one id stand or fall together.
     """
     found = near_duplicates(documents, words, percent)
     groups = written(found, "groups")
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = documents.join(dropped, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    dropped = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    counted = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count()
+    repeated = written(counted.where("count > 1").select("doc_id"), "repeated")
+    kept = documents.join(small(dropped), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(small(repeated), "doc_id", "left_anti").unionByName(again)

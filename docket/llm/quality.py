@@ -2,7 +2,7 @@
 
 Only built-in column expressions. A document's figures need its own text alone. Hosts are aggregated with a partial sum
 before the shuffle, so that a host with a third of all rows is a few partial rows, and the join back is on a table with
-a row per host, which Spark broadcasts where its measured size allows and otherwise joins by a shuffle with skewed keys
+a row per host, which is broadcast if it has at most 100,000 rows and otherwise joined by a shuffle with skewed keys
 split.
 
 A host's rate of failures is shrunk towards the mean of all hosts with a beta prior fitted to the hosts by moments. A
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.shared import BLANKS, written
+from docket.llm.shared import BLANKS, small, written
 
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
@@ -133,6 +133,6 @@ def judge(documents: DataFrame, host: str = "source", max_rate: float = 0.5) ->
 
 
 def verdicts(scored: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    hosts = host_rates(scored, host).select(F.col("host").alias("_host"), "host_rate")
-    joined = scored.drop("host_rate").join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    hosts = written(host_rates(scored, host).select(F.col("host").alias("_host"), "host_rate"), "hosts")
+    joined = scored.drop("host_rate").join(small(hosts, 100_000), F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < max_rate))
