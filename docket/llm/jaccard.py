@@ -30,7 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.llm.shared import components, small, written
@@ -208,11 +208,15 @@ def class_of(elements: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def may_link(n_a: str, most_a: str, n_b: str, most_b: str, percent: int) -> Column:
-    """Whether sizes and largest overlaps of two classes leave room for a link."""
-    overlap = F.least(most_a, most_b)
-    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & (100 * overlap >= percent * (F.col(n_a) + F.col(n_b) - overlap))
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether rows `a` and `b` (prefixes of column names) of one region, as of bounded(), leave room for a link.
+
+    Right for pairs whose first shared element is the region's; others meet in the region of theirs.
+    """
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    held = F.when(F.col(f"{a}last") <= F.col(f"{b}last"), F.col(f"{a}held")).otherwise(F.col(f"{b}held"))
+    overlap = F.least(f"{a}most", f"{b}most", held)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * overlap >= percent * (n + m - overlap))
 
 
 class Verifier:
@@ -276,25 +280,28 @@ class Verifier:
 
 def class_links(documents: DataFrame, described: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame | None:
     """Component roots (id, root) of classes that link with others; None if there are none."""
-    rows = described.where("class is not null and doc_id is not null").select(F.explode("keys").alias("key"), "class", "n")
+    whole = described.where("class is not null and doc_id is not null")
+    rows = whole.select(F.posexplode("keys").alias("place", "key"), "class", "n")
     shared = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    live = with_pivots(bounded(written(rows.join(shared, "key").distinct(), "shared"), percent))
-    live = written(live, "regions")
+    ends = whole.groupBy("class").agg(F.min(F.element_at("keys", -1)).alias("last"))
+    live = bounded(written(rows.join(shared, "key").distinct(), "shared"), ends, percent)
+    live = written(with_pivots(live), "regions")
     if live.isEmpty():
         return None
     return resolve(live, Verifier(documents, described, words, percent, ranks))
 
 
-def bounded(live: DataFrame, percent: int) -> DataFrame:
-    """`live` (key, class, n) with `most`, the largest overlap that a class can have with any other.
+def bounded(live: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """`live` (key, class, n, place) with what a class can share with others that have the region's element as first shared.
 
-    Of its elements that give regions, those in no other class are in no overlap. Classes that can't link are left out.
+    `most`: its elements from that one on. `held`: of those, the ones that give regions count only if another class has
+    them among its own; the rest of the set may be shared. Both sets' elements up to the smaller of their `last` ones
+    (of `ends`) give regions, so `held` is right for the class whose `last` is no greater, and for that one only.
     """
-    given = F.col("n") - F.ceil(percent * F.col("n") / 100 - 1e-9) + 1
-    most = F.col("n") - (given - F.col("here"))
-    counted = live.groupBy("class", "n").agg(F.count("*").alias("here")).select("class", most.alias("most"), "n")
-    able = counted.where(100 * F.col("most") >= percent * F.col("n")).select("class", "most")
-    return live.join(able, "class")
+    after = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("key")))
+    beyond = F.ceil(percent * F.col("n") / 100 - 1e-9) - 1
+    bounds = live.select("key", "class", "n", (F.col("n") - F.col("place")).alias("most"), (beyond + after).alias("held"))
+    return bounds.join(ends, "class")
 
 
 def with_pivots(live: DataFrame) -> DataFrame:
@@ -311,7 +318,7 @@ def with_pivots(live: DataFrame) -> DataFrame:
             F.min("root").alias("low"),
             F.max("root").alias("high"),
             F.count("*").alias("size"),
-            F.min(F.struct(rank, "class", "n", "most", "root", "distance")).alias("pivot"),
+            F.min(F.struct(rank, "class", "n", "most", "held", "last", "root", "distance")).alias("pivot"),
         )
         .where("low <> high")
         .select("key", "size", "pivot")
@@ -334,7 +341,7 @@ def resolve(live: DataFrame, verifier: Verifier) -> DataFrame | None:
             heavy = F.col("size") > SMALL_REGION
         before = count
         star = live.where(heavy & (F.col("class") != F.col("pivot.class"))).where(
-            may_link("n", "most", "pivot.n", "pivot.most", percent)
+            may_link("", "pivot.", percent)
         )
         if turn:
             star = star.where(F.col("root") != F.col("pivot.root"))
@@ -346,7 +353,7 @@ def resolve(live: DataFrame, verifier: Verifier) -> DataFrame | None:
             across = x.join(y, F.col("x.key") == F.col("y.key")).where(
                 (F.col("x.class") < F.col("y.class"))
                 & (F.col("x.root") != F.col("y.root"))
-                & may_link("x.n", "x.most", "y.n", "y.most", percent)
+                & may_link("x.", "y.", percent)
                 & windowed(F.col("x.distance"), F.col("y.distance"), reach)
             )
             pairs = pairs.union(across.select("x.class", "y.class"))
@@ -359,7 +366,7 @@ def resolve(live: DataFrame, verifier: Verifier) -> DataFrame | None:
         tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
         if not found.isEmpty():
             roots = components(links)
-        rest = live.where(heavy & (F.col("class") != F.col("pivot.class"))).select("key", "class", "n", "most", "pivot")
+        rest = live.where(heavy & (F.col("class") != F.col("pivot.class"))).drop("root", "distance", "size")
         distances = checked.where("distance is not null").select(F.col("a").alias("_a"), F.col("b").alias("class"), "distance")
         rest = rest.withColumn("_a", F.col("pivot.class")).join(distances, ["_a", "class"], "left").drop("_a", "pivot")
         if roots is not None:
@@ -367,9 +374,7 @@ def resolve(live: DataFrame, verifier: Verifier) -> DataFrame | None:
         else:
             rest = rest.withColumn("root", F.lit(None).cast("long"))
         rest = written(rest.withColumn("root", F.coalesce("root", "class")), "rest")
-        # What two classes of different components still share lies in open regions: the bounds get closer.
-        still = bounded(with_pivots(rest).drop("most", "size", "pivot"), percent)
-        live = written(with_pivots(still), "regions")
+        live = written(with_pivots(rest), "regions")
         if live.isEmpty():
             break
     return roots

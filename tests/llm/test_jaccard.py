@@ -66,6 +66,23 @@ def test_against_all_pairs(spark, monkeypatch, words, percent, small):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, words, percent)
 
 
+@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
+def test_appended_prepended_and_truncated_copies(spark, words, percent):
+    rng = random.Random(words)
+    fresh = (f"w{k}" for k in rng.sample(range(10**6), 10**5))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for n in [12, 14, 15, 20, 23, 24, 31, 40, 60, 90] * 3:
+        base = new(n + words - 1)
+        more = max(1, n * (100 - percent) // percent)
+        texts += [base, rng.choice([base + new(more), new(more) + base, base[: -max(1, n * (100 - percent) // 100)]])]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = brute(rows, words, percent)
+    assert len({c for _, _, c in want}) == len(rows) / 2
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
 def test_no_candidates_and_empty(spark):
     documents = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (3, None)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in J.near_duplicates(documents).collect()} == {(1, 1), (2, 2), (3, 3)}
