@@ -9,8 +9,8 @@ Texts are lower-cased; what is no letter becomes one space a run; three marks st
 
 The score is the share of the best language in a softmax over cross-entropies, sharpened by a factor fitted on about
 `calibration_rows` training texts, dealt out by a hash of their ids. `accepted` is false where the cross-entropy is
-beyond what 99.9 % of those texts have, or the score below `min_score`. `max_grams` bounds the model: beyond it, grams
-rarer than a power of two are left out of the model (not of the counts).
+beyond what 99.9 % of those texts have, or the score below `min_score`. Up to `max_grams` 4-grams are fitted in the
+driver and broadcast. More stay in Spark: the same model as tables (`GramTables`), joined with the texts' distinct grams.
 
 Defined cases: a text that is null or without letters gets `und`, score 0 and is not accepted; without training rows all
 texts do; of languages with equal cross-entropy the first in sorted order is given; repeated rows count each; an empty
@@ -20,8 +20,9 @@ table gives no rows; columns lang_pred, score, cross_entropy and accepted are re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from docket.llm.shared import with_python_columns, written
 
 ORDER = 4
+ADDED = "lang_pred string, score double, cross_entropy double, accepted boolean"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MARK, SPACE, ASTRAL = 1, 32, 0xFFFF
 
@@ -197,9 +199,91 @@ class KneserNey:
         return total / np.maximum(sizes, 1)[:, None], sizes
 
 
+class GramTables:
+    """The model of KneserNey, kept in Spark whatever its size.
+
+    At each order p(gram) = direct(gram) + back(context) p(suffix), by language; direct is 0 and back 1 where a language
+    hasn't seen them.
+    """
+
+    def __init__(self, counted: DataFrame, langs: list[str]):
+        """From `counted` (lang, gram, n), the counts of all 4-grams."""
+        self.langs, self.levels = langs, {}
+        table = counted
+        for order in range(ORDER, 0, -1):
+            found = {r["lang"]: r for r in table.groupBy("lang").agg(*(F.count_if(F.col("n") == k).alias(f"of_{k}") for k in (1, 2))).collect()}
+            cuts = []
+            for x in langs:
+                ones, twos = found[x]["of_1"], found[x]["of_2"]
+                cuts.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+            cut = F.element_at(F.create_map(*(F.lit(e) for pair in zip(langs, cuts) for e in pair)), F.col("lang"))
+            table = table.withColumn("context", F.shiftrightunsigned("gram", 16))
+            sums = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            direct = table.join(sums, ["lang", "context"]).withColumn("value", F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total"))
+            back = sums.withColumn("value", cut * F.col("kinds") / F.col("total"))
+            self.levels[order] = (
+                written(self.by_language(direct, "gram", 0.0, "direct"), f"grams-{order}"),
+                written(self.by_language(back, "context", 1.0, "back"), f"contexts-{order}"),
+            )
+            if order > 1:
+                table = table.groupBy("lang", self.suffix(order - 1).alias("gram")).agg(F.count("*").alias("n"))
+                table = written(table, f"counts-{order - 1}")
+        self.seen = max(1, self.levels[1][0].count())
+
+    @staticmethod
+    def suffix(order: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+    def by_language(self, values: DataFrame, key: str, default: float, name: str) -> DataFrame:
+        """(key, array of `value` in the order of the languages)."""
+        grouped = values.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias("of"))
+        each = F.transform(F.array(*(F.lit(x) for x in self.langs)), lambda x: F.coalesce(F.col("of")[x], F.lit(default)))
+        return grouped.select(key, each.alias(name))
+
+    def probabilities(self, grams: DataFrame, order: int = ORDER) -> DataFrame:
+        """(gram, p array) of distinct `grams` of that order."""
+        if not order:
+            return grams.withColumn("p", F.array(*[F.lit(1 / (self.seen + 1))] * len(self.langs)))
+        below = self.probabilities(grams.select(self.suffix(order - 1).alias("gram")).distinct(), order - 1)
+        direct, back = self.levels[order]
+        wide = (
+            grams.withColumns({"suffix": self.suffix(order - 1), "context": F.shiftrightunsigned("gram", 16)})
+            .join(below.withColumnRenamed("gram", "suffix"), "suffix")
+            .join(direct, "gram", "left")
+            .join(back, "context", "left")
+        )
+        lower = F.when(F.col("back").isNull(), F.col("p")).otherwise(F.zip_with("back", "p", lambda b, p: b * p))
+        both = F.when(F.col("direct").isNull(), lower).otherwise(F.zip_with("direct", lower, lambda d, p: d + p))
+        return wide.select("gram", both.alias("p"))
+
+    def entropies(self, texts: DataFrame) -> DataFrame:
+        """(key, entropy array, size) for each key of `texts` (key, text) whose text has letters.
+
+        Rows with one key have one text: their sums and sizes grow alike, so the quotient stays.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for name, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                    grams, counts = np.unique(symbols([text])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(grams), pa.binary()), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))],
+                        ["key", "gram", "n"],
+                    )
+
+        counted = written(texts.mapInArrow(run, "key binary, gram long, n long"), "text-grams")
+        p = written(self.probabilities(counted.select("gram").distinct()), "probabilities")
+        sums = [(-F.sum(F.col("n") * F.log(F.col("p")[i])) / F.sum("n")) for i in range(len(self.langs))]
+        return counted.join(p, "gram").groupBy("key").agg(F.array(*sums).alias("entropy"), F.sum("n").alias("size"))
+
+
+def with_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
 @dataclass
 class Identifier:
-    model: KneserNey | None
+    model: KneserNey | GramTables | None
     sharpness: float
     most: float
     min_score: float
@@ -207,9 +291,11 @@ class Identifier:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         if self.model is None:
             return [("und", 0.0, None, False)] * len(texts)
-        entropy, sizes = self.model.entropies(texts)
+        return self.decide(*self.model.entropies(texts))
+
+    def decide(self, entropy: np.ndarray, sizes: np.ndarray) -> list[tuple[str, float, float | None, bool]]:
         best = entropy.argmin(axis=1)
-        score = shares(entropy, self.sharpness)[np.arange(len(texts)), best]
+        score = shares(entropy, self.sharpness)[np.arange(len(sizes)), best]
         out = []
         for i, b in enumerate(best):
             if not sizes[i]:
@@ -243,23 +329,31 @@ def fit(
     """`training` has text, lang and an id `doc_id` that deals out the calibration rows."""
     known = training.where("lang is not null and text is not null")
     counted = written(count_grams(known), "grams")
-    got = counted.where(F.col("n") >= least_count(counted, max_grams)).toArrow()
-    if not got.num_rows:
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    if not langs:
         return Identifier(None, 1.0, 0.0, min_score)
-    names = got.column("lang").to_pylist()
-    langs = sorted(set(names))
     place = {x: i for i, x in enumerate(langs)}
-    model = KneserNey(
-        langs,
-        np.array([place[x] for x in names], np.int64),
-        got.column("gram").to_numpy().astype(np.int64).view(np.uint64),
-        got.column("n").to_numpy(),
-    )
+    if least_count(counted, max_grams) > 1:
+        model = GramTables(counted, langs)
+    else:
+        got = counted.toArrow()
+        model = KneserNey(
+            langs,
+            np.array([place[x] for x in got.column("lang").to_pylist()], np.int64),
+            got.column("gram").to_numpy().astype(np.int64).view(np.uint64),
+            got.column("n").to_numpy(),
+        )
     share = min(1.0, calibration_rows / max(1, known.count()))
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = known.where(dealt).select("text", "lang").collect()
-    sample = [r for r in sample if r.lang in place]
-    entropy, sizes = model.entropies([r.text for r in sample])
+    sample = known.where(dealt).select("text", "lang")
+    if isinstance(model, GramTables):
+        keyed = written(with_key(sample), "calibration")
+        sample = keyed.join(model.entropies(keyed.select("key", "text")), "key").select("lang", "entropy", "size").collect()
+        entropy = np.array([r.entropy for r in sample], np.float64).reshape(-1, len(langs))
+        sizes = np.array([r["size"] for r in sample], np.int64)
+    else:
+        sample = [r for r in sample.collect() if r.lang in place]
+        entropy, sizes = model.entropies([r.text for r in sample])
     truth = np.array([place[r.lang] for r in sample], np.int64)
     entropy, truth = entropy[sizes > 0], truth[sizes > 0]
     if not len(truth):
@@ -276,6 +370,8 @@ def fit(
 
 def identify(documents: DataFrame, identifier: Identifier) -> DataFrame:
     """`documents` with lang_pred, score, cross_entropy and accepted, from `text` alone."""
+    if isinstance(identifier.model, GramTables):
+        return identify_by_tables(documents, identifier)
     shared = documents.sparkSession.sparkContext.broadcast(identifier)
 
     def make():
@@ -292,8 +388,30 @@ def identify(documents: DataFrame, identifier: Identifier) -> DataFrame:
 
         return run
 
-    return with_python_columns(
-        documents, make, "lang_pred string, score double, cross_entropy double, accepted boolean", rows=1024
+    return with_python_columns(documents, make, ADDED, rows=1024)
+
+
+def identify_by_tables(documents: DataFrame, identifier: Identifier) -> DataFrame:
+    """identify() by joins, for a model that stays in Spark."""
+    alone = replace(identifier, model=SimpleNamespace(langs=identifier.model.langs))
+    kept = documents.drop("lang_pred", "score", "cross_entropy", "accepted")
+
+    def make():
+        def run(part):
+            entropy = np.array(part.column("entropy").to_pylist(), np.float64)
+            return [list(column) for column in zip(*alone.decide(entropy, part.column("size").to_numpy()))]
+
+        return run
+
+    found = with_python_columns(identifier.model.entropies(with_key(kept).select("key", "text")), make, ADDED, rows=1024)
+    found = written(found.drop("entropy", "size").withColumnRenamed("key", "_key"), "found")
+    keyed = with_key(kept.select("text", F.struct(*kept.columns).alias("row"))).select("row", "key")
+    return keyed.join(found, F.col("key") == F.col("_key"), "left").select(
+        "row.*",
+        F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        "cross_entropy",
+        F.coalesce("accepted", F.lit(False)).alias("accepted"),
     )
 
 

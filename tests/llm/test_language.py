@@ -117,3 +117,22 @@ def test_model_size_is_bounded(spark):
     assert L.least_count(counted, 10) == 1 and L.least_count(counted, 4) == 8
     assert L.least_count(counted, 3) == 16 and L.least_count(counted, 6) == 4
     assert L.least_count(counted.limit(0), 5) == 1
+
+
+def test_more_grams_than_the_driver_takes_change_nothing(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, lang, 8), lang) for i, lang in enumerate(rng.choices(list(SYLLABLES), k=60))]
+    rows += [(100, "žluť qwx", "zz"), (100, "žluť qwx", None), (101, None, "aa"), (102, "12 !", "bb"), (None, "qwx", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("accepted", F.lit(1))
+    outs = []
+    for most in (1_000_000, 10):
+        identifier = L.fit(docs, max_grams=most)
+        assert isinstance(identifier.model, L.GramTables if most == 10 else L.KneserNey)
+        out = L.identify(docs, identifier)
+        assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "cross_entropy", "accepted"]
+        outs.append(sorted(out.collect(), key=str))
+    assert len(outs[0]) == len(outs[1]) == len(rows)
+    for a, b in zip(*outs):
+        assert a[:4] == b[:4] and a.accepted == b.accepted and math.isclose(a.score, b.score, abs_tol=1e-4)
+        assert a.cross_entropy == b.cross_entropy or math.isclose(a.cross_entropy, b.cross_entropy, abs_tol=1e-4)
+    assert {r.lang_pred for r in outs[1] if r.doc_id in (100, None)} == {"zz"}
