@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docket.llm.shared import components, small, written
+from docket.llm.shared import components, small, with_python_columns, written
 
 BUCKET_BITS = 17
 #: Regions of more documents than this get a further pivot, this many times at most, before pairs are listed.
@@ -387,33 +387,60 @@ def windowed(a: Column, b: Column, reach: float) -> Column:
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `documents` (doc_id, text)."""
+    return grouped(documents, words, percent)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, np.ndarray]:
+    """near_duplicates() with class and root, both null for rows in no component; and the ranks of the buckets."""
     ranks = rank_buckets(bucket_counts(documents, words))
     described = written(describe(documents, words, percent, ranks), "described")
     roots = class_links(documents, described, words, percent, ranks)
     classes = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
+    classes = classes.withColumn("root", F.col("class"))
     if roots is not None:
-        rooted = classes.join(roots.withColumnRenamed("id", "class"), "class", "left")
+        rooted = classes.drop("root").join(roots.withColumnRenamed("id", "class"), "class", "left")
         first = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("lowest"))
-        classes = rooted.join(first, "root", "left").select("class", F.coalesce("lowest", "first").alias("first"))
-    return described.drop("keys").join(classes, "class", "left").select(
+        rooted = rooted.join(first, "root", "left")
+        classes = rooted.select("class", F.coalesce("lowest", "first").alias("first"), F.coalesce("root", "class").alias("root"))
+    found = described.drop("keys").join(classes, "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("first")).alias("component_id"),
+        "class",
+        F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"),
     )
+    return found, ranks
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """`documents` without near duplicates: of each component, the document with the smallest id; of repeated ids, one row.
+    """`documents` without near duplicates: of each component, one row with the smallest id.
 
-    Rows with empty sets or null ids all stay. Rows of one id stand or fall together.
+    Rows with empty sets or null ids all stay. Rows of one id are judged each by its own text; where several of a
+    component have the smallest id, the smallest class stays, and of its rows one with the smallest text.
     """
-    found = near_duplicates(documents, words, percent)
+    found, ranks = grouped(documents, words, percent)
     groups = written(found, "groups")
-    dropped = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    counted = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count()
+    counted = groups.where("doc_id is not null").groupBy("doc_id").count()
     repeated = written(counted.where("count > 1").select("doc_id"), "repeated")
-    kept = documents.join(small(dropped), "doc_id", "left_anti")
+    dropped = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(repeated), "doc_id", "left_anti").unionByName(again)
+        return documents.join(small(dropped), "doc_id", "left_anti")
+    once = documents.join(small(repeated), "doc_id", "left_anti").join(small(dropped), "doc_id", "left_anti")
+    shared = documents.sparkSession.sparkContext.broadcast(ranks)
+
+    def make():
+        def run(part: pa.RecordBatch) -> list[list]:
+            sets = shingle_sets(part.column("text").to_pylist(), words)
+            return [[class_of(ordered(s, shared.value)) for s in sets]]
+
+        return run
+
+    again = written(with_python_columns(documents.join(small(repeated), "doc_id", "left_semi"), make, "_class long"), "again")
+    first = groups.where("class is not null and doc_id = component_id").groupBy("root")
+    first = first.agg(F.min(F.struct(F.col("doc_id").alias("id"), "class")).alias("kept"))
+    first = first.select(F.col("kept.id").alias("doc_id"), F.col("kept.class").alias("_class"))
+    kept = again.join(first.join(small(repeated), "doc_id", "left_semi"), ["doc_id", "_class"], "left_semi")
+    row = F.min_by(F.struct(*(F.col(c) for c in documents.columns)), "text").alias("_row")
+    one = kept.groupBy("doc_id", "_class").agg(row).select("_row.*")
+    empty = again.where("_class is null").select(*documents.columns)
+    return once.select(*documents.columns).unionByName(one).unionByName(empty)

@@ -94,3 +94,11 @@ def test_keep_one(spark):
     kept = J.keep_one(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, component_id string"))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "8", "9", "None"]
     assert kept.columns == ["doc_id", "text", "component_id"]
+
+
+def test_keep_one_judges_rows_of_one_id_by_their_texts(spark):
+    rows = [(1, "a b c d e f g"), (4, "A b c d e f g"), (4, "h i j k l m"), (4, "n o p q r s"), (4, "n o p q r s"), (4, "")]
+    rows += [(7, "N o p q r s"), (8, "t u v w x y"), (8, " t u v w x y"), (8, None), (9, "h i j k l m")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, "a b c d e f g"), (4, ""), (4, "h i j k l m"), (4, "n o p q r s"), (8, " t u v w x y"), (8, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
