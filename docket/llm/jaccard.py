@@ -1,25 +1,27 @@
 """Exact Jaccard join on word shingles, by pivots, Voronoi regions, triangle-inequality windows and recursion.
 
-Jaccard distance is a metric, but documents without common shingles are all at distance 1, so pivots taken from the
-documents alone tell nothing of most pairs. The space is therefore first cut by the smallest pivots there are, single
-shingles: all elements are put in one order, rare ones first, and a document belongs to the region of its first element
-and is replicated to those of the next ones that a partner within the threshold could have as its first
-(n - ceil(t n) + 1 elements of n). Two linked documents meet in a region at least.
-
-Within a region the recursion begins. The document with the fewest elements of its own is its pivot, all others that may
-link are verified against it; links join components. What is left of the region are the other documents; if they are of one component, it is done.
-Small regions then verify their pairs across components, within windows: |d(x, p) - d(y, p)| beyond the threshold's
-distance excludes x, y by the triangle inequality. Larger regions get the next pivot. A group of thousands of near copies
-is thus one component after a star or two, and its pairs are never listed.
-
-Documents with equal sets are one class from the start. Elements are 64-bit hashes of shingles whose leading bits are
-replaced by the rank of their frequency bucket, which makes the number also the order. Buckets (131,072, whatever the
-input) count all documents' shingles.
+Jaccard distance is a metric, but documents without common shingles are all at distance 1, where pivots tell nothing.
+The space is therefore first cut by elements: all are put in one order, rare ones first, and a document belongs to the
+regions of its leading n - ceil(t n) + 1 elements of n. Two linked documents share one of these. Nearly all documents
+share none of them with any other, and are done.
+
+Each round takes the regions that still hold several components. Small ones list their pairs across components, less
+those that a window excludes: |d(x, p) - d(y, p)| beyond the threshold's distance, p the region's pivot. In a larger one,
+pivots are chosen and the exact distances of all its documents to them measured; links join components, so a group of
+thousands of near copies is one component after that, and its pairs are never listed. The others go to the Voronoi
+region of the nearest pivot and are replicated to those within a window of twice the threshold's distance
+(`regions_within`). The next round does the same in these regions, until none holds several components. Each round takes
+its pivots out of their region, so the recursion ends; no limit is set.
+
+Documents with equal sets are one class from the start; sets are taken as equal by 128-bit hashes. Elements are 64-bit
+hashes of shingles whose leading bits are replaced by the rank of their frequency bucket, which makes the number also the
+order. Buckets (131,072, whatever the input) count all documents' shingles.
 
 Defined cases: words are runs of other characters than blanks (space, U+0009 to U+000D), A-Z in lower case; a text of
 fewer words than a shingle is one element; a null text or one without words has an empty set and links with nothing;
 equal sets are linked; a row with a null doc_id is compared with nothing and has a null component; rows with one doc_id
-and different texts are documents of their own; an empty table gives no rows; further columns are ignored.
+and different texts are documents of their own; very long texts are compared whole, their sets standing in one row of
+8 bytes an element; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docket.llm.shared import components, small, with_python_columns, written
+from docket.llm.shared import components, discarding, small, with_python_columns, written
 
 BUCKET_BITS = 17
-#: Regions of more documents than this get a further pivot, this many times at most, before pairs are listed.
-SMALL_REGION = 32
-PIVOT_ROUNDS = 6
+#: Regions of more classes than this get pivots, this many; pairs are listed in others only.
+SMALL_REGION = 16
+PIVOTS = 8
 REST = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 IS_BLANK = np.zeros(256, bool)
@@ -175,214 +177,244 @@ def describe(documents: DataFrame, words: int, percent: int, ranks: np.ndarray)
                     [
                         b.column("doc_id").slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([class_of(s) for s in sets], pa.int64()),
+                        pa.array([class_of(s) for s in sets], pa.binary()),
                         lists([s[: prefix_size(len(s), percent)] for s in sets]),
                     ],
                     ["doc_id", "n", "class", "keys"],
                 )
 
     plain = documents.select(F.col("doc_id").cast("long"), "text")
-    return plain.mapInArrow(run, "doc_id long, n long, class long, keys array<long>")
+    return plain.mapInArrow(run, "doc_id long, n long, class binary, keys array<long>")
 
 
 def full_sets(documents: DataFrame, words: int, ranks: np.ndarray) -> DataFrame:
-    """(class, elements) of `documents` (class, text); rows whose text is not of that class are left out."""
+    """(id, elements) of `documents` (id, class, text); rows whose text is not of that class are left out."""
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, classes = b.column("text").to_pylist(), b.column("class").to_pylist()
+            texts, ids, classes = (b.column(c).to_pylist() for c in ("text", "id", "class"))
             for i, j in slices(texts):
                 sets = [ordered(s, shared.value) for s in shingle_sets(texts[i:j], words)]
-                right = [(c, s) for c, s in zip(classes[i:j], sets) if class_of(s) == c]
+                right = [(k, s) for k, c, s in zip(ids[i:j], classes[i:j], sets) if class_of(s) == c]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in right], pa.int64()), lists([s for _, s in right])], ["class", "elements"]
+                    [pa.array([k for k, _ in right], pa.int64()), lists([s for _, s in right])], ["id", "elements"]
                 )
 
-    return documents.select("class", "text").mapInArrow(run, "class long, elements array<long>")
+    return documents.select("id", "class", "text").mapInArrow(run, "id long, elements array<long>")
 
 
-def class_of(elements: np.ndarray) -> int | None:
-    if not len(elements):
-        return None
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(elements: np.ndarray) -> bytes | None:
+    """128 bits that stand for the set."""
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether rows `a` and `b` (prefixes of column names) of one region, as of bounded(), leave room for a link.
-
-    Right for pairs whose first shared element is the region's; others meet in the region of theirs.
-    """
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    held = F.when(F.col(f"{a}last") <= F.col(f"{b}last"), F.col(f"{a}held")).otherwise(F.col(f"{b}held"))
-    overlap = F.least(f"{a}most", f"{b}most", held)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * overlap >= percent * (n + m - overlap))
+def distinct_classes(described: DataFrame) -> DataFrame:
+    """A row per set: (id, class, doc_id, n, keys, again): a number, its smallest doc_id, whether several rows have it."""
+    whole = described.where("class is not null and doc_id is not null")
+    counted = whole.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    repeated = written(counted.where("copies > 1").select("class", "first"), "repeated")
+    single = whole.join(small(repeated), "class", "left_anti").withColumn("again", F.lit(False))
+    heads = whole.join(small(repeated), "class").where("doc_id = first").dropDuplicates(["class"])
+    both = single.unionByName(heads.drop("first").withColumn("again", F.lit(True)))
+    return written(both.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
 class Verifier:
-    """Exact distances of pairs of classes.
+    """Exact distances of pairs of classes, by their whole sets, which are made from the texts again."""
 
-    Linked sets of n and m elements share at least o = ceil(t (n + m) / (1 + t)). Of their shared elements, the first
-    o + 1 - ceil(t max(n, m)) are among the elements of both that give the regions. Pairs with fewer there are settled by
-    those elements alone; for the others the whole sets are made from the texts again.
-    """
+    def __init__(self, documents: DataFrame, classes: DataFrame, words: int, percent: int, ranks: np.ndarray):
+        self.documents, self.classes, self.words, self.percent, self.ranks = documents, classes, words, percent, ranks
+        self.sets: DataFrame | None = None
 
-    def __init__(self, documents: DataFrame, described: DataFrame, words: int, percent: int, ranks: np.ndarray):
-        self.documents, self.words, self.percent, self.ranks = documents, words, percent, ranks
-        self.described = described.where("class is not null and doc_id is not null")
-        self.classes = written(self.described.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
-
-    def holders(self, pairs: DataFrame) -> DataFrame:
-        """(class, doc_id) of the classes in `pairs`."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        return written(self.classes.join(ids, "class", "left_semi"), "holders")
-
-    def check(self, pairs: DataFrame) -> DataFrame:
-        """`pairs` (a, b) with distance (null if settled early) and linked."""
-        pairs = written(pairs, "pairs")
-        heads = self.described.join(small(self.holders(pairs)), ["class", "doc_id"]).select("class", "n", "keys")
-        heads = written(heads, "heads")
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The `pairs` (a, b) whose leading elements leave room for a link.
+
+        Linked sets of n and m elements share at least o = ceil(t (n + m) / (1 + t)). Of their shared elements, the
+        first o + 1 - ceil(t max(n, m)) are among the leading ones of both.
+        """
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        heads = written(self.classes.join(small(ids), "id").select("id", "n", "keys"), "heads")
         n, m = F.col("n_a"), F.col("n_b")
         overlap = F.ceil(self.percent * (n + m) / (100 + self.percent) - 1e-9)
         need = overlap + 1 - F.ceil(self.percent * F.greatest(n, m) / 100 - 1e-9)
-        close = written(
-            self.joined(pairs, heads.withColumnRenamed("keys", "of"), ["n", "of"])
-            .where(F.size(F.array_intersect("of_a", "of_b")) >= need)
-            .select("a", "b")
-            .distinct(),
-            "close",
-        )
-        if close.isEmpty():
-            return pairs.withColumns({"distance": F.lit(None).cast("double"), "linked": F.lit(False)})
-        texts = self.documents.select(F.col("doc_id").cast("long"), "text").join(small(self.holders(close)), "doc_id")
-        sets = written(full_sets(texts, self.words, self.ranks), "sets").withColumnRenamed("elements", "of")
-        common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-        either = (F.size("of_a") + F.size("of_b")).cast("long") - F.col("common")
-        counted = self.joined(close, sets, ["of"]).withColumn("common", common).withColumn("either", either)
+        both = self.joined(pairs, heads, ["n", "keys"]).where(F.size(F.array_intersect("keys_a", "keys_b")) >= need)
+        return discarding(written(both.select("a", "b"), "close"), ids, heads)
+
+    def load(self, ids: DataFrame) -> None:
+        """Makes the sets of classes `ids` (id), all that distances() and beyond() will be asked for."""
+        holders = written(self.classes.join(small(ids), "id", "left_semi").select("id", "class", "doc_id"), "holders")
+        texts = self.documents.select(F.col("doc_id").cast("long"), "text").join(small(holders), "doc_id")
+        sets = written(full_sets(texts, self.words, self.ranks), "sets")
+        if sets.count() > holders.count():  # rows that occur twice, with one id and text
+            sets = discarding(written(sets.dropDuplicates(["id"]), "sets"), sets)
+        self.sets = discarding(sets, holders)
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        """`pairs` (a, b) with distance and linked."""
+        common = F.size(F.array_intersect("elements_a", "elements_b")).cast("long")
+        either = (F.size("elements_a") + F.size("elements_b")).cast("long") - F.col("common")
+        counted = self.joined(pairs, self.sets, ["elements"]).withColumn("common", common).withColumn("either", either)
         exact = counted.select(
             "a",
             "b",
             (1 - F.col("common") / F.col("either")).alias("distance"),
             (100 * F.col("common") >= self.percent * F.col("either")).alias("linked"),
-        ).distinct()
-        return written(
-            pairs.join(exact, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "checked"
         )
-
-    @staticmethod
-    def joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-        """`pairs` with the columns of `table` (class, ...) for both, as name_a and name_b."""
+        return written(exact, "distances")
+
+    def beyond(self, rows: DataFrame) -> DataFrame:
+        """`rows` (id, n, pivot, ...) with element: each of the leading elements of id's set without the pivot's."""
+        sets = self.joined(rows.withColumnsRenamed({"id": "a", "pivot": "b"}), self.sets, ["elements"])
+        own = F.array_except("elements_a", "elements_b")
+        size = F.col("n") - F.ceil(self.percent * F.col("n") / 100 - 1e-9) + 1
+        leading = F.explode(F.slice(own, F.lit(1), size.cast("int"))).alias("element")
+        kept = [F.col(c) for c in rows.columns if c not in ("id", "pivot")]
+        return sets.select(F.col("a").alias("id"), F.col("b").alias("pivot"), *kept, leading)
+
+    def joined(self, pairs: DataFrame, table: DataFrame, columns: list[str], most: int = 2_000_000) -> DataFrame:
+        """`pairs` with the columns of `table` (id, ...) for both, as name_a and name_b.
+
+        Those of `b` are broadcast if they hold `most` elements in all or fewer.
+        """
+        few = written(pairs.select(F.col("b").alias("id")).distinct(), "partners")
+        held = self.classes.join(small(few), "id", "left_semi").agg(F.sum("n")).first()[0] or 0
         for side in ("a", "b"):
-            own = table.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+            own = table.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+            if side == "b" and held <= most:
+                own = F.broadcast(own.join(F.broadcast(few.withColumnRenamed("id", "b")), "b", "left_semi"))
             pairs = pairs.join(own, side)
         return pairs
 
 
-def class_links(documents: DataFrame, described: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame | None:
-    """Component roots (id, root) of classes that link with others; None if there are none."""
-    whole = described.where("class is not null and doc_id is not null")
-    rows = whole.select(F.posexplode("keys").alias("place", "key"), "class", "n")
-    shared = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    ends = whole.groupBy("class").agg(F.min(F.element_at("keys", -1)).alias("last"))
-    live = bounded(written(rows.join(shared, "key").distinct(), "shared"), ends, percent)
-    live = written(with_pivots(live), "regions")
-    if live.isEmpty():
-        return None
-    return resolve(live, Verifier(documents, described, words, percent, ranks))
-
-
-def bounded(live: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
-    """`live` (key, class, n, place) with what a class can share with others that have the region's element as first shared.
-
-    `most`: its elements from that one on. `held`: of those, the ones that give regions count only if another class has
-    them among its own; the rest of the set may be shared. Both sets' elements up to the smaller of their `last` ones
-    (of `ends`) give regions, so `held` is right for the class whose `last` is no greater, and for that one only.
+def unsettled(live: DataFrame) -> DataFrame:
+    """(region, size) of the regions of `live` that hold several components; of those with the same classes, one.
+
+    Regions are compared by two sums (exclusive or) of 64-bit hashes of their classes.
     """
-    after = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("key")))
-    beyond = F.ceil(percent * F.col("n") / 100 - 1e-9) - 1
-    bounds = live.select("key", "class", "n", (F.col("n") - F.col("place")).alias("most"), (beyond + after).alias("held"))
-    return bounds.join(ends, "class")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
+    found = live.groupBy("region").agg(
+        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), *marks
+    )
+    found = found.where("low <> high").dropDuplicates(["size", "mark_1", "mark_2"])
+    return written(found.select("region", "size"), "regions")
 
 
-def with_pivots(live: DataFrame) -> DataFrame:
-    """`live` with the pivot of each region, the class with the smallest share of elements of its own: most others link to it.
+def listed(few: DataFrame, percent: int, reach: float) -> DataFrame:
+    """(a, b): pairs across components within small regions, less those that sizes or the triangle inequality exclude."""
+    x, y = few.alias("x"), few.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    window = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    across = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+    pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & across & sizes & window)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
-    Regions of one class or one component are left out.
-    """
-    extra = {"root": F.col("class"), "distance": F.lit(None).cast("double")}
-    live = live.withColumns({k: v for k, v in extra.items() if k not in live.columns})
-    rank = (1 - F.col("most") / F.col("n")).alias("rank")
-    regions = (
-        live.groupBy("key")
-        .agg(
-            F.min("root").alias("low"),
-            F.max("root").alias("high"),
-            F.count("*").alias("size"),
-            F.min(F.struct(rank, "class", "n", "most", "held", "last", "root", "distance")).alias("pivot"),
-        )
-        .where("low <> high")
-        .select("key", "size", "pivot")
+
+def with_pivots(many: DataFrame) -> DataFrame:
+    """A row for each class and pivot of its region; pivots: the smallest set, the most central, others by hash."""
+
+    def dealt(k: int) -> Column:
+        return F.xxhash64("id", F.lit(k))
+
+    low = F.shiftleft("n", 32) + F.shiftrightunsigned(dealt(0), 32)
+    others = [F.min_by("id", dealt(k)) for k in range(1, PIVOTS - 1)]
+    chosen = many.groupBy("region").agg(
+        F.min_by("id", low).alias("least"),
+        F.array_distinct(F.array(F.min_by("id", low), F.min_by("id", F.col("rank")), *others)).alias("pivots"),
     )
-    return live.join(regions, "key")
+    chosen = written(chosen, "pivots")
+    rows = many.join(small(chosen), "region").withColumn("is_pivot", F.array_contains("pivots", F.col("id")))
+    return written(rows.withColumn("pivot", F.explode("pivots")).drop("pivots", "root", "far"), "stars")
 
 
-def resolve(live: DataFrame, verifier: Verifier) -> DataFrame | None:
-    """Pivot rounds over regions `live` (as of with_pivots()) until no region can hold an unknown link."""
-    percent = verifier.percent
-    reach = 1 - percent / 100 + 1e-9
-    links, tested, roots, before = None, None, None, 0
-    for turn in range(PIVOT_ROUNDS + 2):
-        count = live.count()
-        if turn == 0:
-            heavy = F.lit(True)
-        elif turn > PIVOT_ROUNDS or turn > 1 and count > 0.7 * before:
-            heavy = F.lit(False)
-        else:
-            heavy = F.col("size") > SMALL_REGION
-        before = count
-        star = live.where(heavy & (F.col("class") != F.col("pivot.class"))).where(
-            may_link("", "pivot.", percent)
-        )
-        if turn:
-            star = star.where(F.col("root") != F.col("pivot.root"))
-            star = star.where(windowed(F.col("distance"), F.col("pivot.distance"), reach))
-        pairs = star.select(F.col("pivot.class").alias("a"), F.col("class").alias("b"))
-        if turn:
-            listed = live.where(~heavy)
-            x, y = listed.alias("x"), listed.alias("y")
-            across = x.join(y, F.col("x.key") == F.col("y.key")).where(
-                (F.col("x.class") < F.col("y.class"))
-                & (F.col("x.root") != F.col("y.root"))
-                & may_link("x.", "y.", percent)
-                & windowed(F.col("x.distance"), F.col("y.distance"), reach)
-            )
-            pairs = pairs.union(across.select("x.class", "y.class"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = verifier.check(pairs)
-        found = checked.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-        if not found.isEmpty():
-            roots = components(links)
-        rest = live.where(heavy & (F.col("class") != F.col("pivot.class"))).drop("root", "distance", "size")
-        distances = checked.where("distance is not null").select(F.col("a").alias("_a"), F.col("b").alias("class"), "distance")
-        rest = rest.withColumn("_a", F.col("pivot.class")).join(distances, ["_a", "class"], "left").drop("_a", "pivot")
-        if roots is not None:
-            rest = rest.join(roots.withColumnRenamed("id", "class"), "class", "left")
-        else:
-            rest = rest.withColumn("root", F.lit(None).cast("long"))
-        rest = written(rest.withColumn("root", F.coalesce("root", "class")), "rest")
-        live = written(with_pivots(rest), "regions")
-        if live.isEmpty():
-            break
-    return roots
+def regions_within(stars: DataFrame, distances: DataFrame, verifier: Verifier, reach: float) -> DataFrame:
+    """The regions that those of `stars` (as of with_pivots()) fall into: (region, id, n, rank, far).
 
+    A class is at home in the region of its nearest pivot. A partner within `reach` that is at home with another pivot
+    is at most 2 `reach` nearer to that pivot than to this class's own, by the triangle inequality: the class is
+    replicated to all regions in that window. Pivots themselves are done, as they were tested against all.
 
-def windowed(a: Column, b: Column, reach: float) -> Column:
-    """Whether two documents may link, by their distances to a common pivot; an unknown distance excludes nothing."""
-    return F.coalesce(F.abs(a - b) <= reach, F.lit(True))
+    Where all are about equally far from all pivots, the windows hold nearly everything: more than half of the pairs.
+    Such a region is cut by elements instead. Its smallest set p is no larger than x and y; so if x and y have no common
+    element beyond p's and are linked, both are linked to p as well, and known to be of one component. All others share
+    an element outside p, and meet at one of the leading ones.
+    """
+    rest = stars.where(~F.col("is_pivot"))
+    known = distances.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "distance")
+    placed = written(rest.join(known, ["id", "pivot"]), "placed")
+    nearest = F.min("distance").over(Window.partitionBy("region", "id"))
+    homes = placed.withColumn("nearest", nearest).where(F.col("distance") <= F.col("nearest") + 2 * reach)
+    homes = written(homes.select("region", "size", "id", "n", "rank", "pivot", "distance"), "homes")
+    held = homes.groupBy("region", "size", "pivot").agg(F.count("*").cast("double").alias("held"))
+    work = held.groupBy("region", "size").agg(F.sum(F.col("held") * F.col("held")).alias("pairs"))
+    apart = written(work.where(F.col("pairs") <= F.col("size") * F.col("size") / 2).select("region"), "apart")
+    carried = ["id", "n", "rank", F.col("distance").alias("far")]
+    voronoi = homes.join(small(apart), "region", "left_semi")
+    voronoi = voronoi.select(F.xxhash64("region", "pivot").alias("region"), *carried)
+    whole = placed.where("pivot = least").join(small(apart), "region", "left_anti")
+    whole = written(whole.select("region", "id", "n", "rank", "pivot", "distance"), "whole")
+    cut = verifier.beyond(whole).select(F.xxhash64("region", "element").alias("region"), *carried)
+    return discarding(written(voronoi.unionByName(cut), "within"), placed, homes, apart, whole)
+
+
+def with_roots(live: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return live.withColumn("root", F.col("id"))
+    return live.join(small(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`roots` (id, root) with new `links` (a, b) between classes: components of the components that they join."""
+    if roots is None:
+        return written(components(links), "roots")
+    for side in ("a", "b"):
+        own = roots.select(F.col("id").alias(side), F.col("root").alias("_root"))
+        links = links.join(small(own), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    joined = written(components(links), "joined")
+    further = joined.select(F.col("id").alias("root"), F.col("root").alias("_to"))
+    moved = roots.join(small(further), "root", "left").select("id", F.coalesce("_to", "root").alias("root"))
+    fresh = joined.join(small(roots), "id", "left_anti").select("id", "root")
+    return discarding(written(moved.unionByName(fresh).distinct(), "roots"), joined)
+
+
+def class_links(verifier: Verifier) -> DataFrame | None:
+    """Component roots (id, root) of classes that link with others; None if there are none."""
+    percent = verifier.percent
+    reach = 1 - percent / 100 + 1e-9
+    rows = verifier.classes.select("id", "n", F.posexplode("keys").alias("place", "region"))
+    shared = written(rows.groupBy("region").count().where("count > 1").select("region"), "shared")
+    rank = (F.col("place") / F.col("n")).alias("rank")
+    live = rows.join(small(shared), "region").select("region", "id", "n", rank, F.lit(None).cast("double").alias("far"))
+    live, roots = discarding(written(live, "live"), shared), None
+    while True:
+        known = with_roots(live, roots)
+        regions = unsettled(known)
+        if regions.isEmpty():
+            return roots
+        few = known.join(small(regions.where(F.col("size") <= SMALL_REGION)), "region")
+        few = written(few.select("region", "id", "n", "root", "far"), "few")
+        pairs = written(listed(few, percent, reach), "pairs")
+        large = regions.where(F.col("size") > SMALL_REGION)
+        more = not large.isEmpty()
+        close = tested = verifier.close(pairs)
+        if more:
+            stars = with_pivots(known.join(small(large), "region"))
+            star = written(stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct(), "star")
+            tested = close.union(star)
+        if verifier.sets is None:
+            verifier.load(written(tested.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
+        found = exact = verifier.distances(close)
+        if more:
+            distances = verifier.distances(star)
+            found = exact.unionByName(distances)
+        links = found.where("linked").select("a", "b")
+        if not links.isEmpty():
+            roots = merged(roots, links)
+        discarding(None, regions, few, pairs, close, exact)
+        if not more:
+            return discarding(roots, live)
+        live = discarding(regions_within(stars, distances, verifier, reach), live, stars, star, distances)
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -391,25 +423,31 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
 
 def grouped(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, np.ndarray]:
-    """near_duplicates() with class and root, both null for rows in no component; and the ranks of the buckets."""
+    """near_duplicates() with class and root, a number for each component of several rows; and the ranks of the buckets."""
     ranks = rank_buckets(bucket_counts(documents, words))
     described = written(describe(documents, words, percent, ranks), "described")
-    roots = class_links(documents, described, words, percent, ranks)
-    classes = described.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    classes = classes.withColumn("root", F.col("class"))
-    if roots is not None:
-        rooted = classes.drop("root").join(roots.withColumnRenamed("id", "class"), "class", "left")
-        first = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("lowest"))
-        rooted = rooted.join(first, "root", "left")
-        classes = rooted.select("class", F.coalesce("lowest", "first").alias("first"), F.coalesce("root", "class").alias("root"))
-    found = described.drop("keys").join(classes, "class", "left").select(
+    classes = distinct_classes(described)
+    verifier = Verifier(documents, classes, words, percent, ranks)
+    roots = class_links(verifier)
+    found = with_roots(classes.select("id", "class", "doc_id", "again"), roots)
+    if roots is None:
+        found = found.where("again")
+    else:
+        found = found.join(small(roots.select("id")), "id", "left_semi").unionByName(
+            found.where("again").join(small(roots.select("id")), "id", "left_anti")
+        )
+    first = found.groupBy("root").agg(F.min("doc_id").alias("first"))
+    several = written(found.select("class", "root").join(first, "root"), "several")
+    if verifier.sets is not None:
+        discarding(None, verifier.sets)
+    out = described.drop("keys").join(small(several), "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("first")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"),
         "class",
         F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"),
     )
-    return found, ranks
+    return out, ranks
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -424,7 +462,7 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     repeated = written(counted.where("count > 1").select("doc_id"), "repeated")
     dropped = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     if repeated.isEmpty():
-        return documents.join(small(dropped), "doc_id", "left_anti")
+        return documents.join(small(dropped), "doc_id", "left_anti").select(*documents.columns)
     once = documents.join(small(repeated), "doc_id", "left_anti").join(small(dropped), "doc_id", "left_anti")
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
@@ -435,12 +473,13 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
         return run
 
-    again = written(with_python_columns(documents.join(small(repeated), "doc_id", "left_semi"), make, "_class long"), "again")
-    first = groups.where("class is not null and doc_id = component_id").groupBy("root")
-    first = first.agg(F.min(F.struct(F.col("doc_id").alias("id"), "class")).alias("kept"))
-    first = first.select(F.col("kept.id").alias("doc_id"), F.col("kept.class").alias("_class"))
-    kept = again.join(first.join(small(repeated), "doc_id", "left_semi"), ["doc_id", "_class"], "left_semi")
-    row = F.min_by(F.struct(*(F.col(c) for c in documents.columns)), "text").alias("_row")
-    one = kept.groupBy("doc_id", "_class").agg(row).select("_row.*")
-    empty = again.where("_class is null").select(*documents.columns)
+    held = documents.join(small(repeated), "doc_id", "left_semi")
+    held = held.select("text", F.col("doc_id").cast("long").alias("id"), F.struct(*documents.columns).alias("row"))
+    again = written(with_python_columns(held, make, "class binary"), "again")
+    alone = F.when(F.col("root").isNull(), F.col("class"))
+    first = groups.where("class is not null and doc_id = component_id").groupBy("root", alone.alias("alone"))
+    first = first.agg(F.min(F.struct(F.col("doc_id").alias("id"), "class")).alias("kept")).select("kept.*")
+    kept = again.join(first.join(small(repeated.withColumnRenamed("doc_id", "id")), "id", "left_semi"), ["id", "class"], "left_semi")
+    one = kept.groupBy("id", "class").agg(F.min_by("row", "text").alias("row")).select("row.*")
+    empty = again.where("class is null").select("row.*")
     return once.select(*documents.columns).unionByName(one).unionByName(empty)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,11 @@ BLANKS = r" \t\n\x0B\f\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where the session names none, as in tests, one is made and set."""
+    """The folder of spark.checkpoint.dir. Where a local session names none, as in tests, one is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docket-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,9 +39,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarding(result: Any, *frames: DataFrame) -> Any:
+    """`result`, after deleting the folders of `frames`, which must come from written() and be needed no more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """`df`, to be broadcast if it has few rows (of two or three numbers); otherwise Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+    """`df`, to be broadcast if it has few rows (of two or three numbers).
+
+    Otherwise Spark joins it by a sort-merge join, in which it splits the rows of frequent keys.
+    """
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -60,19 +76,20 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
+        turned = (
             large.join(least, "a")
             .select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
             .select(F.col("e.a").alias("a"), F.col("e.m").alias("b"))
             .where("a <> b")
             .distinct()
         )
-        after = written(small, "edges")
+        after = written(turned, "edges")
         if after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty():
+            discarding(None, edges)
             return after.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).union(
                 after.select("b", "b").distinct()
             )
-        edges = after
+        edges = discarding(after, edges)
 
 
 def with_python_columns(
