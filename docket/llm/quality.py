@@ -1,16 +1,19 @@
-"""Quality rules: per-document figures, and verdicts on hosts whose documents often fail.
+"""Quality rules: per-document figures, and verdicts on hosts on which a rule fails far more often than on others.
 
 Only built-in column expressions. A document's figures need its own text alone. Hosts are aggregated with a partial sum
 before the shuffle, so that a host with a third of all rows is a few partial rows, and the join back is on a table with
 a row per host, which is broadcast if it has at most 100,000 rows and otherwise joined by a shuffle with skewed keys
 split.
 
-A host's rate of failures is shrunk towards the mean of all hosts with a beta prior fitted to the hosts by moments. A
-host is rejected when its shrunk rate reaches `max_rate`.
+Each rule's failures are counted by host. For each rule, a beta prior is fitted to all hosts' rates by moments: its mean,
+and the variance between hosts that chance within hosts doesn't explain. A host's rate is shrunk towards the mean by the
+prior's strength. A host is rejected when the shrunk rate of some rule is more than `deviations` standard deviations of
+the prior above its mean. Where hosts differ by no more than chance, the prior is as strong as all documents, all rates
+shrink to its mean, and no host falls.
 
 Defined cases: a null or empty text has no words, so it fails; a null host is a host of its own; repeated rows count
-each time; with one host, or hosts of one rate, the prior is as strong as one document; an empty table gives no rows.
-Columns whose names are among those added are replaced.
+each time; one host alone is never rejected; very long texts are taken whole, in arrays of their words; an empty table
+gives no rows. Columns named as FIGURES, base_failed, host_rate, host_verdict or kept are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -18,12 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.shared import BLANKS, small, written
+from docket.llm.shared import BLANKS, free_name, small, written
 
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The rules, each true where a document fails. The first two are the base.
+RULES = {
+    "few_words": "n_words < 10",
+    "repeats": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "same_lines": "10 * n_dup_lines > n_words",
+    "word_length": "word_chars < 3 * n_words or word_chars > 10 * n_words",
+}
 
 
 def bound(value: Column, body) -> Column:
@@ -88,51 +99,74 @@ def figures(documents: DataFrame) -> DataFrame:
         words_of(text),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")),
     )
-    docs = documents.withColumn("_counted", counted)
+    name = free_name(documents, "counted")
+    docs = documents.withColumn(name, counted)
     docs = docs.withColumns(
         {
-            "n_words": F.col("_counted.n_words"),
+            "n_words": F.col(f"{name}.n_words"),
             "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.col("_counted.n_repeat_words"),
+            "n_repeat_words": F.col(f"{name}.n_repeat_words"),
         }
-    ).drop("_counted")
-    return docs.withColumn(
-        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    )
+    ).drop(name)
+    return docs.withColumn("base_failed", F.expr(f"({RULES['few_words']}) or ({RULES['repeats']})"))
 
 
-def host_rates(scored: DataFrame, host: str = "source") -> DataFrame:
-    """A row per host: (host, host_docs, host_failed, host_rate), host_rate shrunk by the prior of all hosts."""
-    hosts = scored.groupBy(F.col(host).alias("host")).agg(
-        F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
-    )
-    rate = F.col("host_failed") / F.col("host_docs")
-    moments = hosts.agg(
-        (F.sum("host_failed") / F.sum("host_docs")).alias("mean"),
-        F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("spread"),
-        F.avg(1 / F.col("host_docs")).alias("noise"),
+def host_rates(scored: DataFrame, host: str = "source", deviations: float = 3.0) -> DataFrame:
+    """A row per host: (host, host_docs, host_rate, host_verdict).
+
+    host_rate is the greatest of the rules' shrunk rates; host_verdict names the rules that reject the host, '' if none do.
+    """
+    fails = [F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()]
+    hosts = scored.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"), *fails)
+
+    def moments(name: str) -> Column:
+        return F.struct(
+            (F.sum(name) / F.sum("host_docs")).alias("mean"),
+            F.coalesce(F.var_samp(F.col(name) / F.col("host_docs")), F.lit(0.0)).alias("spread"),
+        ).alias(name)
+
+    prior = hosts.agg(F.sum("host_docs").cast("double").alias("docs"), F.avg(1 / F.col("host_docs")).alias("noise"), *map(moments, RULES))
+    joined = hosts.join(F.broadcast(prior.select(F.struct("*").alias("prior"))))
+
+    def shrunk(name: str) -> Column:
+        """(rate, bound) of one rule on the host."""
+        mean, spread = F.col(f"prior.{name}.mean"), F.col(f"prior.{name}.spread")
+        binomial = mean * (1 - mean)
+        between = spread - binomial * F.col("prior.noise")
+        fitted = F.least(F.greatest(F.try_divide(binomial, between) - 1, F.lit(1.0)), F.col("prior.docs"))
+        strength = F.when(between > 0, fitted).otherwise(F.col("prior.docs"))
+        return bound(
+            strength,
+            lambda s: F.struct(
+                ((F.col(name) + mean * s) / (F.col("host_docs") + s)).alias("rate"),
+                (mean + deviations * F.sqrt(binomial / (s + 1))).alias("bound"),
+            ),
+        )
+
+    judged = joined.select("host", "host_docs", *(shrunk(name).alias(name) for name in RULES))
+    falls = [F.when(F.col(f"{name}.rate") > F.col(f"{name}.bound"), F.lit(name)) for name in RULES]
+    return judged.select(
+        "host",
+        "host_docs",
+        F.greatest(*(F.col(f"{name}.rate") for name in RULES)).alias("host_rate"),
+        F.concat_ws(",", *falls).alias("host_verdict"),
     )
-    binomial = F.col("mean") * (1 - F.col("mean"))
-    between = F.greatest(F.col("spread") - binomial * F.col("noise"), F.lit(0.0))
-    strength = F.when(between > 0, F.greatest(binomial / between - 1, F.lit(1.0))).otherwise(F.lit(1.0))
-    prior = moments.select("mean", strength.alias("strength"))
-    shrunk = (F.col("host_failed") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failed", shrunk.alias("host_rate"))
 
 
-def judge(documents: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """`documents` with figures, base_failed, host_rate and kept.
+def judge(documents: DataFrame, host: str = "source", deviations: float = 3.0) -> DataFrame:
+    """`documents` with figures, base_failed, host_rate, host_verdict and kept.
 
     The figures are computed once: they are written with the given columns, as both the hosts' sums and the result
     need them. Select the columns to keep before the call.
     """
-    scored = written(figures(documents), "quality")
-    return verdicts(scored, host, max_rate)
+    return verdicts(written(figures(documents), "quality"), host, deviations)
 
 
-def verdicts(scored: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    hosts = written(host_rates(scored, host).select(F.col("host").alias("_host"), "host_rate"), "hosts")
-    joined = scored.drop("host_rate").join(small(hosts, 100_000), F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < max_rate))
+def verdicts(scored: DataFrame, host: str = "source", deviations: float = 3.0) -> DataFrame:
+    kept = scored.drop("host_rate", "host_verdict", "kept")
+    name = free_name(kept, "host")
+    rates = host_rates(scored, host, deviations).select(F.col("host").alias(name), "host_rate", "host_verdict")
+    joined = kept.join(small(written(rates, "hosts"), 100_000), F.col(host).eqNullSafe(F.col(name)), "left").drop(name)
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_verdict") == ""))

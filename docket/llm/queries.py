@@ -101,7 +101,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.figures(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return quality.verdicts(written(scored, "quality")).select(
-        "doc_id", *quality.FIGURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate")
+        "doc_id", *quality.FIGURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), "host_verdict"
     )
 
 
@@ -126,20 +126,27 @@ with docs as (
     coalesce(n_repeat_words, 0)::bigint as n_repeat_words
   from docs left join marked on docs.doc_id = marked.doc_id
 ), judged as (
-  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from figures
+  select *, n_words < 10 as few_words, 100 * n_repeat_words > 20 * n_words as repeats, 10 * n_symbols > n_words as symbols,
+    10 * n_dup_lines > n_words as same_lines, word_chars < 3 * n_words or word_chars > 10 * n_words as word_length
+  from figures
 ), hosts as (
-  select source, count(*) as n, sum(case when base_failed then 1 else 0 end) as f from judged group by source
+  select rule, source, count(*) as n, count(*) filter (where failed) as f
+  from (unpivot judged on few_words, repeats, symbols, same_lines, word_length into name rule value failed) group by rule, source
 ), moments as (
-  select sum(f) / sum(n) as m, coalesce(var_samp(f / n), 0) as v, avg(1 / n) as r from hosts
+  select rule, sum(f) / sum(n) as m, coalesce(var_samp(f / n), 0) as v, avg(1 / n) as r, sum(n)::double as docs from hosts group by rule
 ), prior as (
-  select m, case when greatest(v - m * (1 - m) * r, 0) > 0
-    then greatest(m * (1 - m) / greatest(v - m * (1 - m) * r, 0) - 1, 1) else 1 end as s from moments
+  select rule, m, case when v - m * (1 - m) * r > 0
+    then least(greatest(m * (1 - m) / (v - m * (1 - m) * r) - 1, 1), docs) else docs end as s from moments
 ), rates as (
-  select source, (f + m * s) / (n + s) as rate from hosts, prior
+  select rule, source, (f + m * s) / (n + s) as rate, m + 3 * sqrt(m * (1 - m) / (s + 1)) as bound from hosts join prior using (rule)
+), verdicts as (
+  select source, max(rate) as rate, coalesce(string_agg(rule, ',' order by list_position(
+    ['few_words', 'repeats', 'symbols', 'same_lines', 'word_length'], rule)) filter (where rate > bound), '') as verdict
+  from rates group by source
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and rate < 0.5 as kept, round(rate, 6) as host_rate
-from judged join rates on judged.source is not distinct from rates.source
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words or repeats as base_failed,
+  not (few_words or repeats) and verdict = '' as kept, round(rate, 6) as host_rate, verdict as host_verdict
+from judged join verdicts on judged.source is not distinct from verdicts.source
 """
 
 

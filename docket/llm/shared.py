@@ -49,6 +49,14 @@ def discarding(result: Any, *frames: DataFrame) -> Any:
     return result
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as make it no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """`df`, to be broadcast if it has few rows (of two or three numbers).
 

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from docket.llm import quality
 
 BLANK = " \t\n\x0b\f\r"
@@ -27,15 +29,52 @@ def test_figures(spark):
         assert got[i] == brute(t), t
 
 
+def rates_of(hosts):
+    """Shrunk rates and bounds by host and rule, of {host: (documents, failures by rule)}."""
+    out, docs = {}, sum(n for n, _ in hosts.values())
+    for k in range(len(quality.RULES)):
+        rate = {h: f[k] / n for h, (n, f) in hosts.items()}
+        m = sum(f[k] for _, f in hosts.values()) / docs
+        plain = sum(rate.values()) / len(rate)
+        v = sum((x - plain) ** 2 for x in rate.values()) / max(1, len(rate) - 1)
+        between = v - m * (1 - m) * sum(1 / n for n, _ in hosts.values()) / len(hosts)
+        s = min(max(m * (1 - m) / between - 1, 1), docs) if between > 0 else docs
+        for h, (n, f) in hosts.items():
+            out[h, k] = ((f[k] + m * s) / (n + s), m + 3 * (m * (1 - m) / (s + 1)) ** 0.5)
+    return out
+
+
 def test_hosts(spark):
     good = "one two three four five six seven eight nine ten eleven"
-    rows = [(i, f"{good} {i}" if i % 10 else "bad", "a") for i in range(300)]
-    rows += [(1000 + i, "bad" if i % 10 else f"{good} {i}", "b") for i in range(50)]
-    rows += [(2000, "bad", "c"), (2001, f"{good} x", None), (2001, f"{good} x", None)]
-    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    kept = {s: {r.kept for r in out if r.source == s and not r.base_failed} for s in ("a", "b", None)}
-    assert kept == {"a": {True}, "b": {False}, None: {True}}
-    assert not any(r.kept for r in out if r.base_failed) and len(out) == len(rows)
-    rate = {r.source: r.host_rate for r in out}
-    assert 0.1 < rate["a"] < 0.2 and 0.8 < rate["b"] < 0.9 and rate["c"] < 1
+    rows, hosts = [], {}
+    for h in range(30):
+        bad, marked = (30 if h == 7 else 2 + h % 3), (h == 11) * 25
+        hosts[None if h == 3 else f"h{h}"] = (40, (bad, 0, marked, 0, 0))
+        for i in range(40):
+            text = f"{good} {h} {i} long" + " and so on" * (i >= 40 - marked)
+            text = "bad" if i < bad else text + (" ## ## ##" if bad <= i < bad + marked else "")
+            rows.append((h * 100 + i, text.replace(" and so on", ""), None if h == 3 else f"h{h}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    frame = frame.withColumns({c: F.lit("own") for c in ("host", "_host", "counted", "_counted", "prior", "bound", "kept", "rate")})
+    out = quality.judge(frame).collect()
+    assert len(out) == len(rows) and {r.host for r in out} == {r._host for r in out} == {r.counted for r in out} == {"own"}
+    want = rates_of(hosts)
+    names = list(quality.RULES)
+    for r in out:
+        falls = [n for k, n in enumerate(names) if want[r.source, k][0] > want[r.source, k][1]]
+        assert r.host_verdict == ",".join(falls)
+        assert abs(r.host_rate - max(want[r.source, k][0] for k in range(len(names)))) < 1e-9
+        assert r.kept == (not r.base_failed and not falls)
+    assert {r.source: r.host_verdict for r in out if r.host_verdict} == {"h7": "few_words", "h11": "symbols"}
+    assert any(r.source == "h7" and not r.base_failed and not r.kept for r in out)
+
+
+def test_hosts_that_differ_by_chance_all_stay(spark):
+    rng = random.Random(3)
+    good = "one two three four five six seven eight nine ten eleven"
+    rows = [(i, "bad" if rng.random() < 0.1 else good, f"h{i % 20}") for i in range(2000)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert out.where("host_verdict <> ''").count() == 0
+    one = quality.judge(spark.createDataFrame([(1, "bad", "a"), (1, "bad", "a"), (2, good, "a")], "doc_id long, text string, source string"))
+    assert sorted(r.kept for r in one.collect()) == [False, False, True]
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
