@@ -9,13 +9,18 @@ the class's width has at least the class's entropy. Window entropies come from c
 that enters and the one that leaves. A run is suppressed when an allow-list pattern matches it. The span of a run goes
 from the start of its first window at the bound to the end of its last.
 
-Defined cases: a null text is empty; texts without candidates cost one pass of each guard; repeated rows are
-judged each; an empty table gives no rows; columns named `spans` or `redacted` are replaced.
+Work is in proportion to a text's length: a run is cut into characters once, positions and redacted stretches come from
+running sums over blocks, and pieces of a text are cut from blocks of its characters.
+
+Defined cases: a null text is empty; texts without candidates cost one pass of each guard; very long texts, runs of a
+million characters and texts with 100,000 matches are scanned whole; repeated rows are judged each; an empty table gives
+no rows; a column named `spans` is replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,88 +57,143 @@ CLASSES = (
 ALLOWED = (r"(?i)example", r"(?i)abcdefgh", r"01234567", r"(?i)(?:placeholder|changeme|xxxxxxxx)")
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of `values`, an array of ints, all values so far combined.
+
+    An array grows by a copy; so values are taken in blocks of about the root of their number, and what the blocks before
+    come to is then combined into each.
+    """
+
+    def within(block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(combine(F.element_at(acc, -1), x)))
+
+        return F.aggregate(block, F.array().cast("array<int>"), step)
+
+    def cut(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(v), step)
+        return F.transform(starts, lambda s: within(F.slice(v, s, step)))
+
+    def with_before(blocks: Column) -> Column:
+        ends = within(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(
+            bound(
+                ends,
+                lambda e: F.transform(
+                    blocks,
+                    lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: combine(F.get(e, i - 1), x))),
+                ),
+            )
+        )
+
+    some = bound(values, lambda v: bound(cut(v), with_before))
+    return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """Array of (start, order of the kind, kind, end, found) for the leftmost non-overlapping matches of `pattern`."""
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    spans = T_SPANS
-    none = F.array().cast(spans)
 
-    def walk(both: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["piece"])
-            end = start + F.length(x["found"])
-            span = F.struct(
-                start.alias("start"),
+    def spans(both: Column) -> Column:
+        sizes = F.transform(both["found"], lambda f, i: F.length(f) + F.length(F.get(both["pieces"], i)))
+        return F.zip_with(
+            running(sizes, lambda a, x: a + x),
+            both["found"],
+            lambda end, f: F.struct(
+                (end - F.length(f)).alias("start"),
                 F.lit(KINDS.index(kind)).alias("rank"),
                 F.lit(kind).alias("kind"),
                 end.alias("end"),
-                x["found"].alias("found"),
-            )
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).cast(spans).alias("spans"))
-
-        pairs = F.zip_with(
-            F.slice(both["pieces"], 1, F.size(both["found"])),
-            both["found"],
-            lambda p, f: F.struct(p.alias("piece"), f.alias("found")),
+                f.alias("found"),
+            ),
         )
-        return F.aggregate(pairs, begin, step)["spans"]
 
-    all_of = bound(F.struct(pieces.alias("pieces"), found.alias("found")), walk)
+    all_of = bound(F.struct(pieces.alias("pieces"), found.alias("found")), spans)
     return F.filter(all_of, lambda s: keep(s["found"])) if keep else all_of
 
 
+#: Counts of a window are packed: so many bits for each, so many in a number.
+COUNT_BITS, PER_NUMBER = 5, 12
+
+
 def hot_part(run: Column, c: CharClass) -> Column:
     """(first, last): starts of the first and last window of `run` whose entropy reaches the class's bound, or nulls.
 
     With n characters in a window and counts k, entropy is log2(n) - sum(k log2 k) / n. The sum changes by the two
     counts that change, taken from a table of k log2 k.
     """
-    terms = F.array(*(F.lit(k * math.log2(k) if k else 0.0) for k in range(c.width + 1)))
+    assert c.width < 1 << COUNT_BITS
+    terms = F.array(*(F.lit(k * math.log2(k) if k else 0.0) for k in range(c.width + 2)))
     most = c.width * (math.log2(c.width) - c.bits) + 1e-9
-    size = len(c.alphabet) + 1
+    none = F.lit(0).cast("long")
     begin = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"),
+        F.array_repeat(none, len(c.alphabet) // PER_NUMBER + 1).alias("counts"),
         F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
 
-    def place(i: Column) -> Column:
-        return F.position(F.substring(run, i + 1, F.lit(1)), F.lit(c.alphabet))
-
-    def step(acc: Column, i: Column) -> Column:
-        def moved(x: Column) -> Column:
-            comes, goes = x["comes"], x["goes"]
-            same = comes == goes
-            up, down = F.get(acc["counts"], comes), F.get(acc["counts"], goes)
-            change = F.when(same, F.lit(0.0)).otherwise(
-                F.get(terms, up + 1) - F.get(terms, up) + F.when(
-                    goes >= 0, F.get(terms, down - 1) - F.get(terms, down)
-                ).otherwise(F.lit(0.0))
-            )
-            total = acc["sum"] + change
-            start = i - (c.width - 1)
-            hot = (start >= 0) & (total <= most)
-            return F.struct(
-                F.transform(
-                    acc["counts"], lambda k, j: k + (j == comes).cast("int") - (j == goes).cast("int")
-                ).alias("counts"),
-                total.alias("sum"),
-                F.coalesce(acc["first"], F.when(hot, start)).alias("first"),
-                F.when(hot, start).otherwise(acc["last"]).alias("last"),
+    def bit(place: Column) -> Column:
+        return (place % PER_NUMBER * COUNT_BITS).cast("int")
+
+    def number(place: Column) -> Column:
+        return F.floor(place / PER_NUMBER).cast("int")
+
+    def held(counts: Column, place: Column) -> Column:
+        moved = F.call_function("shiftrightunsigned", F.get(counts, number(place)), bit(place))
+        return moved.bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+    def one(place: Column, j: Column) -> Column:
+        """What one character at `place` adds to the number at j."""
+        added = F.call_function("shiftleft", F.lit(1).cast("long"), bit(place))
+        return F.when(number(place) == j, added).otherwise(none)
+
+    def step(acc: Column, x: Column) -> Column:
+        comes, goes = x["comes"], x["goes"]
+
+        def moved(k: Column) -> Column:
+            up, down = k["up"], k["down"]
+            change = F.get(terms, up + 1) - F.get(terms, up)
+            change += F.when(goes >= 0, F.get(terms, down - 1) - F.get(terms, down)).otherwise(F.lit(0.0))
+            start = x["i"] - (c.width - 1)
+            return bound(
+                acc["sum"] + F.when(comes == goes, F.lit(0.0)).otherwise(change),
+                lambda total: F.struct(
+                    F.when(comes == goes, acc["counts"])
+                    .otherwise(
+                        F.transform(
+                            acc["counts"],
+                            lambda n, j: n + one(comes, j) - F.when(goes >= 0, one(goes, j)).otherwise(none),
+                        )
+                    )
+                    .alias("counts"),
+                    total.alias("sum"),
+                    F.coalesce(acc["first"], F.when((start >= 0) & (total <= most), start)).alias("first"),
+                    F.when((start >= 0) & (total <= most), start).otherwise(acc["last"]).alias("last"),
+                ),
             )
 
-        ends = F.struct(
-            place(i).alias("comes"),
-            F.when(i >= c.width, place(i - c.width)).otherwise(F.lit(-1)).alias("goes"),
+        counts = F.struct(
+            held(acc["counts"], comes).alias("up"),
+            F.when(goes >= 0, held(acc["counts"], F.greatest(goes, F.lit(0)))).otherwise(F.lit(1)).alias("down"),
+        )
+        return bound(counts, moved)
+
+    def walk(places: Column) -> Column:
+        moves = F.transform(
+            places,
+            lambda p, i: F.struct(
+                p.alias("comes"),
+                F.when(i >= c.width, F.get(places, i - c.width)).otherwise(F.lit(-1)).alias("goes"),
+                i.alias("i"),
+            ),
         )
-        return bound(ends, moved)
+        return F.aggregate(moves, begin, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
-    positions = F.sequence(F.lit(0), F.length(run) - 1)
-    return F.aggregate(positions, begin, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    places = F.transform(F.regexp_extract_all(run, F.lit("."), 0), lambda x: F.position(x, F.lit(c.alphabet)))
+    return bound(places, walk)
 
 
 def entropy_spans(text: Column, c: CharClass, allowed: tuple[str, ...] = ALLOWED) -> Column:
@@ -173,13 +233,16 @@ def scan(documents: DataFrame, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     def long_value(found: Column) -> Column:
         return F.length(F.regexp_extract(found, ASSIGN, 2)) >= 6
 
+    def once(spans: Column) -> Column:
+        return F.filter(spans, lambda s, i: (i == 0) | (s != F.get(spans, i - 1)))
+
     parts = [
         F.when(named, matches(text, ASSIGN, "assign", long_value)).otherwise(none),
         F.when(F.contains(text, F.lit("AKIA")), matches(text, ACCESS, "access")).otherwise(none),
         F.when(text.rlike(HEX), matches(text, HEX, "hex")).otherwise(none),
         *(entropy_spans(text, c, allowed) for c in CLASSES),
     ]
-    return documents.withColumn("spans", F.array_sort(F.array_distinct(F.concat(*parts))))
+    return documents.withColumn("spans", bound(F.sort_array(F.concat(*parts)), once))
 
 
 def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -188,19 +251,43 @@ def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+#: Characters of a block that pieces of a text are cut from.
+BLOCK = 4096
+
+
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """`text` with each stretch that spans cover replaced by `mark`; overlapping spans are one stretch."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
 
-    done = F.aggregate(
-        spans, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        """Characters from start to end: the end of the first block, the blocks between, the beginning of the last."""
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        after, upto = (start % BLOCK + 1).cast("int"), (end % BLOCK).cast("int")
+        head = F.substring(F.get(blocks, first), after, F.lit(BLOCK))
+        between = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.coalesce(F.substring(F.get(blocks, last), F.lit(1), upto), F.lit(""))
+        inside = F.coalesce(F.substring(F.get(blocks, first), after, (end - start).cast("int")), F.lit(""))
+        return F.when(first == last, inside).otherwise(F.concat(head, between, tail))
+
+    def cut(x: Column) -> Column:
+        def joined_up(far: Column) -> Column:
+            def before(i: Column) -> Column:
+                return F.when(i == 0, F.lit(0)).otherwise(F.get(far, i - 1))
+
+            kept = F.transform(
+                x["spans"],
+                lambda s, i: F.when(
+                    s["start"] >= before(i), F.concat(piece(x["blocks"], before(i), s["start"]), F.lit(mark))
+                ).otherwise(F.lit("")),
+            )
+            rest = piece(x["blocks"], F.element_at(far, -1), x["size"])
+            return F.concat(F.array_join(kept, ""), rest)
+
+        ends = F.transform(x["spans"], lambda s: s["end"])
+        return bound(running(ends, lambda a, b: F.greatest(a, b)), joined_up)
+
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0).alias("blocks"),
+        F.length(text).alias("size"),
+        spans.alias("spans"),
     )
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    return F.when(F.size(spans) == 0, text).otherwise(bound(parts, cut))

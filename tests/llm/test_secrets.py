@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ def texts():
     return out + out[-3:]
 
 
+def cleaned(text, spans):
+    clean, at = "", 0
+    for start, _, _, end in spans:
+        if start >= at:
+            clean += text[at:start] + "<secret>"
+        at = max(at, end)
+    return clean + text[at:]
+
+
 def test_against_brute_force(spark):
     rows = [(i, t, "clash") for i, t in enumerate(texts())]
     out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string"))
@@ -55,12 +65,23 @@ def test_against_brute_force(spark):
         spans = [(s.start, s.rank, s.kind, s.end) for s in got[i].spans]
         assert spans == brute(text), text
         found += len(spans)
-        if not spans:
-            assert got[i].clean == text
-        else:
-            assert "<secret>" in got[i].clean
+        assert got[i].clean == (text if text is None else cleaned(text, spans))
     assert found > 200
 
 
+def test_long_runs_and_many_matches_take_seconds(spark):
+    rng = random.Random(6)
+    alphabet = secrets.CLASSES[1].alphabet
+    run = "".join(rng.choice(alphabet) for _ in range(1_000_000))
+    many = " é\n".join(f"token=abc{k:05d}" for k in range(100_000))
+    frame = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")
+    began = time.time()
+    out = secrets.scan(frame).withColumn("clean", secrets.redact(F.col("text"), F.col("spans")))
+    got = {r.doc_id: (r.n, r.last, r.clean) for r in out.selectExpr("doc_id", "size(spans) n", "element_at(spans, -1) last", "clean").collect()}
+    assert time.time() - began < 60
+    assert got[1][0] == 1 and (got[1][1].start, got[1][1].end) == (0, len(run)) and got[1][2] == "<secret>"
+    assert got[2][0] == 100_000 and got[2][1].end == len(many) and got[2][2] == " é\n".join(["<secret>"] * 100_000)
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
