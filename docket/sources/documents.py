@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,14 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docket.functions.markup import VOID, OpenElements, tokens
 from docket.functions.text import blank_to_null, clean_text, strip
 from docket.operators import schema as S
 
 #: Elements that are dropped from pages, elements that hold text blocks.
-DROPPED = (
+DROPPED = frozenset(
     "script style nav footer header aside form iframe noscript svg audio video button input textarea select option label"
-    " dialog menu"
-).split()
+    " dialog menu".split()
+)
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
 #: File categories by extension, limits of uploads.
 CATEGORIES = {".pdf": "PDF", ".jpg": "Image", ".jpeg": "Image", ".png": "Image", ".csv": "CSV", ".xlsx": "Excel"}
@@ -57,10 +56,8 @@ def apply_reader(files: DataFrame, reader: Callable[[bytes], list[str]]) -> Data
     return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
 
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?][^>]*>|[^<]+|<", re.S)
-RAW = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_PARAGRAPH = frozenset((*BLOCKS, "div", "ul", "ol", "table", "section", "article", "main", "blockquote", "pre", "hr"))
+ROOTS = ("article", "main", "body")
 
 
 def article_text(page: str | None) -> str:
@@ -69,47 +66,48 @@ def article_text(page: str | None) -> str:
     Paragraphs and list items end where browsers end them. A block within a block (a paragraph in a list item) gives its
     text to both, as each is a block of its own. Without blocks, all of the root's text is given.
     """
-    roots: dict[str, tuple[list[list[str]], list[str]]] = {}
-    stack: list[tuple[str, list[str] | None, str | None]] = []
-    whole: tuple[list[list[str]], list[str]] = ([], [])
-    for m in TOKEN.finditer(RAW.sub("", page or "")):
-        tag = m[2].lower() if m[2] else None
-        if tag is None:
-            if m[0].startswith("<") and m[0] != "<" or any(t in DROPPED for t, _, _ in stack):
-                continue
-            text = html.unescape(m[0])
-            for _, block, _ in stack:
-                if block is not None:
-                    block.append(text)
-            for root in [whole, *(roots[r] for _, _, r in stack if r)]:
-                root[1].append(text)
-        elif m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
-        else:
-            if tag in ENDS_PARAGRAPH:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if at is not None:
-                    del stack[at:]
-            if tag == "li":
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol")), None)
-                if at is not None and stack[at][0] == "li":
-                    del stack[at:]
-            if tag in VOID:
-                continue
-            dropped = any(t in DROPPED for t, _, _ in stack)
-            root = tag if tag in ("article", "main", "body") and tag not in roots and not dropped else None
-            if root:
-                roots[root] = ([], [])
-            block = [] if tag in BLOCKS and not dropped else None
+    texts: list[str] = []
+    blocks: list[list[int]] = []  # first and last index in `texts`, in the order in which blocks begin
+    roots: dict[str, list[int]] = {}  # first and last index in `texts`, then in `blocks`
+    stack, dropped = OpenElements(), 0
+
+    def end(at: int) -> None:
+        nonlocal dropped
+        for tag, block, root in stack.close(at):
+            dropped -= tag in DROPPED
             if block is not None:
-                for r in [whole, *(roots[x] for _, _, x in stack if x)]:
-                    r[0].append(block)
-            stack.append((tag, block, root))
-    blocks, text = next((roots[r] for r in ("article", "main", "body") if r in roots), whole)
-    joined = [t for t in ("".join(b).strip() for b in blocks) if t]
-    return "\n\n".join(joined) if joined else "".join(text)
+                block[1] = len(texts)
+            if root is not None:
+                root[1], root[3] = len(texts), len(blocks)
+
+    for kind, x, _, _ in tokens(page or "", frozenset(("script", "style"))):
+        if kind == "text":
+            if not dropped:
+                texts.append(x)
+            continue
+        if kind == "close":
+            if (at := stack.last(x)) >= 0:
+                end(at)
+            continue
+        if x in ENDS_PARAGRAPH and (at := stack.last("p")) >= 0:
+            end(at)
+        if x == "li" and (at := stack.last("li")) > stack.last("ul", "ol"):
+            end(at)
+        if x in VOID:
+            continue
+        root = block = None
+        if not dropped and x in ROOTS and x not in roots:
+            root = roots[x] = [len(texts), -1, len(blocks), -1]
+        if not dropped and x in BLOCKS:
+            block = [len(texts), -1]
+            blocks.append(block)
+        dropped += x in DROPPED
+        stack.push(x, block, root)
+    end(0)
+    whole = [0, len(texts), 0, len(blocks)]
+    first, last, head, tail = next((roots[r] for r in ROOTS if r in roots), whole)
+    joined = [t for t in ("".join(texts[a:b]).strip() for a, b in blocks[head:tail]) if t]
+    return "\n\n".join(joined) if joined else "".join(texts[first:last])
 
 
 @F.pandas_udf(T.StringType())
