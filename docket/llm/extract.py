@@ -3,20 +3,20 @@
 A page is cut into leaf blocks: stretches of text between block-level tags, each with the path of its open elements. A
 bidirectional LSTM in numpy reads a vector per block, made of hashed tokens of the tag path (tags, and words of class and
 id) and hashed words of the text, and so labels every block with the whole page as context. Blocks labelled as main
-text are joined by line feeds.
+text are joined by line feeds. Pages are read by HTML's own tokenizer rules, in one pass.
 
 The model is trained here, on pages that `make_page` composes from a seed with known labels: `PAGES` pages in all,
 whatever the input. Scripts, styles and comments of the markup are no blocks.
 
 Defined cases: a null, empty or markup-free page gives its text as one block to the labeller; unclosed and stray tags are
-handled as browsers do for paragraphs, list items and table cells; character references are decoded, white space in a
-block becomes one space; repeated rows are labelled each; an empty table gives no rows; columns `text` and `n_blocks`
-are replaced.
+handled as browsers do for paragraphs, list items and table cells; a tag that the page's end cuts off gives nothing, and
+quotes count only where a value begins; very long and very deep pages take time in proportion to their length, and all
+their path counts; character references are decoded, white space in a block becomes one space; repeated rows are
+labelled each; an empty table gives no rows; columns `text` and `n_blocks` are replaced.
 """
 
 from __future__ import annotations
 
-import html
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from docket.functions.markup import VOID, OpenElements, tokens
 from docket.llm.jaccard import word_hashes
 from docket.llm.shared import with_python_columns
 
@@ -34,7 +35,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike"
     " strong sub sup time tt u var wbr".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SKIPPED = frozenset("script style template iframe noframes svg math".split())
 #: An element that begins closes an open one of these kinds, as far up as an element of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -46,105 +47,113 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|iframe|noframes|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-PATH_SIZE, WORD_SIZE, EXTRA = 192, 16, 3
+PATH_SIZE, WORD_SIZE, EXTRA = 192, 64, 3
 INPUT = PATH_SIZE + WORD_SIZE + EXTRA
 HIDDEN = 16
 PAGES, BATCH, STEPS = 1500, 16, 600
+#: (tag of the innermost open element, text, share of characters in links, vector of the path)
+Block = tuple[str, str, float, np.ndarray]
 
 
 @lru_cache(20_000)
-def names_of(tag: str, attributes: str) -> tuple[str, ...]:
+def names_of(tag: str, said: str) -> tuple[str, ...]:
     """The tag and the words of its class, id and role."""
-    found = " ".join(x for m in NAMES.finditer(attributes) for x in m.groups() if x)
-    return (tag, *(w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower()) if w))
+    return (tag, *(w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said).lower()) if w))
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path tokens, text, share of characters in links) of each block."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+@lru_cache(50_000)
+def places_of(token: str) -> tuple[tuple[int, float], ...]:
+    """The three places of a vector that a token sets, by hashes of its name."""
+    hashes = [zlib.crc32(f"{k}:{token}".encode()) for k in range(3)]
+    return tuple((h % PATH_SIZE, 1.0 if h >> 16 & 1 else -1.0) for h in hashes)
+
+
+class OpenPath(OpenElements):
+    """Open elements with the sum of the vectors of all distinct tokens on the path, kept up as they open and close."""
+
+    def __init__(self):
+        super().__init__()
+        self.vector = np.zeros(PATH_SIZE, np.float32)
+        self.times: dict[str, int] = {}
+
+    def add(self, token: str, step: int) -> None:
+        before = self.times.get(token, 0)
+        self.times[token] = before + step
+        if not before or not before + step:
+            for place, sign in places_of(token):
+                self.vector[place] += sign * step
+
+    def push(self, tag: str, *more) -> None:
+        super().push(tag, *more)
+        for token in more[0]:
+            self.add(token, 1)
+
+    def close(self, at: int) -> list[tuple]:
+        closed = super().close(at)
+        for _, names in closed:
+            for token in names:
+                self.add(token, -1)
+        return closed
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    """The leaf blocks of a page in order. Work is in proportion to the page's length."""
+    out: list[Block] = []
+    stack = OpenPath()
     parts: list[str] = []
     linked, in_link = 0, False
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            joined = "".join(parts)
-            text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
+            text = " ".join("".join(parts).split())
             if text:
-                path = tuple(x for _, names in stack for x in names)
-                own = f"own:{stack[-1][0]}" if stack else "own:"
-                out.append(((*path, own), text, min(1.0, linked / len(text))))
+                own = stack.items[-1][0] if stack.items else ""
+                vector = stack.vector.copy()
+                for place, sign in places_of(f"own:{own}"):
+                    vector[place] += sign
+                out.append((own, text, min(1.0, linked / len(text)), vector))
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
-        tag = m[3]
-        if tag is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                parts.append(token)
-                if in_link:
-                    linked += len(token)
-            continue
-        tag = tag.lower()
-        if tag in INLINE:
-            if tag == "br":
+    for kind, x, attributes, slash in tokens(page or "", SKIPPED):
+        if kind == "text":
+            parts.append(x)
+            if in_link:
+                linked += len(x)
+        elif x in INLINE:
+            if x == "br":
                 parts.append(" ")
-            elif tag == "a":
-                in_link = not m[2]
-            continue
-        flush()
-        if m[2]:
+            elif x == "a":
+                in_link = kind == "open"
+        elif kind == "close":
+            flush()
             in_link = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in IMPLIED:
-            closes, until = IMPLIED[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in until:
-                    break
-                if stack[i][0] in closes:
-                    del stack[i:]
-        if tag not in VOID and not (m[4].endswith("/") and tag not in ("p", "div", "li")):
-            stack.append((tag, names_of(tag, m[4])))
+            if (at := stack.last(x)) >= 0:
+                stack.close(at)
+        else:
+            flush()
+            if stack.items and stack.items[-1][0] == "p":
+                stack.close(len(stack.items) - 1)
+            if x in IMPLIED:
+                closes, until = IMPLIED[x]
+                while (at := stack.last(*closes)) > stack.last(*until):
+                    stack.close(at)
+            if x not in VOID and not (slash and x not in ("p", "div", "li")):
+                said = " ".join(filter(None, (attributes.get(k) for k in ("class", "id", "role"))))
+                stack.push(x, names_of(x, said))
     flush()
     return out
 
 
-@lru_cache(50_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Each token sets three places of the vector, by hashes of its name."""
-    v = np.zeros(PATH_SIZE, np.float32)
-    for token in set(path[-24:]):
-        for k in range(3):
-            h = zlib.crc32(f"{k}:{token}".encode())
-            v[h % PATH_SIZE] += 1.0 if h >> 16 & 1 else -1.0
-    return v
-
-
-def features(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:
         return x
-    words, first = word_hashes([t.lower().encode("utf-8", "replace") for _, t, _ in blocks])
+    words, first = word_hashes([b[1].lower().encode("utf-8", "replace") for b in blocks])
     owner = np.repeat(np.arange(len(blocks)), np.diff(first))
-    place = owner * WORD_SIZE + (words >> np.uint64(60)).astype(np.int64)
+    place = owner * WORD_SIZE + (words >> np.uint64(58)).astype(np.int64)
     sign = np.where(words & np.uint64(1), 1.0, -1.0)
     bag = np.bincount(place, sign, len(blocks) * WORD_SIZE).reshape(len(blocks), WORD_SIZE)
     count = np.maximum(np.diff(first), 1)
@@ -153,7 +162,7 @@ def features(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     x[:, -2] = [b[2] for b in blocks]
     x[:, -1] = 1
     for i, b in enumerate(blocks):
-        x[i, :PATH_SIZE] = path_vector(b[0])
+        x[i, :PATH_SIZE] = b[3]
     return x
 
 
@@ -278,15 +287,34 @@ FRAMES = {
     "form": ("form", "search login signup subscribe contact"),
 }
 BODIES = ("article main div section", "content article post entry story main body text")
+#: Words that are frequent in such parts. Half of the composed pages use them among random ones.
+TYPICAL = {
+    "menu": "home about contact news products services blog login archive categories search help",
+    "header": "welcome home your the daily official site",
+    "sidebar": "related popular recent posts read more tags follow us trending also most",
+    "advert": "buy now sale offer free shop discount sponsored deal today save order only",
+    "notice": "cookies we use accept policy subscribe newsletter consent continue agree settings privacy",
+    "comments": "reply posted ago says comment comments like agree thanks author wrote share",
+    "footer": "copyright rights reserved privacy terms all contact imprint inc company legal",
+    "form": "name email search submit send password sign login message your required",
+    "main": "the of and to in a is that was for it with as his on be at by had not are but from or have an they which",
+}
 
 
 def make_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     """A composed page and its main blocks."""
     pick = lambda s: (s.split() if isinstance(s, str) else s)[rng.integers(len(s.split() if isinstance(s, str) else s))]
 
+    typical = rng.random() < 0.5
+    kind_now = "main"
+
+    def word() -> str:
+        if typical and rng.random() < 0.4:
+            return pick(TYPICAL[kind_now])
+        return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9)))
+
     def prose(low: int, high: int) -> str:
-        size = int(rng.integers(low, high))
-        return " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(size))
+        return " ".join(word() for _ in range(int(rng.integers(low, high))))
 
     def opened(tags: str, names: str, always: bool) -> tuple[str, str]:
         tag = pick(tags)
@@ -298,7 +326,15 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         return f'<{tag} {kind}="{pick(names)}{extra}">', f"</{tag}>"
 
     def part(kind: str) -> str:
+        nonlocal kind_now
         start, end = opened(*FRAMES[kind], always=False)
+        kind_now = kind
+        try:
+            return start + inside(kind) + end
+        finally:
+            kind_now = "main"
+
+    def inside(kind: str) -> str:
         n = int(rng.integers(1, 6))
         if kind == "menu":
             inner = "<ul>" + "".join(f'<li><a href="/x">{prose(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
@@ -310,7 +346,7 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             inner = pick([f"<h1>{prose(1, 4)}</h1>", f"<div>{prose(1, 5)}</div>", f"<p>{prose(1, 6)}</p>", prose(1, 5)])
         else:
             inner = pick([prose(2, 30), "".join(f"<p>{prose(2, 25)}</p>" for _ in range(n)), f"<h3>{prose(1, 4)}</h3><ul>" + "".join(f"<li><a href=x>{prose(1, 6)}</a></li>" for _ in range(n)) + "</ul>"])
-        return start + inner + end
+        return inner
 
     main: list[str] = []
 
@@ -360,8 +396,15 @@ def trained(pages: int = PAGES, steps: int = STEPS) -> Labeller:
     return Labeller().train(samples, steps)
 
 
+#: Labellers that this process has trained, by the application that did.
+FITTED: dict[str, Labeller] = {}
+
+
 def fitted(spark: SparkSession) -> Labeller:
-    """The trained labeller. One task trains it, on composed pages alone, and sends back its weights."""
+    """The trained labeller. One task trains it, on composed pages alone, and sends back its weights; once a session."""
+    name = spark.sparkContext.applicationId
+    if name in FITTED:
+        return FITTED[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
@@ -371,6 +414,7 @@ def fitted(spark: SparkSession) -> Labeller:
     labeller = Labeller()
     for r in spark.range(1).coalesce(1).mapInArrow(run, "k long, weights binary").collect():
         labeller.p[r.k] = np.frombuffer(r.weights, np.float32).reshape(labeller.p[r.k].shape)
+    FITTED[name] = labeller
     return labeller
 
 
