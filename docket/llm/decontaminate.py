@@ -1,20 +1,22 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A text that holds an item of m characters with at most k edits shares at least m - q + 1 - k q q-grams with it, and these
+A text that holds an item of m bytes with at most k edits shares at least m - q + 1 - k q q-grams with it, and these
 lie within k + 1 neighbouring diagonals (text position less item position). Shared q-grams are counted in bands of
 2 (k + 1) diagonals that overlap by half, so that one band holds them all; bands that reach the bound are verified by a
 banded alignment.
 
 Texts and items are compared in lower case, without ASCII characters other than letters and digits, as UTF-8 bytes.
-The budget k is `edit_rate` of an item's bytes, less where the lemma would demand nothing.
+The budget k is `edit_rate` of an item's bytes; q is 8, or what is less in m / (k + 1), so that the lemma always demands a
+q-gram at least. Short items have short q-grams, and the same bound holds for them.
 
 The items are a stated query set. It is taken in blocks of a bounded size; each block is compared with all rows, and no
 row of a text is shuffled.
 
-Defined cases: a null or empty text has no leaks; items that are null or shorter than `min_chars` compared bytes
-are too short to be evidence and never found; repeated items are each reported, repeated documents too; of several
-places of an item in a text, the one with fewest edits is given, of these the first; an empty benchmark or an empty table
-gives no leaks; a column `leaks` is replaced. Positions are code points of the text.
+Defined cases: a null or empty text has no leaks; items that are null or without a byte to compare are never found;
+items with several ids are each reported, rows that are equal in id and text once; repeated documents are each reported;
+of several places of an item in a text, the one with fewest edits is given, of these the first; very long texts are
+searched whole; an empty benchmark or an empty table gives no leaks; a column `leaks` is replaced, all others stay.
+Positions are code points of the text.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.shared import with_python_columns
+from docket.llm.shared import free_name, with_python_columns
 
 Q = 8
 LEAKS = "leaks array<struct<item_id:long,start:int,end:int,edits:int>>"
@@ -44,21 +46,23 @@ def compared(text: str | None) -> np.ndarray:
     return data[KEPT[data]]
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on, as one number."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes from each position on, as one number."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
     codes, width = data.astype(np.uint64), 1
-    while width < Q:
-        codes = (codes[:-width] << np.uint64(8 * width)) | codes[width:]
-        width *= 2
+    while width < q:
+        step = min(width, q - width)
+        codes = (codes[:-step] << np.uint64(8 * step)) | (codes[step:] & np.uint64((1 << 8 * step) - 1))
+        width += step
     return codes
 
 
 @dataclass
 class Items:
-    """A block of items, and which of them hold a q-gram at which position."""
+    """Items of a block that have one q, and which of them hold a q-gram at which position."""
 
+    q: int
     ids: np.ndarray
     texts: list[np.ndarray]
     budgets: np.ndarray
@@ -70,11 +74,19 @@ class Items:
     sieve: np.ndarray
 
 
-def index_items(rows: list[tuple[int, str | None]], edit_rate: float, min_chars: int) -> Items:
-    kept = [(i, d) for i, d in ((i, compared(t)) for i, t in rows) if len(d) >= max(min_chars, Q)]
+def index_items(rows: list[tuple[int, str | None]], edit_rate: float) -> list[Items]:
+    by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, t in rows:
+        data = compared(t)
+        if len(data):
+            by_q.setdefault(min(Q, len(data) // (int(edit_rate * len(data)) + 1)), []).append((i, data))
+    return [index_of(kept, q, edit_rate) for q, kept in sorted(by_q.items())]
+
+
+def index_of(kept: list[tuple[int, np.ndarray]], q: int, edit_rate: float) -> Items:
     sizes = np.array([len(d) for _, d in kept], np.int64)
-    budgets = np.minimum(np.floor(edit_rate * sizes), (sizes - Q) // Q).astype(np.int64)
-    codes = [grams(d) for _, d in kept]
+    budgets = np.floor(edit_rate * sizes).astype(np.int64)
+    codes = [grams(d, q) for _, d in kept]
     every = np.concatenate([np.zeros(0, np.uint64), *codes])
     owner = np.repeat(np.arange(len(kept)), [len(c) for c in codes])
     place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c)) for c in codes)])
@@ -83,7 +95,7 @@ def index_items(rows: list[tuple[int, str | None]], edit_rate: float, min_chars:
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[(unique * SPREAD) >> np.uint64(64 - SIEVE_BITS)] = True
     return Items(
-        np.array([i for i, _ in kept], np.int64), [d for _, d in kept], budgets, sizes - Q + 1 - budgets * Q,
+        q, np.array([i for i, _ in kept], np.int64), [d for _, d in kept], budgets, sizes - q + 1 - budgets * q,
         unique, np.append(starts, len(every)), owner[order], place[order], sieve,
     )
 
@@ -92,13 +104,13 @@ def regions(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, in
     """(document, item, first diagonal, last diagonal) of the bands that reach the bound; touching bands are joined."""
     sizes = np.array([len(d) for d in docs])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    codes = grams(np.concatenate([*docs, np.zeros(0, np.uint8)]))
+    codes = grams(np.concatenate([*docs, np.zeros(0, np.uint8)]), items.q)
     at = np.flatnonzero(items.sieve[(codes * SPREAD) >> np.uint64(64 - SIEVE_BITS)])
     if not len(at) or not len(items.codes):
         return
     slot = np.minimum(np.searchsorted(items.codes, codes[at]), len(items.codes) - 1)
     doc = np.searchsorted(starts, at, "right") - 1
-    real = (items.codes[slot] == codes[at]) & (at + Q <= starts[doc + 1])
+    real = (items.codes[slot] == codes[at]) & (at + items.q <= starts[doc + 1])
     at, slot, doc = at[real], slot[real], doc[real]
     times = items.starts[slot + 1] - items.starts[slot]
     total = int(times.sum())
@@ -108,8 +120,8 @@ def regions(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, in
     entry = np.arange(total) - np.repeat(np.cumsum(times) - times, times) + items.starts[slot][source]
     item, diagonal = items.owner[entry], (at - starts[doc])[source] - items.place[entry]
     pair = doc[source] * len(items.ids) + item
-    counts = np.bincount(pair, minlength=len(docs) * len(items.ids))
-    enough = counts[pair] >= items.needs[item]
+    _, at_pair, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    enough = counts[at_pair] >= items.needs[item]
     pair, diagonal = pair[enough], diagonal[enough]
     if not len(pair):
         return
@@ -170,22 +182,24 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return least, int(begin[d]), int(ends[d]) + len(item)
 
 
-def code_points(text: str, start: int, end: int) -> tuple[int, int]:
-    """Where compared bytes start to end lie in `text`."""
-    first = last = at = 0
-    for i, c in enumerate(text):
-        size = len(compared(c)) if c > "\x7f" else int(KEPT[ord(c.lower())])
-        if size and at <= start < at + size:
-            first = i
-        if size and at < end <= at + size:
-            last = i + 1
-            break
-        at += size
-    return first, max(first, last)
+def code_points(text: str) -> np.ndarray:
+    """The code point in `text` of each compared byte."""
+    if text.isascii():
+        return np.flatnonzero(KEPT[np.frombuffer(text.lower().encode(), np.uint8)])
+    sizes = [int(KEPT[ord(c.lower())]) if c <= "\x7f" else len(compared(c)) for c in text]
+    return np.repeat(np.arange(len(text)), sizes)
 
 
-def leaks_in(texts: list[str | None], items: Items) -> list[list[dict]]:
+def leaks_in(texts: list[str | None], blocks: list[Items]) -> list[list[dict]]:
     docs = [compared(t) for t in texts]
+    out: list[list[dict]] = [[] for _ in texts]
+    for items in blocks:
+        for doc, leaks in enumerate(leaks_of(texts, docs, items)):
+            out[doc] += leaks
+    return [sorted(x, key=lambda leak: leak["item_id"]) for x in out]
+
+
+def leaks_of(texts: list[str | None], docs: list[np.ndarray], items: Items) -> list[list[dict]]:
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for doc, item, low, high in regions(docs, items):
         budget, pattern = int(items.budgets[item]), items.texts[item]
@@ -201,8 +215,12 @@ def leaks_in(texts: list[str | None], items: Items) -> list[list[dict]]:
         if found:
             best[doc, item] = found
     out: list[list[dict]] = [[] for _ in texts]
+    places: dict[int, np.ndarray] = {}
     for (doc, item), (edits, start, end) in sorted(best.items()):
-        a, b = code_points(texts[doc], start, end)
+        if doc not in places:
+            places = {doc: code_points(texts[doc])}
+        a = int(places[doc][start]) if start < len(places[doc]) else len(texts[doc])
+        b = int(places[doc][end - 1]) + 1 if end > start else a
         out[doc].append({"item_id": int(items.ids[item]), "start": a, "end": b, "edits": edits})
     return out
 
@@ -211,16 +229,16 @@ def find_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
     edit_rate: float = 0.1,
-    min_chars: int = 24,
     block_mb: float = 2.0,
 ) -> DataFrame:
     """`documents` with `leaks`: items found in the text, with their place and edits.
 
     The items' bytes are summed first, and they go to the tasks in blocks of about `block_mb`.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / (block_mb * 1e6)))
+    earlier = free_name(documents, "before")
     out = documents.withColumn("leaks", F.array().cast(LEAKS.split(" ", 1)[1]))
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
@@ -229,10 +247,10 @@ def find_leaks(
             continue
 
         def make(rows=rows):
-            index = index_items(rows, edit_rate, min_chars)
+            index = index_items(rows, edit_rate)
 
             def run(part):
-                before = part.column("_before").to_pylist()
+                before = part.column(earlier).to_pylist()
                 texts = part.column("text").to_pylist()
                 found, first, size = [], 0, 0
                 for i, t in enumerate(texts):
@@ -244,5 +262,5 @@ def find_leaks(
 
             return run
 
-        out = with_python_columns(out.withColumnRenamed("leaks", "_before"), make, LEAKS, rows=1024).drop("_before")
+        out = with_python_columns(out.withColumnRenamed("leaks", earlier), make, LEAKS, rows=1024).drop(earlier)
     return out

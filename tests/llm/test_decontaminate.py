@@ -30,31 +30,37 @@ def corpus():
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
     items = [(i, prose(rng.randrange(6, 30))) for i in range(25)] + [(90, "too short"), (91, None), (92, "")]
-    items.append((93, items[0][1]))
+    items += [(93, items[0][1]), (93, items[0][1])] + [(100 + n, prose(9).replace(" ", "")[:n]) for n in (1, 5, 9, 10, 16, 20, 23, 30, 31, 39)]
     docs = [None, "", "x", prose(5000)]
-    for i in range(120):
+    for i in range(140):
         text = mutate(rng, items[rng.randrange(25)][1], rng.randrange(0, 16)) if i % 3 else prose(15)
+        if i >= 120:
+            text = mutate(rng, items[-1 - rng.randrange(8)][1], rng.randrange(4))
         docs.append(prose(rng.randrange(20)) + ". " + text.upper() + "! é " + prose(rng.randrange(20)))
     return items, docs
 
 
 def test_against_full_alignment(spark):
     items, docs = corpus()
-    documents = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id long, text string, leaks int")
+    documents = spark.createDataFrame([(i, t, 1, i) for i, t in enumerate(docs)], "doc_id long, text string, leaks int, before long")
     benchmark = spark.createDataFrame([(*x, "q") for x in items], "item_id long, text string, extra string")
     for block in (2.0, 0.0005):
         rows = D.find_leaks(documents, benchmark, block_mb=block).collect()
         got = {(r.doc_id, x.item_id): x for r in rows for x in r.leaks}
         hits = 0
+        assert all(r.before == r.doc_id for r in rows) and max(len(r.leaks) for r in rows) > 2
         for d, t in enumerate(docs):
             text = D.compared(t).tobytes()
             for i, x in items:
                 pattern = D.compared(x).tobytes()
-                if len(pattern) < 24:
+                if not pattern:
                     assert (d, i) not in got
                     continue
-                budget = min(int(0.1 * len(pattern)), (len(pattern) - D.Q) // D.Q)
-                least = edits(pattern, text) if len(text) < 2000 else 99
+                budget = int(0.1 * len(pattern))
+                if len(text) >= 2000:
+                    assert ((d, i) in got) or pattern not in text
+                    continue
+                least = edits(pattern, text)
                 assert ((d, i) in got) == (least <= budget), (d, i, least, budget)
                 if (d, i) in got:
                     x = got[d, i]
@@ -66,9 +72,8 @@ def test_against_full_alignment(spark):
 
 def test_code_points():
     text = "É a-b, ñ!"
-    whole = D.compared(text)
-    assert D.code_points(text, 0, len(whole)) == (0, 8)
-    assert D.code_points(text, 2, 4) == (2, 5)
+    assert D.code_points(text).tolist() == [0, 0, 2, 4, 7, 7] and len(D.compared(text)) == 6
+    assert D.code_points("A b.c").tolist() == [0, 2, 4]
 
 
 def test_align_matches_table():
