@@ -76,11 +76,8 @@ from marked group by conv_id
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages")), path)
-    return (
-        warc.read_archives(spark, path, payloads=False)
-        .where("gap_reason is null")
-        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    )
+    records, _ = warc.recover(spark, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """

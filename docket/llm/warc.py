@@ -1,7 +1,8 @@
 """WARC archives: a writer with one gzip member per record, and a reader that salvages damaged archives.
 
 Writing goes through Spark's text writer, so archives land on any store Spark can write to; reading takes them as
-binary files. One archive is one file of `records_per_archive` records at most, and is read by one task.
+binary files. One archive is one file of `records_per_archive` records at most, and is read by one task. So a record may
+have as many bytes as a task's memory holds a few times; an archive, 2 GB at most (Spark's limit of a file in a row).
 
 Defined cases: a null payload is empty; a null or repeated `page_id` is kept (equal smallest ids are each a response;
 null ids count as the largest); payloads shorter than `revisit_from` bytes never make revisits; an empty table gives an
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docket.llm.shared import small, written
 
 #: Fixed values of the format: the first bytes of a gzip member and an empty member, which may stand between others.
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -35,18 +37,24 @@ RECORDS = "archive string, start long, end long, page_id long, url string, paylo
 def with_revisits(pages: DataFrame, revisit_from: int = 100) -> DataFrame:
     """`pages` (page_id, url, html) as (page_id, url, payload, payload_digest, refers_to).
 
-    Digests that occur once are dropped before the join, so only those of repeated payloads are looked up.
+    Only digests of repeated payloads are looked up. Those are broadcast if they are few; otherwise payloads that are too
+    short to be looked up stay out of the join, and the rows of frequent digests are split.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     digested = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    long_enough = F.octet_length("payload") >= revisit_from
     first = (
-        digested.where(F.octet_length("payload") >= revisit_from)
+        digested.where(long_enough)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
         .select("digest", "first_id")
     )
-    return digested.join(first, "digest", "left").select(
+    first = written(first, "repeated")
+    joined = digested.where(long_enough).join(small(first, 100_000), "digest", "left").unionByName(
+        digested.where(~long_enough).withColumn("first_id", F.lit(None).cast(first.schema["first_id"].dataType))
+    )
+    return joined.select(
         "page_id",
         "url",
         "payload",
@@ -218,6 +226,17 @@ def salvage_plain(data: bytes) -> Iterator[dict]:
         yield {"start": gap, "end": len(data), "gap_reason": reason}
 
 
+def recover(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records without their payloads, log of quarantined gaps) of the archives in a folder, each archive read once.
+
+    The log (archive, start, end, gap_reason) stays beside the archives, at `path`-quarantine.
+    """
+    found = written(read_archives(spark, path, payloads=False).drop("payload"), "records")
+    log = found.where("gap_reason is not null").select("archive", "start", "end", "gap_reason")
+    log.write.parquet(f"{path}-quarantine")
+    return found.where("gap_reason is null").drop("gap_reason"), spark.read.parquet(f"{path}-quarantine")
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record and every gap (gap_reason not null) of the archives in a folder; columns as in RECORDS."""
     schema = to_arrow_schema(T.StructType.fromDDL(RECORDS))

@@ -1,4 +1,5 @@
 import random
+import re
 
 from docket.llm import warc
 
@@ -52,6 +53,31 @@ def test_damaged_members_are_skipped_and_logged():
     assert sum(r["end"] - r["start"] for r in rows) == len(data)
 
 
+def test_damaged_archives_are_logged_where_they_stay_readable(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(40)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.with_revisits(pages.coalesce(1)), path, records_per_archive=10)
+    files = sorted((tmp_path / "w").glob("part*"))
+    assert len(files) == 4
+    data = bytearray(files[0].read_bytes())
+    starts = [m.start() for m in re.finditer(re.escape(warc.GZIP_MAGIC), data)]
+    at = next(a for a, b in zip(starts[4:], starts[5:]) if b - a > 60)
+    data[at + 30] ^= 0xFF
+    files[0].write_bytes(bytes(data))
+    (tmp_path / "w" / f".{files[0].name}.crc").unlink()
+    records, log = warc.recover(spark, path)
+    assert records.count() == 39 and [r.archive.endswith(files[0].name) for r in log.collect()] == [True]
+    again = spark.read.parquet(f"{path}-quarantine").first()
+    assert 0 <= again.start < again.end <= len(data) and again.gap_reason
+
+
+def test_long_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000)], "page_id long, url string, html string")
+    warc.write_archives(warc.with_revisits(pages), str(tmp_path / "w"))
+    got = warc.recover(spark, str(tmp_path / "w"))[0].orderBy("page_id").collect()
+    assert [(r.payload_bytes, r.record_type, r.refers_to) for r in got] == [(6_000_000, "response", None), (6_000_000, "revisit", 1)]
+
+
 def test_damaged_plain_records():
     plain = members()
     data = b"junk" + plain[0] + plain[1].replace(b"page 1", b"PAGE 1", 1) + plain[2][:200] + plain[3] + plain[4] + b"tail"
