@@ -26,20 +26,17 @@ class DedupConfig:
     weights: tuple[float, float, float, float] = (0.85, 0.80, 0.75, 0.70)
 
 
+#: So many open rows, and pairs of them, are settled on the driver.
+IN_ORDER = 10_000
 EXACT_REASON = "Exact match on case number / FIR identifier."
 
 
 def exact_matches(records: DataFrame, cases: DataFrame) -> DataFrame:
     """`records` (fir_number, case_number, ...) with `matched_id`: the case stored under the FIR number, else the case number."""
     stored = cases.where("case_number <> ''").groupBy("case_number").agg(F.min("case_id").alias("_id"))
-    by_fir = stored.select(F.col("case_number").alias("_fir"), F.col("_id").alias("_by_fir"))
-    by_case = stored.select(F.col("case_number").alias("_case"), F.col("_id").alias("_by_case"))
-    return (
-        records.join(by_fir, F.col("fir_number") == F.col("_fir"), "left")
-        .join(by_case, F.col("case_number") == F.col("_case"), "left")
-        .withColumn("matched_id", F.coalesce("_by_fir", "_by_case"))
-        .drop("_fir", "_case", "_by_fir", "_by_case")
-    )
+    found = join_known(records, stored.withColumnsRenamed({"case_number": "fir_number", "_id": "_by_fir"}), "fir_number")
+    found = join_known(found, stored.withColumnRenamed("_id", "_by_case"), "case_number")
+    return found.withColumn("matched_id", F.coalesce("_by_fir", "_by_case")).drop("_by_fir", "_by_case")
 
 
 def coordinate_pairs(left: DataFrame, right: DataFrame, degrees: float) -> DataFrame:
@@ -134,6 +131,11 @@ def best_matches(pairs: DataFrame, config: DedupConfig = DedupConfig()) -> DataF
     )
 
 
+def people_of_cases(case_persons: DataFrame, persons: DataFrame) -> DataFrame:
+    """(case_id, full_name): the people that are linked to each case."""
+    return case_persons.join(persons.select("person_id", "full_name"), "person_id").select("case_id", "full_name")
+
+
 def check_duplicates(
     records: DataFrame, cases: DataFrame, locations: DataFrame, people: DataFrame, vehicles: DataFrame,
     config: DedupConfig = DedupConfig(), window_days: int | None = None,
@@ -149,6 +151,68 @@ def check_duplicates(
     )
     rest = keyed.where("matched_id is null").drop("matched_id")
     places = cases.select("case_id", "location_id").join(locations, "location_id")
+    pairs = scored_pairs(rest, cases, places, people, vehicles, config, window_days)
+    fuzzy = best_matches(pairs, config).withColumnRenamed("a_id", "row_id")
+    found = exact.unionByName(fuzzy)
+    return records.select("row_id").join(found, "row_id", "left").select(
+        "row_id",
+        F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        "matched_id",
+        "reason",
+    )
+
+
+def check_batch(records: DataFrame, columns: dict[str, Column], config: DedupConfig = DedupConfig(), window_days: int | None = None) -> DataFrame:
+    """(row_id, is_duplicate, confidence, matched_id, reason) of `records` taken one after the other, by row_id.
+
+    Each is compared with the earlier ones that were no duplicates, as if these were stored: `columns` give a stored case's
+    case_number, description and incident_time from a record. matched_id is the row_id of an earlier record.
+    """
+    cases = records.select(F.col("row_id").alias("case_id"), *(columns[c].alias(c) for c in ("case_number", "description", "incident_time")))
+    location = F.col("location")
+    places = records.where("location is not null").select(
+        F.col("row_id").alias("case_id"), location["address"].alias("address"),
+        location["latitude"].cast("decimal(10,8)").alias("latitude"), location["longitude"].cast("decimal(11,8)").alias("longitude"),
+    )
+    everyone = F.explode(F.concat("victims", "suspects", "witnesses", "officers"))
+    people = records.select(F.col("row_id").alias("case_id"), everyone.alias("p")).select("case_id", F.col("p.name").alias("full_name"))
+    vehicles = records.select(F.col("row_id").alias("case_id"), F.explode("vehicles").alias("v"))
+    vehicles = vehicles.select("case_id", F.col("v.registration_number").alias("registration_number"))
+    pairs = scored_pairs(records, cases, places, people, vehicles, config, window_days)
+    pairs = written(pairs.where((F.col("b_id") < F.col("a_id")) & (F.col("confidence") >= config.least)), "similar")
+    seeks = F.filter(F.array("fir_number", "case_number"), lambda x: x.isNotNull() & (x != ""))
+    rows = records.select(F.col("row_id").alias("id"), blank_to_null(columns["case_number"]).alias("number"), seeks.alias("seeks"))
+    rows = written(rows, "numbers")
+    kept = settle_in_order(pairs.select(F.col("b_id").alias("earlier"), F.col("a_id").alias("later")), rows)
+    kept = written(kept, "kept")
+    stays = kept.where("kept").select(F.col("id").alias("b_id"))
+    gone = rows.join(kept.where("not kept").select("id"), "id", "left_semi")
+    numbers = rows.join(stays.withColumnRenamed("b_id", "id"), "id", "left_semi").where("number is not null")
+    numbers = numbers.groupBy("number").agg(F.min("id").alias("b_id"))
+    exact = gone.select("id", F.explode("seeks").alias("number")).join(numbers, "number").where("b_id < id")
+    exact = exact.groupBy("id").agg(F.min("b_id").alias("matched_id"))
+    exact = exact.select("id", F.lit(1.0).alias("confidence"), "matched_id", F.lit(EXACT_REASON).alias("reason"))
+    similar = pairs.join(gone.select(F.col("id").alias("a_id")), "a_id", "left_semi").join(stays, "b_id", "left_semi")
+    similar = best_matches(similar, config).withColumnRenamed("a_id", "id").select("id", "confidence", "matched_id", "reason")
+    found = exact.unionByName(similar.join(exact.select("id"), "id", "left_anti"))
+    return kept.select("id", "kept").join(found, "id", "left").select(
+        F.col("id").alias("row_id"),
+        (~F.col("kept")).alias("is_duplicate"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        "matched_id",
+        "reason",
+    )
+
+
+def scored_pairs(
+    rest: DataFrame, cases: DataFrame, places: DataFrame, people: DataFrame, vehicles: DataFrame,
+    config: DedupConfig = DedupConfig(), window_days: int | None = None,
+) -> DataFrame:
+    """Pairs of records `rest` (a_id) and cases (b_id) that some facet makes similar, as of confidence().
+
+    `places` has (case_id, address, latitude, longitude).
+    """
     spot = coordinate_pairs(
         rest.select(F.col("row_id").alias("id"), F.col("location.latitude").alias("lat"), F.col("location.longitude").alias("lon")),
         places.select(F.col("case_id").alias("id"), F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon")),
@@ -194,15 +258,13 @@ def check_duplicates(
         stored = cases.select(F.col("case_id").alias("b_id"), F.to_date("incident_time").alias("_stored"))
         apart = F.abs(F.datediff("incident_date", "_stored"))
         pairs = pairs.join(dated, "a_id").join(stored, "b_id").where(apart.isNull() | (apart <= window_days))
-    fuzzy = best_matches(confidence(pairs, config), config).withColumnRenamed("a_id", "row_id")
-    found = exact.unionByName(fuzzy)
-    return records.select("row_id").join(found, "row_id", "left").select(
-        "row_id",
-        F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        "matched_id",
-        "reason",
-    )
+    return confidence(pairs, config)
+
+
+def join_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Left join of `rows` with `known` on `key`. Rows without a key stay out of the shuffle, where they'd all meet."""
+    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema.fields if f.name != key]
+    return rows.where(F.col(key).isNotNull()).join(known, key, "left").unionByName(rows.where(F.col(key).isNull()).select("*", *added))
 
 
 def first_wins(rows: DataFrame, key: Column, order: str) -> DataFrame:
@@ -213,27 +275,52 @@ def first_wins(rows: DataFrame, key: Column, order: str) -> DataFrame:
     keyed = rows.withColumn("_key", F.sha2(key.cast("binary"), 256))
     first = keyed.where("_key is not null").groupBy("_key").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
     first = first.where("_n > 1").drop("_n")
-    return keyed.join(first, "_key", "left").withColumn("matched_id", F.when(F.col("_first") < F.col(order), F.col("_first"))).drop("_key", "_first")
+    return join_known(keyed, first, "_key").withColumn("matched_id", F.when(F.col("_first") < F.col(order), F.col("_first"))).drop("_key", "_first")
 
 
-def settle_in_order(pairs: DataFrame, rows: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, kept): the outcome of taking rows in order and dropping each that is similar to an earlier kept one.
+def settle_in_order(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, kept): the outcome of taking rows in order and dropping each that matches an earlier kept one.
 
-    `pairs` has (earlier, later). In each round rows are settled whose earlier neighbours all are; a row goes when one
-    of them is kept. Ends when all are settled; a chain of n rows takes n rounds.
+    `pairs` has (earlier, later) of similar rows. `rows` has id, and may have `number` and `seeks` (an array): a row also
+    matches earlier ones whose number it seeks. In each round, rows are kept that match no earlier open row, and those
+    that match them go. A chain of n rows takes n rounds; so once IN_ORDER rows and pairs or fewer are open, they are
+    collected and taken one after the other.
     """
-    open_rows = rows.select("id").distinct()
+    if "number" not in rows.columns:
+        rows = rows.select("id", F.lit(None).cast("string").alias("number"), F.array().cast("array<string>").alias("seeks"))
+    open_rows = written(rows.select("id", "number", "seeks").dropDuplicates(["id"]), "open")
     edges = written(pairs.where("earlier < later").select("earlier", "later").distinct(), "pairs")
     settled = []
-    for _ in range(most_rounds):
-        free = open_rows.join(edges.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
-        gone = edges.join(free.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"))
-        now = free.select("id", F.lit(True).alias("kept")).union(gone.distinct().select("id", F.lit(False)))
-        settled.append(written(now, "settled"))
+    while True:
+        left = open_rows.count()
+        if left <= IN_ORDER and edges.count() <= IN_ORDER:
+            settled.append(settled_here(open_rows, edges))
+            return reduce(DataFrame.union, settled)
+        sought = open_rows.select("id", F.explode("seeks").alias("number"))
+        first = open_rows.where("number is not null").groupBy("number").agg(F.min("id").alias("first"))
+        blocked = sought.join(first, "number").where("first < id").select("id").union(edges.select("later")).distinct()
+        free = written(open_rows.join(blocked, "id", "left_anti"), "free")
+        similar = edges.join(free.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"))
+        kept = free.where("number is not null").groupBy("number").agg(F.min("id").alias("first"))
+        same = sought.join(kept, "number").where("first < id").select("id")
+        gone = similar.union(same).distinct()
+        settled.append(written(free.select("id", F.lit(True).alias("kept")).union(gone.select("id", F.lit(False))), "settled"))
         done = settled[-1].select("id")
         open_rows = written(open_rows.join(done, "id", "left_anti"), "open")
         edges = edges.join(done.withColumnRenamed("id", "earlier"), "earlier", "left_anti")
         edges = written(edges.join(done.withColumnRenamed("id", "later"), "later", "left_anti"), "pairs")
-        if open_rows.isEmpty():
-            break
-    return reduce(DataFrame.union, settled)
+
+
+def settled_here(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """settle_in_order() of few rows, one after the other."""
+    earlier: dict[int, list[int]] = {}
+    for e in edges.collect():
+        earlier.setdefault(e.later, []).append(e.earlier)
+    kept, numbers, out = set(), set(), []
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        stays = not numbers.intersection(r.seeks or ()) and not kept.intersection(earlier.get(r.id, ()))
+        out.append((r.id, stays))
+        if stays:
+            kept.add(r.id)
+            numbers.add(r.number)
+    return rows.sparkSession.createDataFrame(out, "id long, kept boolean")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.functions.lineage import written
-from docket.functions.text import first_filled
 from docket.operators import dedup, geocode, persist
 from docket.operators.validate import validate
 from docket.sources import documents, tabular
@@ -37,30 +36,27 @@ class Ingest:
     def outcomes(self, records: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
         """`records` (row_id and a record) with errors, warnings, is_duplicate, matched_id, and `outcome`.
 
-        Invalid records are never compared. Within the batch the first record of a case number wins.
+        Invalid records are never compared. The others are compared with the stored cases, and those that match none with
+        the earlier ones of the batch that were accepted; there, matched_row is the earlier record's row_id.
         """
         checked = validate(records.drop("is_duplicate", "duplicate_reason"), self.as_of)
         if self.gazetteer is not None:
             checked = geocode.enrich(checked, self.gazetteer)
         checked = written(checked, "checked")
         valid = checked.where("is_valid")
+        people = stored["people"] if "people" in stored else dedup.people_of_cases(stored["case_persons"], stored["persons"])
         found = dedup.check_duplicates(
-            valid, stored["cases"], stored["locations"], stored["people"], stored["vehicles"], self.config, self.window_days
-        ).withColumnRenamed("reason", "duplicate_reason")
-        found = written(found, "duplicates")
-        fresh = valid.join(found.where("not is_duplicate").select("row_id"), "row_id", "left_semi")
-        key = first_filled(F.col("case_number"), F.col("fir_number"))
-        later = dedup.first_wins(fresh.select("row_id", key.alias("_number")), F.col("_number"), "row_id")
-        later = later.where("matched_id is not null").select("row_id", F.col("matched_id").alias("_earlier"))
-        joined = checked.join(found, "row_id", "left").join(later, "row_id", "left")
-        duplicate = F.coalesce("is_duplicate", F.lit(False)) | F.col("_earlier").isNotNull()
-        return joined.withColumns(
-            {
-                "is_duplicate": duplicate,
-                "duplicate_reason": F.coalesce("duplicate_reason", F.when(F.col("_earlier").isNotNull(), F.lit(dedup.EXACT_REASON))),
-                "outcome": F.when(~F.col("is_valid"), "Invalid").when(duplicate, "Duplicate").otherwise("Inserted"),
-            }
-        ).drop("_earlier")
+            valid, stored["cases"], stored["locations"], people, stored["vehicles"], self.config, self.window_days
+        )
+        found = written(found.withColumn("matched_row", F.lit(None).cast("long")), "duplicates")
+        fresh = written(valid.join(found.where("not is_duplicate").select("row_id"), "row_id", "left_semi"), "fresh")
+        later = dedup.check_batch(fresh, persist.case_columns(), self.config, self.window_days).where("is_duplicate")
+        later = written(later.withColumnRenamed("matched_id", "matched_row").withColumn("matched_id", F.lit(None).cast("long")), "later")
+        found = found.join(later.select("row_id"), "row_id", "left_anti").unionByName(later)
+        joined = checked.join(found.withColumnRenamed("reason", "duplicate_reason"), "row_id", "left")
+        duplicate = F.coalesce("is_duplicate", F.lit(False))
+        outcome = F.when(~F.col("is_valid"), "Invalid").when(duplicate, "Duplicate").otherwise("Inserted")
+        return joined.withColumns({"is_duplicate": duplicate, "outcome": outcome})
 
     def tables(self, outcomes: DataFrame, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return persist.persist(written(outcomes.where("outcome = 'Inserted'"), "accepted"), stored)

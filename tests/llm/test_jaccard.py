@@ -57,9 +57,10 @@ def corpus(seed, groups=25):
     return [(k, texts[i]) for k, i in enumerate(order)] + [(None, "one two three"), (5, texts[order[5]]), (5, texts[order[5]])]
 
 
-@pytest.mark.parametrize(("words", "percent", "small"), [(4, 85, 32), (5, 80, 2), (2, 50, 3)])
+@pytest.mark.parametrize(("words", "percent", "small"), [(4, 85, 8), (5, 80, 2), (2, 50, 3)])
 def test_against_all_pairs(spark, monkeypatch, words, percent, small):
     monkeypatch.setattr(J, "SMALL_REGION", small)
+    monkeypatch.setattr(J, "LISTED", 3 * small)
     rows = corpus(words * 100 + small)
     documents = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
     got = J.near_duplicates(documents, words, percent).collect()

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -41,6 +42,16 @@ RECORDS = [
 ]
 
 
+def apart(records):
+    """Records with narratives that don't resemble each other, where they would have the usual one."""
+    at, usual, rng = S.RECORD.fieldNames().index("description"), record()[S.RECORD.fieldNames().index("description")], random.Random(2)
+    other = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(60))
+    return [(*r[:at], other() if r[at] == usual else r[at], *r[at + 1 :]) for r in records]
+
+
+RECORDS = apart(RECORDS)
+
+
 def outcomes(spark):
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(RECORDS, 1)], S.T.StructType([S.T.StructField("row_id", S.T.LongType()), *S.RECORD.fields]))
     chain = Ingest(as_of=F.lit(datetime(2024, 6, 1)))
@@ -126,3 +137,53 @@ def test_stream(spark, tmp_path):
     run.awaitTermination(120)
     assert sorted(r.outcome for r in spark.read.parquet(str(tmp_path / "out/outcomes")).collect()) == ["Inserted", "Invalid"]
     assert persist.read_committed(spark, str(tmp_path / "out"), "cases").count() == 1
+
+
+def greedy(rows, pairs):
+    earlier, kept, numbers, out = {}, set(), set(), {}
+    for a, b in pairs:
+        earlier.setdefault(b, set()).add(a)
+    for i, number, seeks in sorted(rows):
+        out[i] = not (set(seeks) & numbers) and not (earlier.get(i, set()) & kept)
+        if out[i]:
+            kept.add(i)
+            numbers.add(number)
+    return out
+
+
+def test_settling_long_chains_and_numbers(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(1, 151)]
+    got = {r.id: r.kept for r in dedup.settle_in_order(spark.createDataFrame(chain, "earlier long, later long"), spark.range(1, 152)).collect()}
+    assert got == {i: i % 2 == 1 for i in range(1, 152)}
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "a", "b", f"n{i}"]), rng.sample(["a", "b", "c", f"n{i - 1}"], rng.randrange(3))) for i in range(40)]
+    pairs = [tuple(sorted(rng.sample(range(40), 2))) for _ in range(25)]
+    frames = spark.createDataFrame(pairs, "earlier long, later long"), spark.createDataFrame(rows, "id long, number string, seeks array<string>")
+    for few in (0, 12, 10_000):
+        monkeypatch.setattr(dedup, "IN_ORDER", few)
+        got = {r.id: r.kept for r in dedup.settle_in_order(*frames).collect()}
+        assert got == {i: v for i, v in greedy([(i, n or object(), s) for i, n, s in rows], pairs).items()}
+
+
+def test_similar_records_of_one_batch(spark):
+    told = "a man in a blue coat took the silver watch from the shop window at noon"
+    batch = [
+        record(fir_number="B-1", case_number="X-1", description=told),
+        record(fir_number="B-2", description=told.replace("noon", "moon")),
+        record(fir_number="B-3", case_number="B-2"),
+        record(fir_number="X-1"),
+        record(fir_number="B-5", location=place(33.0, 44.0)),
+        record(fir_number="B-6", location=place(33.0009, 44.0)),
+        record(fir_number="B-7", location=place(33.0018, 44.0)),
+    ]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(apart(batch), 1)], S.T.StructType([S.T.StructField("row_id", S.T.LongType()), *S.RECORD.fields]))
+    stored = tables(spark)
+    del stored["people"]
+    stored["case_persons"] = spark.createDataFrame([(1, 7)], "case_id long, person_id long")
+    stored["persons"] = spark.createDataFrame([(7, "X1", "Zed")], "person_id long, identification_mark string, full_name string")
+    rows = {r.row_id: r for r in Ingest(as_of=F.lit(datetime(2024, 6, 1))).outcomes(frame, stored).collect()}
+    assert [rows[i].outcome for i in range(1, 8)] == ["Inserted", "Duplicate", "Inserted", "Duplicate", "Inserted", "Duplicate", "Inserted"]
+    assert (rows[2].matched_row, rows[2].matched_id) == (1, None) and rows[2].confidence > 0.75
+    assert rows[2].duplicate_reason.startswith("narrative description")
+    assert (rows[4].matched_row, rows[4].confidence, rows[4].duplicate_reason) == (1, 1.0, dedup.EXACT_REASON)
+    assert (rows[6].matched_row, rows[6].confidence) == (5, 0.85)
