@@ -53,14 +53,19 @@ def indel_ratio_long(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+def banded(a: Column, b: Column, most: Column) -> Column:
+    """The edit distance, or -1 if it is more than `most`: only a band of the table is filled."""
+    return F.call_function("levenshtein", a, b, most)
+
+
 def may_reach(a: Column, b: Column, percent: float) -> Column:
     """Necessary for a ratio of `percent`: by length, and by edit distance, which is at most the number of indels."""
     total = F.length(a) + F.length(b)
     most = F.floor((1 - percent / 100) * total).cast("int") + 1
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (banded(a, b, most) >= 0)
 
 
-def similar_strings(left: DataFrame, right: DataFrame, percent: float, long: bool = False) -> DataFrame:
+def similar_strings(left: DataFrame, right: DataFrame, percent: float) -> DataFrame:
     """Pairs (a, b, ratio) of distinct strings of `left` (a) and `right` (b) with a ratio of at least `percent`.
 
     Lengths of similar strings differ by a factor of (2 - t) / t at most, so strings meet in neighbouring classes of a
@@ -76,7 +81,7 @@ def similar_strings(left: DataFrame, right: DataFrame, percent: float, long: boo
     two = right.where("b <> ''").select("b").distinct()
     one = one.withColumn("_class", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: scale("a") + k)))
     two = two.withColumn("_class", scale("b"))
-    ratio = (indel_ratio_long if long else indel_ratio)(F.col("a"), F.col("b"))
+    ratio = indel_ratio_long(F.col("a"), F.col("b"))
     near = one.join(two, "_class").where(may_reach(F.col("a"), F.col("b"), percent)).drop("_class")
     return near.withColumn("ratio", ratio).where(F.col("ratio") >= percent)
 

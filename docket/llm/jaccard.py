@@ -5,13 +5,13 @@ The space is therefore first cut by elements: all are put in one order, rare one
 regions of its leading n - ceil(t n) + 1 elements of n. Two linked documents share one of these. Nearly all documents
 share none of them with any other, and are done.
 
-Each round takes the regions that still hold several components. Small ones list their pairs across components, less
-those that a window excludes: |d(x, p) - d(y, p)| beyond the threshold's distance, p the region's pivot. In a larger one,
-pivots are chosen and the exact distances of all its documents to them measured; links join components, so a group of
-thousands of near copies is one component after that, and its pairs are never listed. The others go to the Voronoi
-region of the nearest pivot and are replicated to those within a window of twice the threshold's distance
-(`regions_within`). The next round does the same in these regions, until none holds several components. Each round takes
-its pivots out of their region, so the recursion ends; no limit is set.
+Each round takes the regions that still hold several components. In all but small ones, pivots are chosen and the exact
+distances of all documents to them measured; links join components, so a group of thousands of near copies is one
+component after that, and its pairs are never listed. Large regions then fall into the Voronoi regions of their pivots,
+to which boundary documents are replicated by triangle-inequality windows (`regions_within`), and the next round does the
+same in these. Small regions list their pairs across components, less those that a window excludes: |d(x, p) - d(y, p)|
+beyond the threshold's distance, p a pivot. Each round takes its pivots out of their region, so the recursion ends; no
+limit is set.
 
 Documents with equal sets are one class from the start; sets are taken as equal by 128-bit hashes. Elements are 64-bit
 hashes of shingles whose leading bits are replaced by the rank of their frequency bucket, which makes the number also the
@@ -38,9 +38,14 @@ from pyspark.sql import functions as F
 from docket.llm.shared import components, discarding, small, with_python_columns, written
 
 BUCKET_BITS = 17
-#: Regions of more classes than this get pivots, this many; pairs are listed in others only.
-SMALL_REGION = 16
+#: Regions of more classes than this get a pivot, those of more than LISTED so many. What is left of up to LISTED classes
+#: lists its pairs after that.
+SMALL_REGION = 3
 PIVOTS = 8
+STUCK_PIVOTS = 32
+LISTED = 256
+#: Elements of 8 bytes that are sent to all tasks at once at most.
+BROADCAST = 4_000_000
 REST = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 IS_BLANK = np.zeros(256, bool)
@@ -221,11 +226,12 @@ def distinct_classes(described: DataFrame) -> DataFrame:
 
 
 class Verifier:
-    """Exact distances of pairs of classes, by their whole sets, which are made from the texts again."""
+    """Exact distances of pairs of classes, by their whole sets, which are made from the texts again, where needed."""
 
     def __init__(self, documents: DataFrame, classes: DataFrame, words: int, percent: int, ranks: np.ndarray):
         self.documents, self.classes, self.words, self.percent, self.ranks = documents, classes, words, percent, ranks
         self.sets: DataFrame | None = None
+        self.parts: list[DataFrame] = []
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """The `pairs` (a, b) whose leading elements leave room for a link.
@@ -233,71 +239,91 @@ class Verifier:
         Linked sets of n and m elements share at least o = ceil(t (n + m) / (1 + t)). Of their shared elements, the
         first o + 1 - ceil(t max(n, m)) are among the leading ones of both.
         """
+        pairs = written(pairs, "pairs")
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         heads = written(self.classes.join(small(ids), "id").select("id", "n", "keys"), "heads")
         n, m = F.col("n_a"), F.col("n_b")
         overlap = F.ceil(self.percent * (n + m) / (100 + self.percent) - 1e-9)
         need = overlap + 1 - F.ceil(self.percent * F.greatest(n, m) / 100 - 1e-9)
-        both = self.joined(pairs, heads, ["n", "keys"]).where(F.size(F.array_intersect("keys_a", "keys_b")) >= need)
-        return discarding(written(both.select("a", "b"), "close"), ids, heads)
+        share = 1 - self.percent / 100
+        both = self.joined(pairs, heads, ["n", "keys"], share)
+        both = both.where(100 * F.least(n, m) >= self.percent * F.greatest(n, m))
+        both = both.where(F.size(F.array_intersect("keys_a", "keys_b")) >= need)
+        return discarding(written(both.select("a", "b"), "close"), pairs, ids, heads)
 
     def load(self, ids: DataFrame) -> None:
-        """Makes the sets of classes `ids` (id), all that distances() and beyond() will be asked for."""
+        """Makes the sets of those of the classes `ids` (id) that aren't there yet."""
+        held = self.sets
+        if held is not None:
+            ids = ids.join(held.select("id"), "id", "left_anti")
+        ids = written(ids, "ids")
         holders = written(self.classes.join(small(ids), "id", "left_semi").select("id", "class", "doc_id"), "holders")
-        texts = self.documents.select(F.col("doc_id").cast("long"), "text").join(small(holders), "doc_id")
-        sets = written(full_sets(texts, self.words, self.ranks), "sets")
-        if sets.count() > holders.count():  # rows that occur twice, with one id and text
-            sets = discarding(written(sets.dropDuplicates(["id"]), "sets"), sets)
-        self.sets = discarding(sets, holders)
+        if not holders.isEmpty():
+            texts = self.documents.select(F.col("doc_id").cast("long"), "text").join(small(holders), "doc_id")
+            sets = written(full_sets(texts, self.words, self.ranks), "sets")
+            if sets.count() > holders.count():  # rows that occur twice, with one id and text
+                sets = discarding(written(sets.dropDuplicates(["id"]), "sets"), sets)
+            self.parts.append(sets)
+            self.sets = sets if held is None else held.unionByName(sets)
+        discarding(None, ids, holders)
 
     def distances(self, pairs: DataFrame) -> DataFrame:
-        """`pairs` (a, b) with distance and linked."""
+        """`pairs` (a, b) with common (elements), distance and linked."""
+        if self.sets is None:  # no pairs at all
+            schema = "a long, b long, common long, distance double, linked boolean"
+            return written(pairs.sparkSession.createDataFrame([], schema), "distances")
         common = F.size(F.array_intersect("elements_a", "elements_b")).cast("long")
         either = (F.size("elements_a") + F.size("elements_b")).cast("long") - F.col("common")
         counted = self.joined(pairs, self.sets, ["elements"]).withColumn("common", common).withColumn("either", either)
         exact = counted.select(
             "a",
             "b",
+            "common",
             (1 - F.col("common") / F.col("either")).alias("distance"),
             (100 * F.col("common") >= self.percent * F.col("either")).alias("linked"),
         )
         return written(exact, "distances")
 
     def beyond(self, rows: DataFrame) -> DataFrame:
-        """`rows` (id, n, pivot, ...) with element: each of the leading elements of id's set without the pivot's."""
+        """`rows` (id, pivot, after, room, ...) with element: the first `room` elements of id's set after `after` that the pivot's lacks."""
         sets = self.joined(rows.withColumnsRenamed({"id": "a", "pivot": "b"}), self.sets, ["elements"])
-        own = F.array_except("elements_a", "elements_b")
-        size = F.col("n") - F.ceil(self.percent * F.col("n") / 100 - 1e-9) + 1
-        leading = F.explode(F.slice(own, F.lit(1), size.cast("int"))).alias("element")
+        later = F.filter("elements_a", lambda e: e > F.col("after"))
+        leading = F.slice(F.array_except(later, F.col("elements_b")), F.lit(1), F.col("room").cast("int"))
         kept = [F.col(c) for c in rows.columns if c not in ("id", "pivot")]
-        return sets.select(F.col("a").alias("id"), F.col("b").alias("pivot"), *kept, leading)
+        return sets.select(F.col("a").alias("id"), F.col("b").alias("pivot"), *kept, F.explode(leading).alias("element"))
 
-    def joined(self, pairs: DataFrame, table: DataFrame, columns: list[str], most: int = 2_000_000) -> DataFrame:
-        """`pairs` with the columns of `table` (id, ...) for both, as name_a and name_b.
+    def joined(self, pairs: DataFrame, table: DataFrame, columns: list[str], share: float = 1.0) -> DataFrame:
+        """`pairs` with the columns of `table` (id, ...), a `share` of the sets' elements, for both, as name_a and name_b.
 
-        Those of `b` are broadcast if they hold `most` elements in all or fewer.
+        Those of `b` are broadcast if they hold BROADCAST elements in all or fewer.
         """
         few = written(pairs.select(F.col("b").alias("id")).distinct(), "partners")
         held = self.classes.join(small(few), "id", "left_semi").agg(F.sum("n")).first()[0] or 0
         for side in ("a", "b"):
             own = table.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-            if side == "b" and held <= most:
+            if side == "b" and share * held <= BROADCAST:
                 own = F.broadcast(own.join(F.broadcast(few.withColumnRenamed("id", "b")), "b", "left_semi"))
             pairs = pairs.join(own, side)
         return pairs
 
 
 def unsettled(live: DataFrame) -> DataFrame:
-    """(region, size) of the regions of `live` that hold several components; of those with the same classes, one.
+    """(region, size, tested) of the regions of `live` that hold several components; of those with the same classes, one.
 
-    Regions are compared by two sums (exclusive or) of 64-bit hashes of their classes.
+    Regions are compared by two sums (exclusive or) of 64-bit hashes of their classes. Of equal ones the first by element
+    stays: all its classes hold that element, so no pair has its first common element in another.
     """
     marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
     found = live.groupBy("region").agg(
-        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), *marks
+        F.count("*").alias("size"),
+        F.bool_and("tested").alias("tested"),
+        F.min("after").alias("after"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        *marks,
     )
-    found = found.where("low <> high").dropDuplicates(["size", "mark_1", "mark_2"])
-    return written(found.select("region", "size"), "regions")
+    found = found.where("low <> high").groupBy("size", "mark_1", "mark_2")
+    return written(found.agg(F.min_by("region", "after").alias("region"), F.bool_or("tested").alias("tested")), "regions")
 
 
 def listed(few: DataFrame, percent: int, reach: float) -> DataFrame:
@@ -312,50 +338,108 @@ def listed(few: DataFrame, percent: int, reach: float) -> DataFrame:
 
 
 def with_pivots(many: DataFrame) -> DataFrame:
-    """A row for each class and pivot of its region; pivots: the smallest set, the most central, others by hash."""
+    """A row for each class and pivot of its region; pivots: the most central class, in large regions others by hash too.
 
-    def dealt(k: int) -> Column:
-        return F.xxhash64("id", F.lit(k))
-
-    low = F.shiftleft("n", 32) + F.shiftrightunsigned(dealt(0), 32)
-    others = [F.min_by("id", dealt(k)) for k in range(1, PIVOTS - 1)]
-    chosen = many.groupBy("region").agg(
-        F.min_by("id", low).alias("least"),
-        F.array_distinct(F.array(F.min_by("id", low), F.min_by("id", F.col("rank")), *others)).alias("pivots"),
+    These are of any component alike; every other one is of the smallest sets. Stuck regions get about STUCK_PIVOTS more.
+    """
+    lows = [F.lit(0).cast("long"), F.shiftleft("n", 32)]
+    others = [F.min_by("id", F.shiftrightunsigned(F.xxhash64("root", F.lit(k)), 33) + lows[k % 2]) for k in range(1, PIVOTS)]
+    central = F.min_by("id", F.col("rank") + F.shiftrightunsigned(F.xxhash64("id"), 33) * 1e-16)
+    further = F.col("stuck") & (F.pmod(F.xxhash64("id", "size"), F.col("size")) < STUCK_PIVOTS)
+    further = F.collect_list(F.when(further, F.col("id")))
+    all_of = F.array_distinct(F.concat(F.array(central, *others), further))
+    chosen = many.groupBy("region").agg(F.when(F.max("size") <= LISTED, F.array(central)).otherwise(all_of).alias("pivots"))
+    rows = many.join(small(written(chosen, "pivots")), "region")
+    rows = rows.withColumns({"is_pivot": F.array_contains("pivots", F.col("id")), "central": F.get("pivots", F.lit(0))})
+    return written(rows.withColumn("pivot", F.explode("pivots")).drop("pivots", "root", "far", "tested", "stuck"), "stars")
+
+
+def regions_within(
+    stars: DataFrame, distances: DataFrame, roots: DataFrame | None, verifier: Verifier, reach: float
+) -> DataFrame:
+    """What is left of the regions of `stars` (as of with_pivots()): (region, after, id, n, place, rank, far, stuck, tested).
+
+    Pivots are done, as they were tested against all. Regions of up to LISTED classes stay as they are, for their pairs to
+    be listed. Larger ones fall into Voronoi regions, with `reach` the distance of linked classes:
+
+    A class is at home with its nearest pivot if that is within 2 `reach`, otherwise in the outer region. By the triangle
+    inequality, a partner of a class at home with pivot q is within the region's radius and `reach` of q, and at most
+    2 `reach` further from q than from its own nearest pivot: classes within this window are replicated to the region.
+    A partner of a class at home in the outer region is more than `reach` from all pivots: these are replicated to that.
+
+    Where all are about equally far from all pivots, the windows hold nearly everything: more than half of the pairs. Such
+    a region is parted by its medoid among the pivots instead (`parted`).
+    """
+    known = distances.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "distance", "common")
+    carried = ["after", "id", "n", "place", "rank", F.col("distance").alias("far")]
+    rest = stars.where(~F.col("is_pivot")).drop("is_pivot")
+    listed_next = rest.where((F.col("size") <= LISTED) & (F.col("pivot") == F.col("central")))
+    listed_next = listed_next.join(known, ["id", "pivot"], "left").select(
+        "region", *carried, F.lit(False).alias("stuck"), F.lit(True).alias("tested")
     )
-    chosen = written(chosen, "pivots")
-    rows = many.join(small(chosen), "region").withColumn("is_pivot", F.array_contains("pivots", F.col("id")))
-    return written(rows.withColumn("pivot", F.explode("pivots")).drop("pivots", "root", "far"), "stars")
+    large = rest.where(F.col("size") > LISTED).join(known, ["id", "pivot"])
+    large = written(large.withColumn("nearest", F.min("distance").over(Window.partitionBy("region", "id"))), "placed")
+    if large.isEmpty():
+        return discarding(written(listed_next, "within"), large)
+    medoid = large.groupBy("region", "pivot").agg(F.sum("distance").alias("total")).groupBy("region")
+    medoid = written(medoid.agg(F.min_by("pivot", "total").alias("pivot")), "medoids")
+    rows = written(large.join(small(medoid), ["region", "pivot"], "left_semi"), "rows")
+    at_home = (F.col("distance") == F.col("nearest")) & (F.col("nearest") <= 2 * reach)
+    radius = large.where(at_home).groupBy("region", "pivot").agg(F.max("distance").alias("radius"))
+    radius = written(radius, "radius")
+    window = F.least(F.col("nearest") + 2 * reach, F.col("radius") + reach)
+    inner = large.join(small(radius), ["region", "pivot"]).where(F.col("distance") <= window).drop("radius")
+    outer = rows.where(F.col("nearest") > reach)
+    cells = inner.withColumn("cell", F.xxhash64("region", "pivot")).unionByName(
+        outer.withColumn("cell", F.xxhash64("region", F.lit("outer")))
+    )
+    held = cells.groupBy("region", "size", "cell").agg(F.count("*").cast("double").alias("held"))
+    work = held.groupBy("region", "size").agg(F.sum(F.col("held") * F.col("held")).alias("pairs"))
+    apart = written(work.where(F.col("pairs") <= F.col("size") * F.col("size") / 2).select("region"), "apart")
+    voronoi = cells.join(small(apart), "region", "left_semi").select(F.col("cell").alias("region"), *carried)
+    whole = written(with_roots(rows.join(small(apart), "region", "left_anti"), roots), "whole")
+    within = voronoi.withColumn("stuck", F.lit(False)).unionByName(parted(whole, verifier, carried))
+    within = within.withColumn("tested", F.lit(False)).unionByName(listed_next)
+    return discarding(written(within, "within"), large, medoid, rows, radius, apart, whole)
 
 
-def regions_within(stars: DataFrame, distances: DataFrame, verifier: Verifier, reach: float) -> DataFrame:
-    """The regions that those of `stars` (as of with_pivots()) fall into: (region, id, n, rank, far).
+def parted(whole: DataFrame, verifier: Verifier, carried: list) -> DataFrame:
+    """Regions cut by their medoid p (`pivot`), for the pairs whose first common element is `after`, which p holds too.
 
-    A class is at home in the region of its nearest pivot. A partner within `reach` that is at home with another pivot
-    is at most 2 `reach` nearer to that pivot than to this class's own, by the triangle inequality: the class is
-    replicated to all regions in that window. Pivots themselves are done, as they were tested against all.
+    Pairs with a common element outside p: both have one of these among the n - ceil(t n) + 1 - place next of their
+    elements outside p, and meet in the region of that. The others are linked only if both share with p as much as linked
+    sets of their sizes n, m share, t (n + m) / (1 + t) elements: m is at most common (1 + t) / t - n (`most`). These meet
+    in the region of the smaller size, to which a class goes if classes of that size, of another component, may link
+    with it.
 
-    Where all are about equally far from all pivots, the windows hold nearly everything: more than half of the pairs.
-    Such a region is cut by elements instead. Its smallest set p is no larger than x and y; so if x and y have no common
-    element beyond p's and are linked, both are linked to p as well, and known to be of one component. All others share
-    an element outside p, and meet at one of the leading ones.
+    A region whose outside elements are so common that this leaves more than half of its pairs stays as it is, `stuck`. It
+    gets STUCK_PIVOTS pivots a round from then on, each of which is tested against all and then done.
     """
-    rest = stars.where(~F.col("is_pivot"))
-    known = distances.select(F.col("a").alias("id"), F.col("b").alias("pivot"), "distance")
-    placed = written(rest.join(known, ["id", "pivot"]), "placed")
-    nearest = F.min("distance").over(Window.partitionBy("region", "id"))
-    homes = placed.withColumn("nearest", nearest).where(F.col("distance") <= F.col("nearest") + 2 * reach)
-    homes = written(homes.select("region", "size", "id", "n", "rank", "pivot", "distance"), "homes")
-    held = homes.groupBy("region", "size", "pivot").agg(F.count("*").cast("double").alias("held"))
-    work = held.groupBy("region", "size").agg(F.sum(F.col("held") * F.col("held")).alias("pairs"))
-    apart = written(work.where(F.col("pairs") <= F.col("size") * F.col("size") / 2).select("region"), "apart")
-    carried = ["id", "n", "rank", F.col("distance").alias("far")]
-    voronoi = homes.join(small(apart), "region", "left_semi")
-    voronoi = voronoi.select(F.xxhash64("region", "pivot").alias("region"), *carried)
-    whole = placed.where("pivot = least").join(small(apart), "region", "left_anti")
-    whole = written(whole.select("region", "id", "n", "rank", "pivot", "distance"), "whole")
-    cut = verifier.beyond(whole).select(F.xxhash64("region", "element").alias("region"), *carried)
-    return discarding(written(voronoi.unionByName(cut), "within"), placed, homes, apart, whole)
+    t = verifier.percent / 100
+    room = F.col("n") - F.ceil(verifier.percent * F.col("n") / 100 - 1e-9) + 1 - F.col("place")
+    outside = whole.select("region", "size", "root", *carried[:-1], "pivot", "distance", room.alias("room"))
+    outside = verifier.beyond(outside).withColumn("cell", F.xxhash64("region", "element")).drop("element", "room", "pivot")
+    outside = written(outside, "outside")
+    held = outside.groupBy("region", "size", "cell").agg(
+        F.count("*").cast("double").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    work = held.where("low <> high").groupBy("region", "size").agg(F.sum(F.col("held") * F.col("held")).alias("pairs"))
+    stuck = written(work.where(F.col("pairs") > F.col("size") * F.col("size") / 2).select("region"), "stuck")
+    left = whole.join(small(stuck), "region", "left_semi").select("region", *carried, F.lit(True).alias("stuck"))
+    outside = outside.join(small(stuck), "region", "left_anti").select(F.col("cell").alias("region"), *carried)
+    most = F.floor(F.col("common") * (1 + t) / t - F.col("n") + 1e-6)
+    sized = whole.join(small(stuck), "region", "left_anti").withColumn("most", most)
+    smaller = sized.where("most >= n").groupBy("region", F.col("n").alias("m")).agg(
+        F.max("most").alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    smaller = written(smaller, "sizes")
+    fits = (F.col("m") <= F.col("most")) & (F.col("top") >= F.col("n")) & (F.col("m") >= t * F.col("n") - 1e-6)
+    others = (F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))
+    larger = sized.join(small(smaller), "region").where((F.col("m") < F.col("n")) & fits & others)
+    own = sized.where("most >= n").withColumn("m", F.col("n"))
+    inside = own.select("m", "region", *carried, "distance").unionByName(larger.select("m", "region", *carried, "distance"))
+    inside = inside.select(F.xxhash64("region", F.lit("inside"), "m").alias("region"), *carried)
+    return outside.unionByName(inside).withColumn("stuck", F.lit(False)).unionByName(left)
 
 
 def with_roots(live: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -384,37 +468,40 @@ def class_links(verifier: Verifier) -> DataFrame | None:
     reach = 1 - percent / 100 + 1e-9
     rows = verifier.classes.select("id", "n", F.posexplode("keys").alias("place", "region"))
     shared = written(rows.groupBy("region").count().where("count > 1").select("region"), "shared")
-    rank = (F.col("place") / F.col("n")).alias("rank")
-    live = rows.join(small(shared), "region").select("region", "id", "n", rank, F.lit(None).cast("double").alias("far"))
-    live, roots = discarding(written(live, "live"), shared), None
+    fresh = {"after": F.col("region"), "far": F.lit(None).cast("double"), "stuck": F.lit(False), "tested": F.lit(False)}
+    live = rows.join(small(shared), "region").withColumns(fresh)
+    live = discarding(written(live.select("region", "after", "id", "n", "place", "far", "stuck", "tested"), "live"), shared)
+    held = written(live.groupBy("id").agg(F.count("*").alias("held")), "held")
+    share = (1 - F.col("held") / F.col("n")).alias("rank")
+    ranked = live.join(small(held), "id").select("region", "after", "id", "n", "place", share, "far", "stuck", "tested")
+    live, roots = discarding(written(ranked, "live"), live, held), None
     while True:
         known = with_roots(live, roots)
         regions = unsettled(known)
         if regions.isEmpty():
-            return roots
-        few = known.join(small(regions.where(F.col("size") <= SMALL_REGION)), "region")
+            return discarding(roots, live, regions)
+        ready = (F.col("size") <= SMALL_REGION) | (F.col("tested") & (F.col("size") <= LISTED))
+        few = known.join(small(regions.where(ready).select("region")), "region")
         few = written(few.select("region", "id", "n", "root", "far"), "few")
-        pairs = written(listed(few, percent, reach), "pairs")
-        large = regions.where(F.col("size") > SMALL_REGION)
-        more = not large.isEmpty()
-        close = tested = verifier.close(pairs)
-        if more:
-            stars = with_pivots(known.join(small(large), "region"))
-            star = written(stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct(), "star")
-            tested = close.union(star)
-        if verifier.sets is None:
-            verifier.load(written(tested.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
-        found = exact = verifier.distances(close)
+        pairs = listed(few, percent, reach)
+        others = regions.where(~ready).select("region", "size")
+        more = not others.isEmpty()
         if more:
-            distances = verifier.distances(star)
-            found = exact.unionByName(distances)
-        links = found.where("linked").select("a", "b")
+            stars = with_pivots(known.join(small(others), "region"))
+            star = stars.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "size").where("a <> b")
+            whole = star.where(F.col("size") > LISTED).select("a", "b").distinct()
+            pairs = pairs.unionByName(star.where(F.col("size") <= LISTED).select("a", "b")).distinct()
+        close = verifier.close(pairs)
+        tests = written(close.unionByName(whole).distinct() if more else close, "tests")
+        verifier.load(tests.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        distances = verifier.distances(tests)
+        links = distances.where("linked").select("a", "b")
         if not links.isEmpty():
             roots = merged(roots, links)
-        discarding(None, regions, few, pairs, close, exact)
+        discarding(None, regions, few, close, tests)
         if not more:
-            return discarding(roots, live)
-        live = discarding(regions_within(stars, distances, verifier, reach), live, stars, star, distances)
+            return discarding(roots, live, distances)
+        live = discarding(regions_within(stars, distances, roots, verifier, reach), live, stars, distances)
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -438,8 +525,7 @@ def grouped(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         )
     first = found.groupBy("root").agg(F.min("doc_id").alias("first"))
     several = written(found.select("class", "root").join(first, "root"), "several")
-    if verifier.sets is not None:
-        discarding(None, verifier.sets)
+    discarding(None, *verifier.parts)
     out = described.drop("keys").join(small(several), "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

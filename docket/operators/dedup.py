@@ -60,11 +60,11 @@ def coordinate_pairs(left: DataFrame, right: DataFrame, degrees: float) -> DataF
     return a.join(b, ["x", "y"]).where(near).select("a_id", "b_id")
 
 
-def text_pairs(left: DataFrame, right: DataFrame, percent: float, long: bool = False, strict: bool = False) -> DataFrame:
+def text_pairs(left: DataFrame, right: DataFrame, percent: float, strict: bool = False) -> DataFrame:
     """(a_id, b_id, ratio) of rows (id, text) whose lower-cased texts are similar; each distinct pair is compared once."""
     a = left.where("text <> ''").select(F.col("id").alias("a_id"), F.lower("text").alias("a"))
     b = right.where("text <> ''").select(F.col("id").alias("b_id"), F.lower("text").alias("b"))
-    similar = similar_strings(a, b, percent, long)
+    similar = similar_strings(a, b, percent)
     if strict:
         similar = similar.where(F.col("ratio") > percent)
     return a.join(similar, "a").join(b, "b").select("a_id", "b_id", "ratio")
@@ -226,7 +226,7 @@ def scored_pairs(
     told = text_pairs(
         rest.select(F.col("row_id").alias("id"), F.col("description").alias("text")),
         cases.select(F.col("case_id").alias("id"), F.col("description").alias("text")),
-        config.description, long=True,
+        config.description,
     )
     named = people_scores(
         rest.select(F.col("row_id").alias("id"), F.explode(F.concat("victims", "suspects")).alias("p")).select("id", blank_to_null(F.col("p.name")).alias("name")).where("name is not null"),

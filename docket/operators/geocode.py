@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions.text import blank_to_null, first_filled
+from docket.operators.dedup import join_known
 
 PARTS = ("address", "locality", "area", "district", "state", "country")
 FILLED = ("postal_code", "district", "state", "country")
@@ -33,7 +34,7 @@ def enrich(records: DataFrame, gazetteer: DataFrame, location: str = "location")
         "_query",
         F.when(place["latitude"].isNull() | place["longitude"].isNull(), blank_to_null(geocode_query(place))),
     )
-    found = asked.join(known.withColumnRenamed("query", "_query"), "_query", "left")
+    found = join_known(asked, known.withColumnRenamed("query", "_query"), "_query")
     address = F.col("_geo.address")
     values = {
         "postal_code": address["postcode"],

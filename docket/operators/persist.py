@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docket.functions.lineage import written
 from docket.functions.text import blank_to_null, first_filled, strip
+from docket.operators.dedup import join_known
 
 ROLE_OF = {"victims": "Victim", "suspects": "Suspect", "witnesses": "Witness", "officers": "Officer"}
 
@@ -86,9 +85,9 @@ def upsert_people(people: DataFrame, stored: DataFrame, order: list[str]) -> tup
     mark = blank_to_null(F.col("identification_number"))
     marked = people.withColumn("_mark", mark)
     known = stored.where("identification_mark <> ''").groupBy(F.col("identification_mark").alias("_mark")).agg(F.min("person_id").alias("_stored"))
-    found = marked.join(known, "_mark", "left")
+    found = join_known(marked, known, "_mark")
     first = found.where("_mark is not null").groupBy("_mark").agg(F.min(F.struct(*order)).alias("_first"))
-    found = found.join(first, "_mark", "left")
+    found = join_known(found, first, "_mark")
     is_new = F.col("_stored").isNull() & (F.col("_mark").isNull() | (F.struct(*order) == F.col("_first")))
     start = stored.agg(F.coalesce(F.max("person_id"), F.lit(0))).first()[0]
     new = number_rows(found.where(is_new), order, "person_id", start)
@@ -97,7 +96,7 @@ def upsert_people(people: DataFrame, stored: DataFrame, order: list[str]) -> tup
     )
     by_mark = new.where("_mark is not null").select("_mark", F.col("person_id").alias("_new"))
     by_row = new.where("_mark is null").select(*order, F.col("person_id").alias("_own"))
-    links = found.join(by_mark, "_mark", "left").join(by_row, order, "left")
+    links = join_known(found, by_mark, "_mark").join(by_row, order, "left")
     links = links.select("case_id", F.coalesce("_stored", "_new", "_own").alias("person_id"), "role", "remarks")
     return persons, links
 
@@ -167,6 +166,6 @@ def commit(tables: dict[str, DataFrame], folder: str, batch: str) -> None:
 
 
 def read_committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    batches = [r.committed for r in spark.read.parquet(f"{folder}/_manifest").select("committed").distinct().collect()]
-    parts = [spark.read.parquet(f"{folder}/{name}/batch={b}") for b in sorted(batches)]
-    return reduce(DataFrame.unionByName, parts)
+    committed = spark.read.parquet(f"{folder}/_manifest").select(F.col("committed").cast("string").alias("_batch")).distinct()
+    rows = spark.read.option("mergeSchema", True).parquet(f"{folder}/{name}")
+    return rows.join(committed, rows["batch"].cast("string") == committed["_batch"], "left_semi").drop("batch")

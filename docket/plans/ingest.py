@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from docket.functions.lineage import written
 from docket.operators import dedup, geocode, persist
-from docket.operators.validate import validate
+from docket.functions.text import strip
+from docket.operators.validate import bounds, enums, ranges, validate
 from docket.sources import documents, tabular
 
 
@@ -63,7 +64,10 @@ class Ingest:
 
 
 def reply_records(replies: DataFrame) -> DataFrame:
-    """`replies` (row_id, reply) as records, with `error` for replies that aren't records. Null lists become empty."""
+    """`replies` (row_id, reply) as records, with `error` for replies that aren't records. Null lists become empty.
+
+    A value that is none of its enumeration, or out of its bounds, makes the whole reply no record, as a wrong type does.
+    """
     parsed = replies.withColumn("_parsed", documents.parse_reply(F.col("reply")))
     fields = documents.S.RECORD.fields
     columns = []
@@ -72,4 +76,42 @@ def reply_records(replies: DataFrame) -> DataFrame:
         if f.dataType.typeName() == "array":
             value = F.coalesce(value, F.array().cast(f.dataType))
         columns.append(value.alias(f.name))
-    return parsed.select("row_id", F.col("_parsed.error").alias("error"), *columns)
+    rows = parsed.select("row_id", F.col("_parsed.error").alias("error"), *columns)
+    score = ranges(F.col("location.latitude"), F.col("location.longitude"), F.col("confidence_score"))
+    wrong = F.size(F.concat(enums(), bounds(), score)) > 0
+    rows = rows.withColumn("error", F.when(F.col("error").isNull() & wrong, "schema").otherwise(F.col("error")))
+    good = F.col("error").isNull()
+    lists = {f.name: F.array().cast(f.dataType) for f in fields if f.dataType.typeName() == "array"}
+    return rows.select(
+        "row_id", "error", *(F.when(good, F.col(f.name)).otherwise(lists.get(f.name, F.lit(None))).alias(f.name) for f in fields)
+    )
+
+
+def page_records(pages: DataFrame, reply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`pages` (row_id, url, html) as records, by way of their text: `reply` turns (row_id, text) into (row_id, reply).
+
+    source_type, source_url and extracted_text say where a record is from; pages without text or a reply have an error.
+    """
+    texts = written(documents.extract_pages(pages).select("row_id", "url", "text", F.col("error").alias("page_error")), "texts")
+    asked = reply(texts.where("page_error is null").select("row_id", "text")).select("row_id", "reply")
+    return sourced(reply_records(asked), texts, "URL")
+
+
+def text_records(texts: DataFrame, reply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`texts` (row_id, text) as records, as page_records() does for pages."""
+    given = texts.select("row_id", F.lit(None).cast("string").alias("url"), "text")
+    given = given.withColumn("page_error", F.when(F.coalesce(strip(F.col("text")), F.lit("")) == "", "no text"))
+    asked = reply(given.where("page_error is null").select("row_id", "text")).select("row_id", "reply")
+    return sourced(reply_records(asked), given, "TEXT")
+
+
+def sourced(records: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    own = ("source_type", "source_url", "extracted_text")
+    joined = texts.join(records.drop(*own), "row_id", "left")
+    values = {"source_type": F.lit(kind), "source_url": F.col("url"), "extracted_text": F.col("text")}
+    lists = {f.name for f in documents.S.RECORD.fields if f.dataType.typeName() == "array"}
+    columns = [
+        values.get(f.name, F.coalesce(f.name, F.array().cast(f.dataType)) if f.name in lists else F.col(f.name)).alias(f.name)
+        for f in documents.S.RECORD.fields
+    ]
+    return joined.select("row_id", F.coalesce("page_error", "error").alias("error"), *columns)

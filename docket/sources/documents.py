@@ -158,14 +158,13 @@ def reply_body(reply: Column) -> Column:
 
 
 def parse_reply(reply: Column, schema: T.StructType = S.RECORD) -> Column:
-    """(record, error): error is 'empty', 'json' or 'schema' (a leaf is there but has the wrong type), or null."""
+    """(record, error): error is 'empty', 'json' or 'schema' (a value, at any depth, has the wrong type), or null.
+
+    The parser marks a record as corrupt when some value doesn't fit, so each reply is parsed twice: as JSON, and so.
+    """
     body = blank_to_null(reply_body(reply))
     parsed = F.from_json(body, T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
     whole = F.try_parse_json(body)
-    simple = [f for f in schema.fields if f.dataType.typeName() not in ("array", "struct", "map")]
-    wrong = F.lit(False)
-    for f in simple:
-        wrong = wrong | (F.get_json_object(body, f"$.{f.name}").isNotNull() & parsed[f.name].isNull())
-    error = F.when(body.isNull(), "empty").when(whole.isNull(), "json").when(wrong | parsed["_bad"].isNotNull(), "schema")
+    error = F.when(body.isNull(), "empty").when(whole.isNull(), "json").when(parsed["_bad"].isNotNull(), "schema")
     record = F.struct(*(parsed[f.name].alias(f.name) for f in schema.fields))
     return F.struct(F.when(error.isNull(), record).alias("record"), error.alias("error"))

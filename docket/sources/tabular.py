@@ -8,6 +8,7 @@ import os
 import re
 import zipfile
 from collections.abc import Iterable
+from functools import reduce
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,8 +65,6 @@ ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "ascii")
 EXTENSIONS = (".csv", ".xlsx", ".xls")
 #: What Spark calls encodings. It knows no cp1252, which is never reached, as latin-1 decodes any bytes.
 CHARSETS = {"utf-8-sig": "utf-8", "latin-1": "iso-8859-1", "ascii": "us-ascii"}
-#: How much of a file tells its encoding.
-HEAD = 1 << 20
 ALIASES = {alias: name for name, listed in HEADERS.items() for alias in listed.split(", ")}
 
 
@@ -95,25 +94,57 @@ def clean_cells(df: DataFrame) -> DataFrame:
     return df.select(*(clean_cell(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes))
 
 
-def guess_encoding(head: bytes) -> str:
-    """The first encoding that decodes the first bytes of a file; where the file goes on, the last character may be cut off."""
+def guess_encoding(content: bytes) -> str:
+    """The first encoding that decodes a whole file."""
     for name in ENCODINGS:
         try:
-            codecs.getincrementaldecoder(name)().decode(head, len(head) < HEAD)
+            codecs.lookup(name).decode(content)
             return name
         except UnicodeDecodeError:
             continue
     return "latin-1"
 
 
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding) of each file, from all of its bytes."""
+
+    def run(batches):
+        for b in batches:
+            found = [guess_encoding(content) for content in b.column("content").to_pylist()]
+            yield type(b).from_pydict({"path": b.column("path").to_pylist(), "encoding": found})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, encoding string")
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A file or folder of CSV with a header, all columns as strings. Malformed rows fail the read."""
-    if encoding is None:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD)).limit(1).collect()
-        encoding = guess_encoding(bytes(head[0][0])) if head else "utf-8"
+    """A file or folder of CSV with a header, all columns as strings. Malformed rows fail the read.
+
+    Files are read by encoding; the columns of the first encoding's files count, by name.
+    """
+    if encoding is not None:
+        return csv_of(spark, [path], encoding)
+    by_encoding: dict[str, list[str]] = {}
+    for r in file_encodings(spark, path).orderBy("path").collect():
+        by_encoding.setdefault(r.encoding, []).append(r.path)
+    parts = [csv_of(spark, files, name) for name, files in by_encoding.items()] or [csv_of(spark, [path], "utf-8")]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def csv_of(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    charset = CHARSETS.get(encoding, encoding)
-    return reader.option("mode", "FAILFAST").option("encoding", charset).csv(path)
+    return reader.option("mode", "FAILFAST").option("encoding", CHARSETS.get(encoding, encoding)).csv(paths)
+
+
+def first_sheet(z: zipfile.ZipFile) -> str:
+    """The part that holds the sheet which stands first in the workbook's own order."""
+    if "xl/workbook.xml" in z.namelist() and "xl/_rels/workbook.xml.rels" in z.namelist():
+        sheets = [e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet")]
+        parts = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter()}
+        named = [v for e in sheets[:1] for k, v in e.attrib.items() if k.endswith("}id")]
+        if named and parts.get(named[0]):
+            target = parts[named[0]]
+            return target[1:] if target.startswith("/") else f"xl/{target}"
+    return sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]
 
 
 def sheet_rows(content: bytes) -> list[list[str | None]]:
@@ -124,7 +155,7 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
         if "xl/sharedStrings.xml" in z.namelist():
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", space):
                 shared.append("".join(t.text or "" for t in item.iter(f"{{{space['m']}}}t")))
-        first = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]
+        first = first_sheet(z)
         rows = []
         for row in ElementTree.fromstring(z.read(first)).iter(f"{{{space['m']}}}row"):
             cells: dict[int, str | None] = {}

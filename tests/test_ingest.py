@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docket.operators import dedup, geocode, jobs, persist
 from docket.operators import schema as S
-from docket.plans.ingest import Ingest, reply_records
+from docket.plans.ingest import Ingest, page_records, reply_records, text_records
 from tests.test_validate import person, place, record
 
 CASES = "case_id long, case_number string, description string, location_id long, incident_time timestamp"
@@ -187,3 +187,27 @@ def test_similar_records_of_one_batch(spark):
     assert rows[2].duplicate_reason.startswith("narrative description")
     assert (rows[4].matched_row, rows[4].confidence, rows[4].duplicate_reason) == (1, 1.0, dedup.EXACT_REASON)
     assert (rows[6].matched_row, rows[6].confidence) == (5, 0.85)
+
+
+def test_replies_with_wrong_values_at_any_depth(spark):
+    good = '{"fir_number": "F", "victims": [{"name": "A", "age": 3, "gender": "Male", "role": "Victim"}]}'
+    bad = ['"age": "x"', '"age": 151', '"age": -1', '"gender": "M"', '"role": "Hero"']
+    replies = [good, *(good.replace('"age": 3', b, 1) if "age" in b else good.replace('"gender": "Male"', b) if "gender" in b else good.replace('"role": "Victim"', b) for b in bad)]
+    replies += ['{"confidence_score": 1.5}', '{"location": {"latitude": "north"}}', '{"location": {"latitude": 91}}', '{"incident_date": "soon"}', '{"weapons": [{"recovered": "perhaps"}]}']
+    frame = spark.createDataFrame(list(enumerate(replies)), "row_id long, reply string")
+    got = {r.row_id: r for r in reply_records(frame).collect()}
+    assert got[0].error is None and got[0].victims[0].age == 3
+    assert [got[i].error for i in range(1, len(replies))] == ["schema"] * (len(replies) - 1)
+    assert all(r.victims == [] and r.fir_number is None for i, r in got.items() if i)
+
+
+def test_pages_and_texts_become_records(spark):
+    def reply(texts):
+        return texts.select("row_id", F.when(F.length("text") > 3, F.to_json(F.struct(F.col("text").alias("fir_number")))).otherwise("{").alias("reply"))
+
+    pages = spark.createDataFrame([(1, "http://a/b", "<article><p>Report 9</p></article>"), (2, "x", "<p>t</p>"), (3, "http://a/c", "")], "row_id long, url string, html string")
+    got = {r.row_id: r for r in page_records(pages, reply).collect()}
+    assert (got[1].error, got[1].fir_number, got[1].source_type, got[1].source_url, got[1].extracted_text) == (None, "Report 9", "URL", "http://a/b", "Report 9")
+    assert got[2].error == "no scheme or host" and got[3].error == "no text could be extracted" and got[3].victims == []
+    texts = spark.createDataFrame([(1, "Report"), (2, "abc"), (3, " ")], "row_id long, text string")
+    assert {r.row_id: (r.error, r.fir_number, r.source_type) for r in text_records(texts, reply).collect()} == {1: (None, "Report", "TEXT"), 2: ("json", None, "TEXT"), 3: ("no text", None, "TEXT")}

@@ -31,7 +31,12 @@ def test_csv_to_records(spark, tmp_path):
 
 def test_encodings(spark, tmp_path):
     assert tabular.guess_encoding("é".encode()) == "utf-8" and tabular.guess_encoding("é".encode("latin-1")) == "latin-1"
-    assert tabular.guess_encoding(b"x" * (tabular.HEAD - 1) + "é".encode()[:1]) == "utf-8"
+    late = b"FIR No,Details\n" + b"1,x\n" * 300_000 + "2,caf\xe9\n".encode("latin-1")
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.csv").write_bytes("FIR No,Details\n7,é😀\n".encode())
+    (tmp_path / "many" / "b.csv").write_bytes(late)
+    got = tabular.read_csv(spark, str(tmp_path / "many")).where("Details <> 'x'").collect()
+    assert sorted((r["FIR No"], r.Details) for r in got) == [("2", "café"), ("7", "é😀")]
     (tmp_path / "b.csv").write_bytes("FIR No,Details\n1,caf\xe9\n".encode("latin-1"))
     assert tabular.read_csv(spark, str(tmp_path / "b.csv")).first().Details == "café"
 
@@ -49,6 +54,14 @@ def test_xlsx(spark, tmp_path):
     assert len(rows) == 1 and rows[0]["FIR No"] == "7" and rows[0]["Crime Type"] == "Theft"
 
 
+def test_first_sheet_is_the_workbooks(tmp_path):
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="m" xmlns:r="{rel}"><sheets><sheet r:id="r2"/><sheet r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R xmlns="p"><r Id="r1" Target="worksheets/sheet1.xml"/><r Id="r2" Target="/xl/worksheets/sheet2.xml"/></R>')
+        assert tabular.first_sheet(z) == "xl/worksheets/sheet2.xml"
+
+
 def test_article_text():
     page = "<head><title>t</title><style>p</style></head><body><nav><p>menu</p></nav><p>out</p><article><h1> A&amp;B </h1><p>one<p>two <b>x</b><ul><li><p>in</p></li></ul><form><p>f</p></form></article></body>"
     assert documents.article_text(page) == "A&B\n\none\n\ntwo x\n\nin\n\nin"
