@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as Parquet under spark.checkpoint.dir (where unset, as in tests, a new folder is) and read back."""
+    """`df`, written as Parquet under spark.checkpoint.dir and read back.
+
+    Where a local session names none, as in tests, a folder is made.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docket-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

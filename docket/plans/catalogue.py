@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.functions.lineage import written
 from docket.functions.similarity import similar_strings
 from docket.functions.text import clean_cell, clean_text
 from docket.operators import dedup, geocode, jobs, persist, validate
 from docket.operators import schema as S
+from docket.plans.ingest import Ingest
 from docket.sources import documents, tabular
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,8 +324,9 @@ def similarity_indel(spark, sf_dir):
     return found.select("a", "b", F.round("ratio", 4).alias("ratio"))
 
 
-NAMES = "select p_partkey % 40 as id, ' ' || upper(p_name) as name from part where p_partkey % 10 = 0"
-KNOWN = "select p_partkey % 25 as id, p_name || ' ' as name from part where p_partkey % 10 = 1"
+#: A search: the ids that 50 divides, against all rows.
+NAMES = "select p_partkey as id, ' ' || upper(p_name) as name from part where p_partkey % 50 = 0"
+KNOWN = "select p_partkey as id, p_name || ' ' as name from part"
 
 
 @query(
@@ -342,8 +345,8 @@ def people_similarity(spark, sf_dir):
     return dedup.people_scores(a, b, 80.0).select("a_id", "b_id", F.round("score", 4).alias("score"))
 
 
-IN_PLATES = "select l_orderkey % 50 as id, l_returnflag || 'B' || (l_partkey % 37) || l_linestatus || (l_suppkey % 90) as plate from lineitem where l_orderkey % 20 = 0"
-DB_PLATES = "select l_suppkey % 30 as id, lower(l_returnflag) || 'b' || (l_partkey % 37) || l_linestatus || (l_suppkey % 90) as plate from lineitem where l_orderkey % 20 = 1"
+IN_PLATES = "select l_orderkey as id, l_returnflag || 'B' || (l_suppkey % 37) || l_linestatus as plate from lineitem where l_orderkey % 50 = 0"
+DB_PLATES = "select l_suppkey as id, lower(l_returnflag) || 'b' || (l_suppkey % 37) || l_linestatus as plate from lineitem"
 
 
 @query(
@@ -552,15 +555,48 @@ def job_status(spark, sf_dir):
     return jobs.job_rows(made, results, F.lit(AS_OF).cast("timestamp"))
 
 
-OUTCOMES_SQL = """(select doc_id, source, case when n_chars < 400 then 'Invalid' when min(case when n_chars >= 400 then doc_id end) over (partition by text) < doc_id
-  then 'Duplicate' else 'Inserted' end as outcome from documents)"""
-
-
-def outcomes(spark, sf_dir):
+#: Reports made from documents: those with equal texts happened at the same place; some have no type, some are from the
+#: future. Documents whose id 17 divides are also stored cases.
+REPORT = {
+    "crime_type": "case when doc_id % 11 = 3 then '' else lang end",
+    "incident_date": "case when doc_id % 13 = 5 then date '2999-01-01' else date '1997-03-01' end",
+}
+REPORTS_SQL = f"""(select doc_id, source, ('0x' || substr(md5(text), 1, 6))::int % 60000 as cell,
+  concat_ws(',', case when coalesce({REPORT["crime_type"]}, '') = '' then 'V2' end, case when {REPORT["incident_date"]} > date '1998-01-01' then 'V4' end) as errors
+  from documents)"""
+OUTCOMES_SQL = f"""(
+  with d as (select * from {REPORTS_SQL}), s as (select cell, min(doc_id) as stored from d where doc_id % 17 = 0 group by cell),
+  j as (select d.*, s.stored from d left join s on d.cell = s.cell),
+  f as (select cell, min(doc_id) as first from j where errors = '' and stored is null group by cell)
+  select doc_id, source, errors, case when errors <> '' then 'Invalid' when stored is not null or first < doc_id then 'Duplicate' else 'Inserted' end as outcome,
+    case when errors = '' then stored end as matched_id, case when errors = '' and stored is null and first < doc_id then first end as matched_row
+  from j left join f on j.cell = f.cell)"""
+
+
+def outcomes(spark, sf_dir) -> tuple[Ingest, dict[str, DataFrame], DataFrame]:
+    """The chain, its stored tables, and the outcomes of all documents as reports."""
     docs = table(spark, sf_dir, "documents")
-    found = dedup.first_wins(docs.where("n_chars >= 400").select("doc_id", "text", "source"), F.col("text"), "doc_id")
-    valid = found.select("doc_id", "source", F.when(F.col("matched_id").isNotNull(), "Duplicate").otherwise("Inserted").alias("outcome"))
-    return valid.union(docs.where("n_chars < 400").select("doc_id", "source", F.lit("Invalid")))
+    cell = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long") % 60000
+    placed = docs.withColumn("lat", (cell * F.lit(0.0025) - 75).cast("decimal(10,8)"))
+    names = [x.split(":")[0] for x in S.LOCATION[7:-1].split(",")]
+    values = {"latitude": F.col("lat").cast("double"), "longitude": F.lit(10.0)}
+    location = F.struct(*(values.get(n, F.lit(None)).alias(n) for n in names)).cast(S.LOCATION)
+    made = {k: F.expr(v) for k, v in REPORT.items()} | {"fir_number": F.concat(F.lit("F"), "doc_id"), "location": F.when(F.col("lat").isNotNull(), location)}
+    lists = {f.name for f in S.RECORD.fields if f.dataType.typeName() == "array"}
+    records = placed.select(
+        F.col("doc_id").alias("row_id"),
+        *(made.get(f.name, F.array() if f.name in lists else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.RECORD.fields),
+    )
+    known = placed.where("doc_id % 17 = 0")
+    none = {
+        "case_persons": "case_id long, person_id long", "persons": "person_id long, identification_mark string, full_name string",
+        "vehicles": "case_id long, registration_number string", "crime_types": "crime_type_id long, crime_name string",
+    }
+    stored = {name: spark.createDataFrame([], ddl) for name, ddl in none.items()}
+    stored["cases"] = known.selectExpr("doc_id as case_id", "'S' || doc_id as case_number", "cast(null as string) as description", "doc_id as location_id", "cast(null as timestamp) as incident_time")
+    stored["locations"] = known.selectExpr("doc_id as location_id", "cast(null as string) as address", "lat as latitude", "cast(10 as decimal(11,8)) as longitude")
+    chain = Ingest(as_of=F.lit(AS_OF).cast("timestamp"))
+    return chain, stored, chain.outcomes(records, stored)
 
 
 @query(
@@ -570,20 +606,27 @@ def outcomes(spark, sf_dir):
     """
 )
 def batch_summary(spark, sf_dir):
-    return jobs.batch_summary(outcomes(spark, sf_dir), "source")
+    found = outcomes(spark, sf_dir)[2].select(F.col("row_id").alias("doc_id"), "outcome")
+    return jobs.batch_summary(found.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"), "source")
 
 
 @query(
     f"""
-    select doc_id, outcome, case when outcome = 'Inserted' then dense_rank() over (partition by outcome order by doc_id) end as case_id,
-      quality from {OUTCOMES_SQL} left join labels using (doc_id)
+    select doc_id, errors, outcome, matched_id, matched_row, case when outcome = 'Duplicate' then 0.85 else 0 end::double as confidence,
+      case when outcome = 'Duplicate' then 'incident spatial proximity' end as reason,
+      case when outcome = 'Inserted' then dense_rank() over (partition by outcome order by doc_id) + (select max(doc_id) from documents where doc_id % 17 = 0) end as case_id
+    from {OUTCOMES_SQL}
     """
 )
 def pipeline_outcome(spark, sf_dir):
-    found = outcomes(spark, sf_dir)
-    numbered = persist.number_rows(found.where("outcome = 'Inserted'").select("doc_id"), ["doc_id"], "case_id")
-    joined = found.join(numbered, "doc_id", "left").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return joined.select("doc_id", "outcome", "case_id", "quality")
+    """Validation, duplicates among stored cases and within the batch, and the numbers of the rows to be stored."""
+    chain, stored, found = outcomes(spark, sf_dir)
+    found = written(found, "outcomes")
+    cases = chain.tables(found, stored)["cases"].select("case_id", F.col("case_number").alias("fir_number"))
+    return found.join(cases, "fir_number", "left").select(
+        F.col("row_id").alias("doc_id"), rules(F.col("errors")).alias("errors"), "outcome", "matched_id", "matched_row",
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("duplicate_reason").alias("reason"), "case_id",
+    )
 
 
 FILE_NAME = "url || case page_id % 6 when 0 then '/a.PDF' when 1 then '/b.jpeg' when 2 then '/c.tar.csv' when 3 then '/d.xlsx' when 4 then '/e' else '/f.exe' end"
