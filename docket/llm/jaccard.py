@@ -2,8 +2,9 @@
 
 Jaccard distance is a metric, but documents without common shingles are all at distance 1, where pivots tell nothing.
 The space is therefore first cut by elements: all are put in one order, rare ones first, and a document belongs to the
-regions of its leading n - ceil(t n) + 1 elements of n. Two linked documents share one of these. Nearly all documents
-share none of them with any other, and are done.
+regions of its leading n - ceil(t n) + 1 elements of n. Two linked documents share one of these, and are looked for in the
+region of the first, where their places leave enough elements to share. Nearly all documents share none with any other,
+or too late, and are done.
 
 Each round takes the regions that still hold several components. In all but small ones, pivots are chosen and the exact
 distances of all documents to them measured; links join components, so a group of thousands of near copies is one
@@ -43,9 +44,11 @@ BUCKET_BITS = 17
 SMALL_REGION = 3
 PIVOTS = 8
 STUCK_PIVOTS = 32
-LISTED = 256
+LISTED = 512
+#: What is left at the end is listed at once, when that is this many pairs at most, each counted twice.
+LAST_PAIRS = 400_000
 #: Elements of 8 bytes that are sent to all tasks at once at most.
-BROADCAST = 4_000_000
+BROADCAST = 200_000
 REST = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 IS_BLANK = np.zeros(256, bool)
@@ -307,6 +310,14 @@ class Verifier:
         return pairs
 
 
+def partner_size(shared: Column, percent: int) -> Column:
+    """The size m of the largest set that a set of n elements can link with, if they have no more than `shared` elements in common.
+
+    Linked sets have t (n + m) / (1 + t) in common at least.
+    """
+    return F.floor(shared * (100 + percent) / percent - F.col("n") + 1e-6)
+
+
 def unsettled(live: DataFrame) -> DataFrame:
     """(region, size, tested) of the regions of `live` that hold several components; of those with the same classes, one.
 
@@ -326,32 +337,42 @@ def unsettled(live: DataFrame) -> DataFrame:
     return written(found.agg(F.min_by("region", "after").alias("region"), F.bool_or("tested").alias("tested")), "regions")
 
 
+def possible(n: Column, place: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of n and m elements may link whose first common element stands at `place` and `other`, from 0."""
+    common = F.least(n - place, m - other)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * common >= percent * (n + m))
+
+
 def listed(few: DataFrame, percent: int, reach: float) -> DataFrame:
     """(a, b): pairs across components within small regions, less those that sizes or the triangle inequality exclude."""
     x, y = few.alias("x"), few.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     window = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    sizes = possible(n, F.col("x.place"), m, F.col("y.place"), percent)
     across = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
     pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & across & sizes & window)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def with_pivots(many: DataFrame) -> DataFrame:
+def with_pivots(many: DataFrame, percent: int) -> DataFrame:
     """A row for each class and pivot of its region; pivots: the most central class, in large regions others by hash too.
 
     These are of any component alike; every other one is of the smallest sets. Stuck regions get about STUCK_PIVOTS more.
     """
     lows = [F.lit(0).cast("long"), F.shiftleft("n", 32)]
-    others = [F.min_by("id", F.shiftrightunsigned(F.xxhash64("root", F.lit(k)), 33) + lows[k % 2]) for k in range(1, PIVOTS)]
-    central = F.min_by("id", F.col("rank") + F.shiftrightunsigned(F.xxhash64("id"), 33) * 1e-16)
+    row = F.struct("id", "n", "place")
+    others = [F.min_by(row, F.shiftrightunsigned(F.xxhash64("root", F.lit(k)), 33) + lows[k % 2]) for k in range(1, PIVOTS)]
+    central = F.min_by(row, F.col("rank") + F.shiftrightunsigned(F.xxhash64("id"), 33) * 1e-16)
     further = F.col("stuck") & (F.pmod(F.xxhash64("id", "size"), F.col("size")) < STUCK_PIVOTS)
-    further = F.collect_list(F.when(further, F.col("id")))
+    further = F.collect_list(F.when(further, row))
     all_of = F.array_distinct(F.concat(F.array(central, *others), further))
     chosen = many.groupBy("region").agg(F.when(F.max("size") <= LISTED, F.array(central)).otherwise(all_of).alias("pivots"))
     rows = many.join(small(written(chosen, "pivots")), "region")
-    rows = rows.withColumns({"is_pivot": F.array_contains("pivots", F.col("id")), "central": F.get("pivots", F.lit(0))})
-    return written(rows.withColumn("pivot", F.explode("pivots")).drop("pivots", "root", "far", "tested", "stuck"), "stars")
+    ids = F.transform("pivots", lambda p: p["id"])
+    rows = rows.withColumns({"is_pivot": F.array_contains(ids, F.col("id")), "central": F.get("pivots", F.lit(0))["id"]})
+    rows = rows.withColumn("of", F.explode("pivots")).withColumn("pivot", F.col("of.id"))
+    maybe = possible(F.col("n"), F.col("place"), F.col("of.n"), F.col("of.place"), percent)
+    return written(rows.withColumn("maybe", maybe).drop("of").drop("pivots", "root", "far", "tested", "stuck"), "stars")
 
 
 def regions_within(
@@ -427,7 +448,7 @@ def parted(whole: DataFrame, verifier: Verifier, carried: list) -> DataFrame:
     stuck = written(work.where(F.col("pairs") > F.col("size") * F.col("size") / 2).select("region"), "stuck")
     left = whole.join(small(stuck), "region", "left_semi").select("region", *carried, F.lit(True).alias("stuck"))
     outside = outside.join(small(stuck), "region", "left_anti").select(F.col("cell").alias("region"), *carried)
-    most = F.floor(F.col("common") * (1 + t) / t - F.col("n") + 1e-6)
+    most = partner_size(F.least(F.col("common"), F.col("n") - F.col("place")), verifier.percent)
     sized = whole.join(small(stuck), "region", "left_anti").withColumn("most", most)
     smaller = sized.where("most >= n").groupBy("region", F.col("n").alias("m")).agg(
         F.max("most").alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
@@ -467,9 +488,11 @@ def class_links(verifier: Verifier) -> DataFrame | None:
     percent = verifier.percent
     reach = 1 - percent / 100 + 1e-9
     rows = verifier.classes.select("id", "n", F.posexplode("keys").alias("place", "region"))
-    shared = written(rows.groupBy("region").count().where("count > 1").select("region"), "shared")
+    rows = rows.withColumn("most", partner_size(F.col("n") - F.col("place"), percent))
+    shared = rows.groupBy("region").agg(F.count("*").alias("classes"), F.min(F.when(F.col("most") >= F.col("n"), F.col("n"))).alias("least"))
+    shared = written(shared.where("classes > 1 and least is not null").select("region", "least"), "shared")
     fresh = {"after": F.col("region"), "far": F.lit(None).cast("double"), "stuck": F.lit(False), "tested": F.lit(False)}
-    live = rows.join(small(shared), "region").withColumns(fresh)
+    live = rows.join(small(shared), "region").where("most >= least").withColumns(fresh)
     live = discarding(written(live.select("region", "after", "id", "n", "place", "far", "stuck", "tested"), "live"), shared)
     held = written(live.groupBy("id").agg(F.count("*").alias("held")), "held")
     share = (1 - F.col("held") / F.col("n")).alias("rank")
@@ -481,16 +504,19 @@ def class_links(verifier: Verifier) -> DataFrame | None:
         if regions.isEmpty():
             return discarding(roots, live, regions)
         ready = (F.col("size") <= SMALL_REGION) | (F.col("tested") & (F.col("size") <= LISTED))
+        left = regions.where(~ready).agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0
+        if roots is not None and left <= LAST_PAIRS:
+            ready = F.lit(True)
         few = known.join(small(regions.where(ready).select("region")), "region")
-        few = written(few.select("region", "id", "n", "root", "far"), "few")
+        few = written(few.select("region", "id", "n", "place", "root", "far"), "few")
         pairs = listed(few, percent, reach)
         others = regions.where(~ready).select("region", "size")
         more = not others.isEmpty()
         if more:
-            stars = with_pivots(known.join(small(others), "region"))
-            star = stars.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "size").where("a <> b")
+            stars = with_pivots(known.join(small(others), "region"), percent)
+            star = stars.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "size", "maybe").where("a <> b")
             whole = star.where(F.col("size") > LISTED).select("a", "b").distinct()
-            pairs = pairs.unionByName(star.where(F.col("size") <= LISTED).select("a", "b")).distinct()
+            pairs = pairs.unionByName(star.where((F.col("size") <= LISTED) & F.col("maybe")).select("a", "b")).distinct()
         close = verifier.close(pairs)
         tests = written(close.unionByName(whole).distinct() if more else close, "tests")
         verifier.load(tests.select(F.explode(F.array("a", "b")).alias("id")).distinct())

@@ -57,7 +57,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """`df`, to be broadcast if it has few rows (of two or three numbers).
 
     Otherwise Spark joins it by a sort-merge join, in which it splits the rows of frequent keys.
