@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators. Each reads whole tables and derives its columns from an operator."""
+"""The registered queries of the operators. Each reads whole tables and derives its columns from an operator."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import chat, decontaminate, extract, jaccard, language, quality, secrets, sentencepiece_bpe, warc, wordpiece
+from docket.llm import align, byte_bpe, chat, decontaminate, extract, jaccard, language, phrases, quality, secrets, sentencepiece_bpe, warc, wordpiece
 from docket.llm.shared import new_path, written
 
 
@@ -204,6 +204,73 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(documents.select("doc_id", "text", held_out.alias("held_out")), identifier)
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
+
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) as piece
+  from documents
+), lists as (
+  select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') as w from pieces
+), grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from lists, (select unnest(range(1, 5)) as k))
+), counts as (
+  select lang, k, phrase, count(*) as n from grams group by lang, k, phrase
+), frequent as (
+  select * from counts where n >= 30
+), inner_phrases as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(n) as held
+  from (select lang, w, n, m, unnest(range(1, len(w) - m + 2)) as i
+    from (select lang, string_split(phrase, ' ') as w, n, unnest(range(2, k)) as m from frequent where k > 2))
+  group by 1, 2
+), cuts as (
+  select f.lang, phrase, n as a, array_to_string(w[1:c], ' ') as head, array_to_string(w[c + 1:], ' ') as tail, c
+  from (select lang, phrase, n, string_split(phrase, ' ') as w, unnest(range(1, k)) as c from frequent where k > 1) f
+), scored as (
+  select c.lang, c.phrase, a, c.c, l.n as l, r.n as r, (2000000::hugeint * a) // (l.n::hugeint + r.n) as score
+  from cuts c join frequent l on l.lang = c.lang and l.phrase = head join frequent r on r.lang = c.lang and r.phrase = tail
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1
+), kept as (
+  select best.* from best left join inner_phrases i on i.lang = best.lang and i.phrase = best.phrase
+  where held is null or 100::hugeint * held < 80::hugeint * a
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+), words as (
+  select lang, sum(n)::bigint as n from counts where k = 1 group by lang
+)
+select lang, rank, phrase, a, l, r, words.n as n, score::bigint as score from ranked join words using (lang) where rank <= 2000
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = byte_bpe.encode(documents, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a_file, b_file = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    found = align.scored(documents, a_file, b_file, public_tokenizers.PATTERN, digest)
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_warc": op2_warc,
@@ -215,9 +282,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_phrase_mining": op11_phrase_mining,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op11_phrase_mining": OP11_SQL,
 }
