@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -79,31 +80,49 @@ class Pieces:
         ]
         self.by_unit = not any(re.search("[^▁]▁", p) for p in names)
         # a last space, which can't be encoded alone: the library adds the space in front to no empty text
-        self.last_space = self.library.encode("a ")[len(self.library.encode("a")) :]
-        self.known = {" ": self.last_space}
+        self.last_space = {" ": packed(self.library.encode("a ")[len(self.library.encode("a")) :])}
+        self.known, self.changed = dict(self.last_space), set()
         self.keep = keep
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.tokens[i] for i in ids.tolist()])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each text, or None where they don't stand for its bytes."""
         if not self.by_unit:
-            return self.library.encode(texts, num_threads=1)
+            found = [np.array(ids, np.int32) for ids in self.library.encode(texts, num_threads=1)]
+            return [ids if self.decode(ids) == b" " + t.encode("utf-8", "surrogatepass") else None for ids, t in zip(found, texts)]
         if len(self.known) > self.keep:
-            self.known = {" ": self.last_space}
+            self.known, self.changed = dict(self.last_space), set()
         known = self.known
         split = [UNITS.findall(" " + t) for t in texts]
         new = list(set(chain.from_iterable(split)).difference(known))
-        known.update(zip(new, self.library.encode([u[1:] for u in new], num_threads=1)))
-        found = [list(chain.from_iterable(map(known.__getitem__, units))) for units in split]
+        tokens = self.tokens
+        for u, ids in zip(new, self.library.encode([u[1:] for u in new], num_threads=1)):
+            known[u] = packed(ids)
+            if b"".join([tokens[i] for i in ids]) != u.encode("utf-8", "surrogatepass"):
+                self.changed.add(u)
+        found = [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in split]
+        if self.changed:
+            for n, units in enumerate(split):
+                if not self.changed.isdisjoint(units) and self.decode(found[n]) != b" " + texts[n].encode("utf-8", "surrogatepass"):
+                    found[n] = None
         for u in new:
             if len(u) > 64:
                 del known[u]
+                self.changed.discard(u)
         return found
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Aligner:
     """Both vocabularies, and links and groups of a batch of texts laid end to end."""
 
     def __init__(self, a_path: str, b_path: str, pattern: str):
-        self.a = Replay(read_byte_level(a_path), pattern)
+        self.a = Replay(read_byte_level(a_path), pattern, packed)
         self.b = Pieces(b_path)
         self.size_a, self.size_b = (np.array([len(t) for t in x.tokens], np.int64) for x in (self.a, self.b))
         digits = [str(i).encode() for i in range(max(len(self.a.tokens), len(self.b.tokens)))]
@@ -117,37 +136,52 @@ class Aligner:
         groups = [""] * len(texts)
         none = np.zeros(0, np.int64)
         wanted = [i for i, t in enumerate(texts) if t]
-        a_ids = [list(chain.from_iterable(words)) for words in self.a.block([" " + texts[i] for i in wanted])]
-        b_ids = self.b.encode([texts[i] for i in wanted])
-        good = []
-        for n, i in enumerate(wanted):
-            data = b" " + texts[i].encode("utf-8", "surrogatepass")
-            if self.a.decode(a_ids[n]) == data and b"".join([self.b.tokens[x] for x in b_ids[n]]) == data:
-                good.append((n, i, len(data)))
-        if not good:
+        a_side = [np.frombuffer(b"".join(words), np.int32) for words in self.a.block([" " + texts[i] for i in wanted])]
+        b_side = self.b.encode([texts[i] for i in wanted])
+        place, a, b, n_bytes = [], [], [], []
+        for i, x, y in zip(wanted, a_side, b_side):
+            size = 1 + len(texts[i].encode("utf-8", "surrogatepass"))
+            # A's words are pieces of the text in order: of its length, they are all of it
+            if y is not None and int(self.size_a[x].sum()) == size:
+                place.append(i)
+                a.append(x)
+                b.append(y)
+                n_bytes.append(size)
+        if not place:
             return out, groups, none, none
-        place = np.array([i for _, i, _ in good])
-        a, b = (np.fromiter(chain.from_iterable(ids[n] for n, _, _ in good), np.int64) for ids in (a_ids, b_ids))
-        a_end, b_end = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        text_end = np.cumsum([size for _, _, size in good])
-        ends, both = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end)
-        at = np.searchsorted(text_end, ends)
-        pairs = a[np.searchsorted(a_end, ends)] << 16 | b[np.searchsorted(b_end, ends)]
-        for k, x in enumerate((a_end, b_end, both, ends)):
-            out[k][place] = np.bincount(np.searchsorted(text_end, x), minlength=len(good))
+        out[0][place], out[1][place] = [len(x) for x in a], [len(y) for y in b]
+        a, b = np.concatenate(a), np.concatenate(b)
+        # the texts end to end: at which bytes do tokens end
+        ends_a, ends_b = (np.zeros(sum(n_bytes) + 1, bool) for _ in range(2))
+        ends_a[np.cumsum(self.size_a[a])] = True
+        ends_b[np.cumsum(self.size_b[b])] = True
+        ends = np.flatnonzero(ends_a | ends_b)
+        is_a, is_b = ends_a[ends], ends_b[ends]
+        group = np.cumsum(is_a & is_b)
+        per_text = np.diff(np.searchsorted(ends, np.cumsum(n_bytes)), prepend=-1)
+        out[3][place] = per_text
+        out[2][place] = np.diff(group[np.cumsum(per_text) - 1], prepend=0)
+        # each stretch between ends is in one token of A and one of B
+        pairs = a.astype(np.int64)[np.cumsum(is_a) - is_a] << 16 | b[np.cumsum(is_b) - is_b]
+        group -= is_a & is_b
         # the tokens in order of groups, A's before B's; after each, what follows it in the text form
-        key = np.concatenate([2 * np.searchsorted(both, a_end), 2 * np.searchsorted(both, b_end) + 1])
-        order = np.argsort(key, kind="stable")
-        key, ids = key[order], np.concatenate([a, b])[order]
-        last = np.append(key[1:] != key[:-1], True)
-        rows = self.digits[ids]
+        in_a, in_b = group[is_a], group[is_b]
+        n_groups = int(group[-1]) + 1
+        per_a, per_b = np.bincount(in_a, minlength=n_groups), np.bincount(in_b, minlength=n_groups)
+        at_a = np.arange(len(a)) + (np.cumsum(per_b) - per_b)[in_a]
+        at_b = np.arange(len(b)) + np.cumsum(per_a)[in_b]
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[at_a], ids[at_b] = a, b
+        follows = np.full(len(ids), ord(","), np.uint8)
+        follows[at_a[np.cumsum(per_a) - 1]], follows[at_b[np.cumsum(per_b) - 1]] = ord("|"), ord(";")
         size = self.n_digits[ids]
-        rows[np.arange(len(ids)), size] = np.where(last, np.where(key & 1, ord(";"), ord("|")), ord(","))
+        rows = self.digits[ids]
+        rows[np.arange(len(ids)), size] = follows
         data = rows[rows != 0].tobytes()
-        written_to = np.append(0, np.cumsum(size + 1))[np.append(0, np.cumsum(out[0][place] + out[1][place]))].tolist()
-        for i, start, end in zip(place.tolist(), written_to, written_to[1:]):
+        stops = np.append(0, np.cumsum(size + 1))[np.append(0, np.cumsum(out[0][place] + out[1][place]))].tolist()
+        for i, start, end in zip(place, stops, stops[1:]):
             groups[i] = data[start : end - 1].decode()
-        return out, groups, place[at], pairs
+        return out, groups, np.repeat(place, per_text), pairs
 
 
 @lru_cache(1)
