@@ -40,6 +40,8 @@ from docket.llm.wordpiece import printable_bytes
 
 #: Links of a block: it ends with the document that reaches as many. Documents of a block: what 16 bits hold.
 LINKS, SLOTS = 1_500_000, 60_000
+#: So many counts of pairs are sent to all tasks, some 60 MB in memory; more of them are joined as Spark sees fit.
+MOST_COUNTS = 1_000_000
 UNITS = re.compile(" *[^ ]+| +")
 POSTINGS = [
     T.StructField("block", T.LongType()),
@@ -331,6 +333,8 @@ def scored(documents: DataFrame, a_path: str, b_path: str, pattern: str, groups:
     # as many rows as A has ids
     highest = counts.groupBy(F.shiftright("pair", 16).alias("_a")).agg(F.max("n").alias("highest"))
     counts = counts.join(F.broadcast(highest), F.shiftright("pair", 16) == F.col("_a")).select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
+    if counts.count() <= MOST_COUNTS:
+        counts = F.broadcast(counts)
     sums = (
         postings.join(counts, "pair")
         .select("block", "plane", "dense", "docs", "n", "best")
