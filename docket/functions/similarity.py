@@ -9,23 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def indel_ratio(a: Column, b: Column) -> Column:
-    """For short strings, as one expression. Null with a null; 100 for two empty strings."""
-    size_a, size_b = F.length(a), F.length(b)
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-
-    def next_row(above: Column, c: Column) -> Column:
-        def cell(row: Column, j: Column) -> Column:
-            diagonal = F.get(above, j - 1) + 1
-            best = F.greatest(F.get(above, j), F.get(row, j - 1))
-            return F.array_append(row, F.when(F.substring(b, j, F.lit(1)) == c, diagonal).otherwise(best))
-
-        return F.aggregate(F.sequence(F.lit(1), size_b), F.array(F.lit(0)), cell)
-
-    rows = F.aggregate(chars, F.array_repeat(F.lit(0), size_b + 1), next_row)
-    found = F.when((size_a == 0) | (size_b == 0), F.lit(0)).otherwise(F.element_at(rows, -1))
-    return F.when(size_a + size_b == 0, F.lit(100.0)).otherwise(200.0 * found / (size_a + size_b))
+from docket.functions.lineage import written
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -42,8 +26,8 @@ def common_subsequence(a: str, b: str) -> int:
 
 
 @F.pandas_udf(T.DoubleType())
-def indel_ratio_long(a: pd.Series, b: pd.Series) -> pd.Series:
-    """As indel_ratio, for long texts."""
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """200 * LCS / (n + m). Null with a null; 100 for two empty strings."""
     return pd.Series(
         [
             None if x is None or y is None else 200 * common_subsequence(x, y) / (len(x) + len(y)) if x or y else 100.0
@@ -53,39 +37,111 @@ def indel_ratio_long(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+#: Characters are counted in so many groups (by code), eight counts of eight bits to a long; pivots of a class of lengths.
+GROUPS, PER_LONG, PIVOTS = 32, 8, 4
+COUNTS = [f"_c{i}" for i in range(GROUPS // PER_LONG)]
+
+
+def letter_counts(text: Column) -> Column:
+    """A struct of COUNTS: how often each group of characters stands in `text`, at most 255 each.
+
+    An indel changes one count by one, so the sum of differences of two texts' counts is at most their indel distance.
+    """
+    plain = F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "~")
+    codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.ascii(c).bitwiseAND(GROUPS - 1))
+
+    def add(counts: Column, code: Column) -> Column:
+        def one(i: int) -> Column:
+            shift = (code % PER_LONG) * 8
+            value, unit = counts[COUNTS[i]], F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+            full = F.call_function("shiftright", value, shift).bitwiseAND(255) == 255
+            return F.when((F.floor(code / PER_LONG) == i) & ~full, value + unit).otherwise(value)
+
+        return F.struct(*(one(i).alias(c) for i, c in enumerate(COUNTS)))
+
+    return F.aggregate(codes, F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTS)), add)
+
+
+def count_distance(a: str, b: str) -> Column:
+    """The sum of differences of packed counts, in columns of COUNTS with prefixes `a` and `b`."""
+    bits = range(0, 8 * PER_LONG, 8)
+    byte = lambda c, k: F.shiftright(c, k).bitwiseAND(255)
+    return sum((F.abs(byte(f"{a}{c}", k) - byte(f"{b}{c}", k)) for c in COUNTS for k in bits), F.lit(0))
+
+
 def banded(a: Column, b: Column, most: Column) -> Column:
     """The edit distance, or -1 if it is more than `most`: only a band of the table is filled."""
     return F.call_function("levenshtein", a, b, most)
 
 
-def may_reach(a: Column, b: Column, percent: float) -> Column:
-    """Necessary for a ratio of `percent`: by length, and by edit distance, which is at most the number of indels."""
-    total = F.length(a) + F.length(b)
-    most = F.floor((1 - percent / 100) * total).cast("int") + 1
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (banded(a, b, most) >= 0)
+def distances_to(pivots: dict[int, list[str]]):
+    """A function of a text and its class: its indel distances to the pivots of the class."""
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def found(text: pd.Series, group: pd.Series) -> pd.Series:
+        rows = [[len(x) + len(p) - 2 * common_subsequence(x, p) for p in pivots[g]] for x, g in zip(text, group)]
+        return pd.Series(rows, dtype="object")
 
-def similar_strings(left: DataFrame, right: DataFrame, percent: float) -> DataFrame:
-    """Pairs (a, b, ratio) of distinct strings of `left` (a) and `right` (b) with a ratio of at least `percent`.
+    return found
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, percent: float) -> DataFrame:
+    """Pairs (a, b) of distinct strings of `left` (a) and `right` (b) that may have a ratio of `percent`; none with one is lacking.
 
-    Lengths of similar strings differ by a factor of (2 - t) / t at most, so strings meet in neighbouring classes of a
-    logarithmic scale of that base: an equi-join that loses no pair.
+    A ratio of t means an indel distance of (1 - t)(n + m) at most: the budget. So lengths differ by a factor of (2 - t) / t
+    at most, and strings meet in neighbouring classes of a logarithmic scale of that base. Each class has a few pivots, found
+    by hash. A string b is at home with its nearest pivot; a string a goes to each pivot that isn't farther than its
+    nearest by more than twice its largest budget, which by the triangle inequality is where all its partners are. There, pairs stay whose
+    lengths, packed letter counts and distances to every pivot differ by no more than their budget: plain arithmetic on
+    numbers, before any string is compared. Each pair meets once. Null and empty strings are in no pair.
+
+    The bounds leave few pairs, but looking at them grows with the square of the strings of a class and pivot: at
+    ratios this low no key is both selective and lossless.
     """
     t = percent / 100
     base = math.log((2 - t) / t) + 1e-9
+    one = left.where("a <> ''").select("a").distinct()
+    two = written(right.where("b <> ''").select("b").distinct(), "strings")
+
+    def described(df: DataFrame, c: str, classes: Column) -> DataFrame:
+        known = df.select(c, F.length(c).alias("_n"), letter_counts(F.col(c)).alias("_counts"))
+        return known.select(c, F.col("_n").alias(f"{c}_n"), *(F.col(f"_counts.{x}").alias(f"{c}{x}") for x in COUNTS), classes.alias("_class"))
 
     def scale(c: str) -> Column:
         return F.floor(F.log(F.length(c)) / base)
 
-    one = left.where("a <> ''").select("a").distinct()
-    two = right.where("b <> ''").select("b").distinct()
-    one = one.withColumn("_class", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: scale("a") + k)))
-    two = two.withColumn("_class", scale("b"))
-    ratio = indel_ratio_long(F.col("a"), F.col("b"))
-    near = one.join(two, "_class").where(may_reach(F.col("a"), F.col("b"), percent)).drop("_class")
-    return near.withColumn("ratio", ratio).where(F.col("ratio") >= percent)
+    hashed = F.xxhash64("b")
+    chosen = two.groupBy(scale("b").alias("_class"), F.pmod(hashed, F.lit(PIVOTS))).agg(F.min_by("b", hashed).alias("p"))
+    pivots: dict[int, list[str]] = {}
+    for r in chosen.collect():  # PIVOTS a class, and as many classes as the longest string has digits
+        pivots.setdefault(r["_class"], []).append(r["p"])
+    distances = distances_to(pivots)
+    around = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: scale("a") + k))
+    placed = described(one, "a", around).where(F.col("_class").isin(*pivots)).withColumn("a_p", distances("a", "_class"))
+    budget = F.ceil(F.col("a_n") * (2 * (1 - t) / t))
+    near = F.filter(
+        F.transform("a_p", lambda d, i: F.when(d <= F.array_min("a_p") + 2 * budget, i)), lambda i: i.isNotNull()
+    )
+    placed = placed.withColumn("_home", F.explode(near))
+    at_home = described(two, "b", scale("b")).withColumn("b_p", distances("b", "_class"))
+    at_home = at_home.withColumn("_home", (F.array_position("b_p", F.array_min("b_p")) - 1).cast("int"))
+    most = F.floor((1 - t) * (F.col("a_n") + F.col("b_n")) + 1e-6).cast("int")
+    apart = [F.coalesce(F.abs(F.get("a_p", F.lit(i)) - F.get("b_p", F.lit(i))), F.lit(0)) for i in range(PIVOTS)]
+    fits = (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (count_distance("a", "b") <= most)
+    for x in apart:
+        fits &= x <= most
+    return placed.join(at_home, ["_class", "_home"]).where(fits).select("a", "b", most.alias("most"))
+
+
+def similar_strings(left: DataFrame, right: DataFrame, percent: float) -> DataFrame:
+    """Pairs (a, b, ratio) of distinct strings of `left` (a) and `right` (b) with a ratio of at least `percent`.
+
+    Candidates are verified by a banded edit distance, which is at most the indel distance, and the ones left exactly.
+    """
+    found = candidate_pairs(left, right, percent).where(banded(F.col("a"), F.col("b"), F.col("most")) >= 0).drop("most")
+    return found.withColumn("ratio", indel_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= percent)
 
 
 def register(spark: SparkSession) -> None:
     """Makes the ratio available in SQL as indel_ratio(a, b)."""
-    spark.udf.register("indel_ratio", indel_ratio_long)
+    spark.udf.register("indel_ratio", indel_ratio)

@@ -1,8 +1,11 @@
 import random
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from docket.functions.graph import components
+from docket.functions.similarity import common_subsequence
 from docket.operators import dedup, geocode, jobs, persist
 from docket.operators import schema as S
 from docket.plans.ingest import Ingest, page_records, reply_records, text_records
@@ -133,9 +136,9 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(i, *RECORDS[i]) for i in (2, 8)], kind).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
     stored = tables(spark)
-    run = ingest_stream(stream, Ingest(as_of=F.lit(datetime(2024, 6, 1))), lambda: stored, str(tmp_path / "out"), str(tmp_path / "cp"))
+    run = ingest_stream(stream, Ingest(as_of=F.lit(datetime(2024, 6, 1))), stored, str(tmp_path / "out"), str(tmp_path / "cp"))
     run.awaitTermination(120)
-    assert sorted(r.outcome for r in spark.read.parquet(str(tmp_path / "out/outcomes")).collect()) == ["Inserted", "Invalid"]
+    assert sorted(r.outcome for r in persist.read_committed(spark, str(tmp_path / "out"), "outcomes").collect()) == ["Inserted", "Invalid"]
     assert persist.read_committed(spark, str(tmp_path / "out"), "cases").count() == 1
 
 
@@ -151,18 +154,103 @@ def greedy(rows, pairs):
     return out
 
 
-def test_settling_long_chains_and_numbers(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_settling_long_chains_and_tags(spark, monkeypatch, rounds):
+    monkeypatch.setattr(dedup, "ROUNDS", rounds)
     chain = [(i, i + 1) for i in range(1, 151)]
     got = {r.id: r.kept for r in dedup.settle_in_order(spark.createDataFrame(chain, "earlier long, later long"), spark.range(1, 152)).collect()}
     assert got == {i: i % 2 == 1 for i in range(1, 152)}
-    rng = random.Random(4)
+    rng = random.Random(rounds)
     rows = [(i, rng.choice([None, "a", "b", f"n{i}"]), rng.sample(["a", "b", "c", f"n{i - 1}"], rng.randrange(3))) for i in range(40)]
     pairs = [tuple(sorted(rng.sample(range(40), 2))) for _ in range(25)]
-    frames = spark.createDataFrame(pairs, "earlier long, later long"), spark.createDataFrame(rows, "id long, number string, seeks array<string>")
-    for few in (0, 12, 10_000):
-        monkeypatch.setattr(dedup, "IN_ORDER", few)
-        got = {r.id: r.kept for r in dedup.settle_in_order(*frames).collect()}
-        assert got == {i: v for i, v in greedy([(i, n or object(), s) for i, n, s in rows], pairs).items()}
+    seeks = [(i, x) for i, _, wanted in rows for x in wanted] + [(b, f"row{a}") for a, b in pairs]
+    carries = [(i, n) for i, n, _ in rows if n] + [(a, f"row{a}") for a, _ in pairs]
+    links = {(c, c) for _, c in carries}
+    frames = [spark.createDataFrame(x, ddl) for x, ddl in ((seeks, "id long, s string"), (sorted(set(carries)), "id long, c string"), (sorted(links), "s string, c string"))]
+    got = {r.id: r.kept for r in dedup.settle(spark.range(40), *frames).collect()}
+    assert got == {i: v for i, v in greedy([(i, n or object(), s) for i, n, s in rows], pairs).items()}
+
+
+def test_components(spark):
+    rng = random.Random(7)
+    edges = [tuple(rng.sample(range(300), 2)) for _ in range(170)] + [(500, 500)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_many_equal_values_are_one_value(spark):
+    """3,000 reports with one description, address and place, and people of one name, without pairs of them."""
+    said = "the same standard sentence about a stolen bicycle, as a form has it"
+    one = record(description=said, location=place(1.0, 2.0), suspects=[person(name="Unknown Man")], fir_number="E")
+    kind = S.T.StructType([S.T.StructField("row_id", S.T.LongType()), *S.RECORD.fields])
+    frame = spark.createDataFrame([(1, *one)], kind).drop("row_id", "fir_number")
+    frame = spark.range(1, 3001).select(F.col("id").alias("row_id"), F.concat(F.lit("E"), "id").alias("fir_number")).crossJoin(frame)
+    got = dedup.check_batch(frame.select(*[f.name for f in kind]), persist.case_columns()).collect()
+    assert [r.row_id for r in got if not r.is_duplicate] == [1] and {r.matched_id for r in got if r.is_duplicate} == {1}
+    assert {r.reason for r in got if r.is_duplicate} == {
+        "incident spatial proximity | narrative description (similar key similarity 100.0%) | people profiles (similarity 100.0%)"
+    }
+
+
+def test_best_of_facets_against_all_pairs(spark):
+    """The cascade gives what comparing every record with every case over all facets gives; later facets see fewer rows."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    said, names, plates = [word(40) for _ in range(6)], [word(9) for _ in range(8)], [word(8).upper() for _ in range(6)]
+    near = lambda x: x[:3] + rng.choice("xyz") + x[4:] if rng.random() < 0.5 else x
+
+    def some():
+        return {
+            "description": near(rng.choice(said)) if rng.random() < 0.6 else None,
+            "lat": rng.randrange(40) * 0.0008, "lon": 1.0, "address": near(word(12)) if rng.random() < 0.2 else None,
+            "names": [near(rng.choice(names)) for _ in range(rng.randrange(3))], "plates": [rng.choice(plates) for _ in range(rng.randrange(2))],
+        }
+
+    records, cases = [(i, some()) for i in range(60)], [(i, some()) for i in range(100, 150)]
+    t = datetime(2024, 1, 1)
+    frames = (
+        spark.createDataFrame([(i, f"S{i}", c["description"], i, t) for i, c in cases], CASES),
+        spark.createDataFrame([(i, c["address"], c["lat"], c["lon"]) for i, c in cases], "location_id long, address string, latitude double, longitude double"),
+        spark.createDataFrame([(i, n) for i, c in cases for n in c["names"]], "case_id long, full_name string"),
+        spark.createDataFrame([(i, n) for i, c in cases for n in c["plates"]], "case_id long, registration_number string"),
+    )
+    kind = S.T.StructType([S.T.StructField("row_id", S.T.LongType()), *S.RECORD.fields])
+    made = []
+    for i, r in records:
+        row = list(place(r["lat"], r["lon"]))
+        made.append((i, *record(fir_number=f"R{i}", description=r["description"], location=tuple(row), suspects=[person(name=n) for n in r["names"]], vehicles=[plate(p)[0] for p in r["plates"]])))
+    frame = spark.createDataFrame(made, kind)
+    got = {r.row_id: r for r in dedup.check_duplicates(frame, *frames).collect()}
+    ratio = lambda a, b: 200 * common_subsequence(a.lower(), b.lower()) / (len(a) + len(b))
+    for i, r in records:
+        best = (0.0, 0)
+        for j, c in cases:
+            score = 0.85 if abs(r["lat"] - c["lat"]) < 0.001 else 0.0
+            if r["description"] and c["description"] and ratio(r["description"], c["description"]) >= 85:
+                score = max(score, 0.8 * (ratio(r["description"], c["description"]) / 100))
+            hits = [max((ratio(n, m) for m in c["names"]), default=0) for n in r["names"]]
+            hits = [h for h in hits if h >= 80]
+            score = max(score, 0.75 * (sum(hits) / len(hits) / 100) if hits else 0)
+            driven = [p for p in r["plates"] if any(ratio(p, q) >= 90 for q in c["plates"])]
+            if driven and 100 * len(driven) / len(r["plates"]) >= 90:
+                score = max(score, 0.7)
+            best = max(best, (round(score, 9), -j))
+        assert (got[i].confidence, got[i].matched_id) == ((round(best[0], 4), -best[1]) if best[0] else (0.0, None)), i
+    places = frames[0].select("case_id", "location_id").join(frames[1], "location_id")
+    facets = dedup.facets_of(dedup.sought_values(frame, False), dedup.stored_values(frames[0], places, *frames[2:], False), dedup.DedupConfig())
+    looked = dict(dedup.best_of_facets(facets, dedup.DedupConfig(), None)[1])
+    assert looked["description"] < looked["spot"] and looked["vehicles"] < len([1 for _, r in records if r["plates"]]) + 1
 
 
 def test_similar_records_of_one_batch(spark):
