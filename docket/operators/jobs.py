@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -36,6 +39,21 @@ def batch_summary(outcomes: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def counted(outcomes: DataFrame, rules: list[str], *found: str) -> tuple[DataFrame, Observation]:
+    """`outcomes`, and counts that the next job which reads all of it makes on the way: one pass for writing and summary.
+
+    total, each outcome, valid rows, and for each rule the rows in which one of the lists `found` (of structs with a rule) has it.
+    """
+    seen = Observation(f"outcomes-{uuid.uuid4().hex}")
+    counts = [F.count(F.lit(1)).alias("total")]
+    if "outcome" in outcomes.columns:
+        counts += [F.count_if(F.col("outcome") == x).alias(x.lower()) for x in ("Inserted", "Duplicate", "Invalid")]
+    for rule in rules:
+        has = [F.exists(c, lambda e: e["rule"] == rule) for c in found]
+        counts.append(F.count_if(reduce(Column.__or__, has)).alias(rule))
+    return outcomes.observe(seen, *counts), seen
+
+
 def authorised(users: DataFrame, roles: DataFrame, role: str | None = None) -> DataFrame:
     """Active users with the name of their role; with `role`, only those who have it."""
     joined = users.where("is_active").join(roles, "role_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docket.functions.lineage import written
 from docket.functions.text import blank_to_null, first_filled, strip
 from docket.operators.dedup import join_known
+from docket.operators.store import Index, Store
 
 ROLE_OF = {"victims": "Victim", "suspects": "Suspect", "witnesses": "Witness", "officers": "Officer"}
 
@@ -156,16 +157,27 @@ def persist(accepted: DataFrame, stored: dict[str, DataFrame]) -> dict[str, Data
     }
 
 
-def commit(tables: dict[str, DataFrame], folder: str, batch: str) -> None:
-    """Writes every table's rows under folder/table/batch=..., then a manifest row. Readers take batches with a manifest only."""
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+#: What must be unique in the stored tables.
+KEYS = {
+    "cases": ["case_id", "case_number"],
+    "locations": ["location_id"],
+    "persons": ["person_id", "nullif(identification_mark, '')"],
+    "crime_types": ["crime_type_id", "lower(crime_name)"],
+}
+
+
+#: What is looked up by key when a batch is judged.
+INDEXES = {"case_numbers": Index("cases", "nullif(case_number, '')", ("case_id",))}
+
+
+def commit(tables: dict[str, DataFrame], folder: str, batch: str) -> int:
+    """Commits every table's rows as one version of the store in `folder`. Raises Conflict if other writers came first with the same keys.
+
+    Rows that depend on what is stored are better made anew in that case: Ingest.store().
+    """
     spark = next(iter(tables.values())).sparkSession
-    done = spark.range(1).select(F.lit(batch).alias("committed"), F.lit(",".join(sorted(tables))).alias("tables"))
-    done.write.mode("overwrite").parquet(f"{folder}/_manifest/batch={batch}")
+    return Store(spark, folder, KEYS, INDEXES).transact(batch, lambda _: tables, attempts=1)
 
 
-def read_committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    committed = spark.read.parquet(f"{folder}/_manifest").select(F.col("committed").cast("string").alias("_batch")).distinct()
-    rows = spark.read.option("mergeSchema", True).parquet(f"{folder}/{name}")
-    return rows.join(committed, rows["batch"].cast("string") == committed["_batch"], "left_semi").drop("batch")
+def read_committed(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    return Store(spark, folder, KEYS, INDEXES).snapshot().read(name)

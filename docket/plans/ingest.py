@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.functions.lineage import written
-from docket.operators import dedup, geocode, persist
 from docket.functions.text import strip
+from docket.operators import dedup, geocode, jobs, persist
+from docket.operators.store import Snapshot, Store
 from docket.operators.validate import bounds, enums, ranges, validate
 from docket.sources import documents, tabular
 
@@ -47,7 +48,7 @@ class Ingest:
         valid = checked.where("is_valid")
         people = stored["people"] if "people" in stored else dedup.people_of_cases(stored["case_persons"], stored["persons"])
         found = dedup.check_duplicates(
-            valid, stored["cases"], stored["locations"], people, stored["vehicles"], self.config, self.window_days
+            valid, stored["cases"], stored["locations"], people, stored["vehicles"], self.config, self.window_days, stored.get("numbers")
         )
         found = written(found.withColumn("matched_row", F.lit(None).cast("long")), "duplicates")
         fresh = written(valid.join(found.where("not is_duplicate").select("row_id"), "row_id", "left_semi"), "fresh")
@@ -62,6 +63,45 @@ class Ingest:
     def tables(self, outcomes: DataFrame, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return persist.persist(written(outcomes.where("outcome = 'Inserted'"), "accepted"), stored)
 
+    def store(self, records: DataFrame, store: Store, batch: str, base: dict[str, DataFrame]) -> int:
+        """Judges `records` against what `store` holds, beside `base`, and commits the accepted ones; the version.
+
+        If another writer commits the same keys meanwhile, all is judged anew against its rows. A table "outcomes" has
+        each record's outcome, and "summaries" the counts of outcomes and rules, made in the pass that writes them. `base` has all tables that outcomes() and tables() read, also while the store is empty.
+        """
+
+        def make(seen: Snapshot) -> dict[str, DataFrame]:
+            held = {name: rows for name in TABLES if (rows := seen.read(name)) is not None}
+            stored = {n: both_of(base.get(n), held.get(n)) for n in {*base, *held}}
+            if "people" in base:
+                linked = held.get("case_persons")
+                named = None if linked is None else dedup.people_of_cases(linked, held["persons"])
+                stored["people"] = both_of(base["people"], named)
+            if "case_numbers" in store.indexes:
+                asked = records.select(F.explode(F.array("fir_number", "case_number")).alias("key"))
+                known = seen.lookup("case_numbers", asked)
+                known = None if known is None else known.select("case_id", F.col("key").alias("case_number"))
+                stored["numbers"] = both_of(base["cases"].select("case_id", "case_number"), known)
+            judged, counts = jobs.counted(self.outcomes(records, stored), RULES, "errors", "warnings")
+            judged = written(judged, "outcomes")
+            summary = judged.sparkSession.createDataFrame([(batch, counts.get)], "batch string, counts map<string,long>")
+            said = judged.select("row_id", "outcome", "matched_id", "matched_row", "duplicate_reason", "validation_errors")
+            return self.tables(judged, stored) | {"outcomes": said, "summaries": summary}
+
+        return store.transact(batch, make)
+
+
+RULES = [f"V{i}" for i in range(1, 20)]
+#: The stored tables that records are judged by.
+TABLES = ("cases", "locations", "persons", "case_persons", "vehicles", "crime_types")
+
+
+def both_of(base: DataFrame | None, added: DataFrame | None) -> DataFrame:
+    if base is None or added is None:
+        return base if added is None else added
+    common = [c for c in base.columns if c in added.columns]
+    return base.select(common).unionByName(added.select(common))
+
 
 def reply_records(replies: DataFrame) -> DataFrame:
     """`replies` (row_id, reply) as records, with `error` for replies that aren't records. Null lists become empty.

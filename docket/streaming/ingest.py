@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from docket.operators.persist import commit
+from docket.operators.persist import INDEXES, KEYS
+from docket.operators.store import Store
 from docket.plans.ingest import Ingest
 
 
-def ingest_stream(
-    records: DataFrame, chain: Ingest, stored: Callable[[], dict[str, DataFrame]], folder: str, checkpoint: str
-) -> StreamingQuery:
-    """Starts a query over streaming `records`. `stored()` gives the tables at the time of a batch.
+def ingest_stream(records: DataFrame, chain: Ingest, base: dict[str, DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query over streaming `records`, which commits each micro-batch to the store in `folder`.
 
-    A batch is written under its own number, so one that is run again replaces itself.
+    Batches are named after the query and their number, so one that is run again after a crash is committed once.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        tables = stored()
-        outcomes = chain.outcomes(batch, tables)
-        outcomes.select("row_id", "outcome", "duplicate_reason", "validation_errors").write.mode("overwrite").parquet(
-            f"{folder}/outcomes/batch={number}"
-        )
-        commit(chain.tables(outcomes, tables), folder, str(number))
+        chain.store(batch, Store(batch.sparkSession, folder, KEYS, INDEXES), f"{checkpoint}#{number}", base)
 
     return records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
