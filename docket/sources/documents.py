@@ -14,10 +14,10 @@ from docket.functions.text import blank_to_null, clean_text, strip
 from docket.operators import schema as S
 
 #: Elements that are dropped from pages, elements that hold text blocks.
-DROPPED = frozenset(
-    "script style nav footer header aside form iframe noscript svg audio video button input textarea select option label"
-    " dialog menu".split()
-)
+DROPPED = {
+    "script", "style", "nav", "footer", "header", "aside", "form", "iframe", "noscript", "svg", "audio", "video",
+    "button", "input", "textarea", "select", "option", "label", "dialog", "menu",
+}
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
 #: File categories by extension, limits of uploads.
 CATEGORIES = {".pdf": "PDF", ".jpg": "Image", ".jpeg": "Image", ".png": "Image", ".csv": "CSV", ".xlsx": "Excel"}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import codecs
 import io
 import os
 import re
 import zipfile
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,45 +19,53 @@ from docket.operators import schema as S
 
 #: Canonical columns, and the headers (lower case, single spaces) that mean them.
 HEADERS = {
-    "fir_number": "fir no, fir number, fir no., fir_no, first information report number",
-    "case_number": "case no, case number, case no., case_no",
-    "crime_type": "crime type, crime_type, type of crime, offence type, offense type, nature of crime",
-    "crime_category": "crime category, crime_category, category",
-    "ipc_sections": "ipc section, ipc sections, ipc_section, section",
-    "bns_sections": "bns section, bns sections, bns_section",
-    "status": "status, case status, investigation status",
-    "incident_date": "date, incident date, incident_date, date of incident, date of occurrence, occurrence date, date of crime",
-    "incident_time": "time, incident time, incident_time, time of incident",
-    "report_date": "report date, report_date, date reported, date of report, date of filing",
-    "address": "address, location, place of occurrence, place of incident",
-    "locality": "locality",
-    "area": "area",
-    "police_station": "police station, police_station, ps, thana",
-    "district": "district, dist",
-    "state": "state",
-    "country": "country",
-    "postal_code": "pin, pincode, postal code, zip",
-    "zone": "zone",
-    "landmark": "landmark",
-    "victim_name": "victim name, victim_name, name of victim",
-    "victim_age": "victim age, victim_age",
-    "victim_gender": "victim gender, victim_gender",
-    "victim_address": "victim address, victim_address",
-    "victim_phone": "victim phone, victim_phone",
-    "suspect_name": "suspect name, suspect_name, accused name, accused_name, name of accused",
-    "suspect_age": "suspect age, suspect_age",
-    "suspect_gender": "suspect gender, suspect_gender",
-    "suspect_address": "suspect address, suspect_address",
-    "officer_name": "officer name, officer_name, investigating officer, io name",
-    "officer_rank": "officer rank, officer_rank",
-    "officer_badge": "badge number, badge no",
-    "description": "description, details, incident details, crime details",
-    "modus_operandi": "modus operandi, modus_operandi, mo",
-    "motive": "motive",
-    "remarks": "remarks, notes, comments",
-    "weapon_type": "weapon, weapon type, weapon_type, weapon used, arms used",
-    "vehicle_registration": "vehicle, vehicle number, vehicle no, registration number",
-    "vehicle_type": "vehicle type, vehicle_type",
+    "fir_number": ("fir no", "fir number", "fir no.", "fir_no", "first information report number"),
+    "case_number": ("case no", "case number", "case no.", "case_no"),
+    "crime_type": ("crime type", "crime_type", "type of crime", "offence type", "offense type", "nature of crime"),
+    "crime_category": ("crime category", "crime_category", "category"),
+    "ipc_sections": ("ipc section", "ipc sections", "ipc_section", "section"),
+    "bns_sections": ("bns section", "bns sections", "bns_section"),
+    "status": ("status", "case status", "investigation status"),
+    "incident_date": (
+        "date",
+        "incident date",
+        "incident_date",
+        "date of incident",
+        "date of occurrence",
+        "occurrence date",
+        "date of crime",
+    ),
+    "incident_time": ("time", "incident time", "incident_time", "time of incident"),
+    "report_date": ("report date", "report_date", "date reported", "date of report", "date of filing"),
+    "address": ("address", "location", "place of occurrence", "place of incident"),
+    "locality": ("locality",),
+    "area": ("area",),
+    "police_station": ("police station", "police_station", "ps", "thana"),
+    "district": ("district", "dist"),
+    "state": ("state",),
+    "country": ("country",),
+    "postal_code": ("pin", "pincode", "postal code", "zip"),
+    "zone": ("zone",),
+    "landmark": ("landmark",),
+    "victim_name": ("victim name", "victim_name", "name of victim"),
+    "victim_age": ("victim age", "victim_age"),
+    "victim_gender": ("victim gender", "victim_gender"),
+    "victim_address": ("victim address", "victim_address"),
+    "victim_phone": ("victim phone", "victim_phone"),
+    "suspect_name": ("suspect name", "suspect_name", "accused name", "accused_name", "name of accused"),
+    "suspect_age": ("suspect age", "suspect_age"),
+    "suspect_gender": ("suspect gender", "suspect_gender"),
+    "suspect_address": ("suspect address", "suspect_address"),
+    "officer_name": ("officer name", "officer_name", "investigating officer", "io name"),
+    "officer_rank": ("officer rank", "officer_rank"),
+    "officer_badge": ("badge number", "badge no"),
+    "description": ("description", "details", "incident details", "crime details"),
+    "modus_operandi": ("modus operandi", "modus_operandi", "mo"),
+    "motive": ("motive",),
+    "remarks": ("remarks", "notes", "comments"),
+    "weapon_type": ("weapon", "weapon type", "weapon_type", "weapon used", "arms used"),
+    "vehicle_registration": ("vehicle", "vehicle number", "vehicle no", "registration number"),
+    "vehicle_type": ("vehicle type", "vehicle_type"),
 }
 REQUIRED = ("fir_number", "crime_type", "incident_date")
 #: Encodings in the order they are tried, and file extensions.
@@ -65,7 +73,7 @@ ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "ascii")
 EXTENSIONS = (".csv", ".xlsx", ".xls")
 #: What Spark calls encodings. It knows no cp1252, which is never reached, as latin-1 decodes any bytes.
 CHARSETS = {"utf-8-sig": "utf-8", "latin-1": "iso-8859-1", "ascii": "us-ascii"}
-ALIASES = {alias: name for name, listed in HEADERS.items() for alias in listed.split(", ")}
+ALIASES = {alias: name for name, listed in HEADERS.items() for alias in listed}
 
 
 def canonical(header: str, aliases: dict[str, str] = ALIASES) -> str:
@@ -94,44 +102,36 @@ def clean_cells(df: DataFrame) -> DataFrame:
     return df.select(*(clean_cell(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes))
 
 
-def guess_encoding(content: bytes) -> str:
-    """The first encoding that decodes a whole file."""
-    for name in ENCODINGS:
-        try:
-            codecs.lookup(name).decode(content)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
+def file_traits(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, multi_line) of each file with content: the first of ENCODINGS that decodes all of it.
 
-
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding) of each file, from all of its bytes."""
-
-    def run(batches):
-        for b in batches:
-            found = [guess_encoding(content) for content in b.column("content").to_pylist()]
-            yield type(b).from_pydict({"path": b.column("path").to_pylist(), "encoding": found})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, encoding string")
+    Files are read in ranges, by many tasks. A line end is no part of another UTF-8 character and starts afresh, so a
+    file is UTF-8 if each of its lines is, whichever task has it; any other file is latin-1, as that decodes all bytes. multi_line: some line
+    has an odd number of quotes, so a quoted cell goes on in the next one.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    quotes = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    found = lines.groupBy("path").agg(F.bool_and(F.call_function("is_valid_utf8", F.col("value"))).alias("utf8"), F.bool_or(quotes).alias("multi_line"))
+    return found.select("path", F.when(F.col("utf8"), ENCODINGS[0]).otherwise(ENCODINGS[2]).alias("encoding"), "multi_line")
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A file or folder of CSV with a header, all columns as strings. Malformed rows fail the read.
 
-    Files are read by encoding; the columns of the first encoding's files count, by name.
+    Files are read by encoding; the columns of the first encoding's files count, by name. Files without a quoted line
+    end are read in ranges, others by a task each.
     """
     if encoding is not None:
-        return csv_of(spark, [path], encoding)
-    by_encoding: dict[str, list[str]] = {}
-    for r in file_encodings(spark, path).orderBy("path").collect():
-        by_encoding.setdefault(r.encoding, []).append(r.path)
-    parts = [csv_of(spark, files, name) for name, files in by_encoding.items()] or [csv_of(spark, [path], "utf-8")]
+        return csv_of(spark, [path], encoding, True)
+    kinds: dict[tuple[str, bool], list[str]] = {}
+    for r in file_traits(spark, path).orderBy("path").collect():
+        kinds.setdefault((r.encoding, r.multi_line), []).append(unquote(r.path))
+    parts = [csv_of(spark, files, *kind) for kind, files in kinds.items()] or [csv_of(spark, [path], "utf-8", False)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def csv_of(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+def csv_of(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return reader.option("mode", "FAILFAST").option("encoding", CHARSETS.get(encoding, encoding)).csv(paths)
 
 
