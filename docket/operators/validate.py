@@ -65,15 +65,19 @@ def ranges(latitude: Column, longitude: Column, score: Column) -> Column:
 def repeats(code: str, items: Column, key, message) -> Column:
     """A (rule, message) for each item of a list whose key stood before; `message(item, key, index)`. Blank keys don't count."""
 
-    def found(item: Column, i: Column) -> Column:
-        mine = key(item)
-        before = F.exists(F.slice(items, 1, i), lambda other: key(other) == mine)
-        return F.when(
-            (mine != "") & (i > 0) & before,
-            F.struct(F.lit(code).alias("rule"), F.concat(*message(item, mine, i.cast("string"))).alias("message")),
-        )
-
-    return F.coalesce(F.filter(F.transform(items, found), lambda r: r.isNotNull()), F.array()).cast(FOUND)
+    def again(sorted_keys: Column) -> Column:
+        """Places of all but the first of equal keys, which stand side by side."""
+        same = lambda k, j: (j > 0) & (k["key"] != "") & (F.get(sorted_keys, j - 1)["key"] == k["key"])
+        return F.array_sort(F.transform(F.filter(sorted_keys, same), lambda k: k["i"]))
+
+    def said(i: Column) -> Column:
+        item = F.get(items, i)
+        return F.struct(F.lit(code).alias("rule"), F.concat(*message(item, key(item), i.cast("string"))).alias("message"))
+
+    keys = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"))))
+    # as an element of an array, the sorted list is worked out once and not for each item
+    places = F.element_at(F.transform(F.array(keys), again), 1)
+    return F.coalesce(F.transform(places, said), F.array()).cast(FOUND)
 
 
 def repeated_people(people: Column, name: str) -> Column:

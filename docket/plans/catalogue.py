@@ -268,6 +268,49 @@ def recursive_trim(spark, sf_dir):
     return t.select("l_orderkey", "l_linenumber", "top", F.col("s.x").alias("inner_text"), F.col("items")[0]["y"].alias("item"), F.col("strings")[0].alias("in_list"))
 
 
+#: A person and a weapon of each line.
+MADE = {
+    "name": "case when l_linenumber % 2 = 0 then ' N' else ' n' end || (l_suppkey % 3)",
+    "mark": "case when l_linenumber % 3 = 0 then '' when l_linenumber % 3 = 1 then 'id' || (l_partkey % 4) else 'ID' || (l_partkey % 4) || ' ' end",
+    "gender": "case when l_returnflag = 'N' then 'Male' when l_returnflag = 'A' then '' else 'M' end",
+    "role": "case when l_linestatus = 'O' then 'Victim' else 'Hero' end",
+    "age": "cast(l_quantity * 4 - 10 as smallint)",
+    "weapon": "case when l_partkey % 3 = 0 then 'Laser' when l_partkey % 3 = 1 then null else 'Blunt Object' end",
+}
+
+
+@query(
+    f"""
+    with d as (select l_orderkey, l_linenumber, {', '.join(f'{v} as {k}' for k, v in MADE.items())} from lineitem),
+    k as (select *, lower(trim(name)) as n, upper(trim(mark)) as m from d),
+    r as (select *, row_number() over (partition by l_orderkey, n order by l_linenumber) as nth_name,
+      row_number() over (partition by l_orderkey, m order by l_linenumber) as nth_mark from k)
+    select l_orderkey, count(*) filter (where nth_mark > 1 and m <> '')::int as v12, count(*) filter (where nth_name > 1 and n <> '')::int as v13,
+      (count(*) filter (where gender = 'M') + count(*) filter (where role = 'Hero'))::int as v17, count(*) filter (where weapon = 'Laser')::int as v18,
+      count(*) filter (where not age between 0 and 150)::int as v19, (l_orderkey % 3 = 0)::int as v11
+    from r group by l_orderkey
+    """
+)
+def validate_record_lists(spark, sf_dir):
+    """Rules on lists of people and weapons, and on the narrative, by the validator of whole records."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.expr(v).alias(k) for k, v in MADE.items()))
+    both = F.struct("l_linenumber", "name", "mark", "gender", "role", "age", "weapon")
+    lists = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(both)).alias("x"))
+    names = [x.split(":")[0] for x in S.PERSON[7:-1].split(",")]
+    own = {"name": "name", "identification_number": "mark", "gender": "gender", "role": "role", "age": "age"}
+    people = F.transform("x", lambda p: F.struct(*((p[own[n]] if n in own else F.lit(None)).alias(n) for n in names)))
+    arms = F.transform("x", lambda p: F.struct(p["weapon"].alias("weapon_type"), *(F.lit(None).alias(n) for n in ("weapon_name", "recovered", "description"))))
+    made = {"victims": people, "weapons": arms, "description": F.when(F.col("l_orderkey") % 3 != 0, "told")}
+    arrays = {f.name for f in S.RECORD.fields if f.dataType.typeName() == "array"}
+    records = lists.select(
+        F.col("l_orderkey").alias("row_id"),
+        *(made.get(f.name, F.array() if f.name in arrays else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.RECORD.fields),
+    )
+    checked = validate.validate(records, F.lit(AS_OF).cast("timestamp"))
+    count = lambda c, rule: F.size(F.filter(c, lambda e: e["rule"] == rule)).alias(rule.lower())
+    return checked.select(F.col("row_id").alias("l_orderkey"), *(count("errors", r) for r in ("V17", "V18", "V19")), *(count("warnings", r) for r in ("V11", "V12", "V13")))
+
+
 KEYS = (
     "case when o_orderkey % 4 = 0 then null when o_orderkey % 4 = 1 then 'K' || (o_orderkey % 500) else 'none' end as fir_number",
     "'K' || (o_custkey % 300) as case_number",
@@ -311,29 +354,35 @@ def ratio_sql(a: str, b: str) -> str:
     return f"200.0::double * {LCS_SQL.format(a=a, b=b)} / (length({a}) + length({b}))"
 
 
+#: Names that are different for each key, some of them similar.
+PERSON_NAME = "substr(md5(cast(p_partkey as varchar(20))), 1, 9) || ' ' || p_name"
+
+
 @query(
     f"""
-    with n as (select distinct p_name as x from part),
-    p as (select a.x as a, b.x as b, {ratio_sql('a.x', 'b.x')} as ratio from n a, n b where a.x < b.x)
+    with n as (select distinct {PERSON_NAME} as x from part),
+    c as (select a.x as a, b.x as b from n a, n b where a.x < b.x and levenshtein(a.x, b.x) <= 0.2 * (length(a.x) + length(b.x))),
+    p as (select a, b, {ratio_sql('a', 'b')} as ratio from c)
     select a, b, round(ratio, 4) as ratio from p where ratio >= 80
     """
 )
 def similarity_indel(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
+    """All pairs of similar names among all names."""
+    names = table(spark, sf_dir, "part").select(F.expr(PERSON_NAME).alias("a")).distinct()
     found = similar_strings(names, names.withColumnRenamed("a", "b"), 80.0).where("a < b")
     return found.select("a", "b", F.round("ratio", 4).alias("ratio"))
 
 
 #: A search: the ids that 50 divides, against all rows.
-NAMES = "select p_partkey as id, ' ' || upper(p_name) as name from part where p_partkey % 50 = 0"
-KNOWN = "select p_partkey as id, p_name || ' ' as name from part"
+NAMES = f"select p_partkey as id, ' ' || upper({PERSON_NAME}) as name from part where p_partkey % 50 = 0"
+KNOWN = f"select p_partkey as id, {PERSON_NAME} || ' ' as name from part"
 
 
 @query(
     f"""
     with a as (select id, lower(trim(name)) as n, row_number() over () as k from ({NAMES})),
     b as (select distinct id, lower(trim(name)) as n from ({KNOWN})),
-    u as (select distinct a.n as x, b.n as y from (select distinct n from a) a, (select distinct n from b) b),
+    u as (select a.n as x, b.n as y from (select distinct n from a) a, (select distinct n from b) b where levenshtein(a.n, b.n) <= 0.2 * (length(a.n) + length(b.n))),
     s as (select x, y, {ratio_sql('x', 'y')} as ratio from u),
     m as (select a.id as a_id, b.id as b_id, a.k, max(ratio) as best from a join s on a.n = s.x join b on b.n = s.y where ratio >= 80 group by 1, 2, 3)
     select a_id, b_id, round(avg(best), 4) as score from m group by 1, 2
@@ -345,15 +394,17 @@ def people_similarity(spark, sf_dir):
     return dedup.people_scores(a, b, 80.0).select("a_id", "b_id", F.round("score", 4).alias("score"))
 
 
-IN_PLATES = "select l_orderkey as id, l_returnflag || 'B' || (l_suppkey % 37) || l_linestatus as plate from lineitem where l_orderkey % 50 = 0"
-DB_PLATES = "select l_suppkey as id, lower(l_returnflag) || 'b' || (l_suppkey % 37) || l_linestatus as plate from lineitem"
+#: Plates of eleven characters, one for each part; every third one has lost a character.
+PLATE_OF = "case when l_linenumber % 3 = 0 then '' else 'B' end || upper(substr(md5(cast(l_partkey as varchar(20))), 1, 10))"
+IN_PLATES = f"select l_orderkey as id, {PLATE_OF} as plate from lineitem where l_orderkey % 50 = 0"
+DB_PLATES = f"select l_suppkey as id, lower({PLATE_OF}) as plate from lineitem"
 
 
 @query(
     f"""
     with a as (select id, upper(trim(plate)) as p, count(*) as times from ({IN_PLATES}) group by 1, 2),
     b as (select distinct id, upper(trim(plate)) as p from ({DB_PLATES})),
-    u as (select x.p as x, y.p as y from (select distinct p from a) x, (select distinct p from b) y where abs(length(x.p) - length(y.p)) <= 1),
+    u as (select x.p as x, y.p as y from (select distinct p from a) x, (select distinct p from b) y where abs(length(x.p) - length(y.p)) <= 1 and levenshtein(x.p, y.p) <= 2),
     s as (select x, y from u where x = y or {ratio_sql('x', 'y')} >= 90),
     t as (select id, sum(times) as total from a group by 1),
     h as (select distinct a.id as a_id, b.id as b_id, a.p, a.times from a join s on a.p = s.x join b on b.p = s.y)
@@ -555,46 +606,71 @@ def job_status(spark, sf_dir):
     return jobs.job_rows(made, results, F.lit(AS_OF).cast("timestamp"))
 
 
-#: Reports made from documents: those with equal texts happened at the same place; some have no type, some are from the
-#: future. Documents whose id 17 divides are also stored cases.
+#: Reports made from documents. Every seventh stands in a line of places, each near the next one only. The others have one facet
+#: each, by their text: a place, an address, a description, a suspect or a plate; equal texts have equal ones. Some have no
+#: type, some are from the future. Documents whose id 17 divides are also stored cases, unless they are in the line.
 REPORT = {
     "crime_type": "case when doc_id % 11 = 3 then '' else lang end",
     "incident_date": "case when doc_id % 13 = 5 then date '2999-01-01' else date '1997-03-01' end",
 }
-REPORTS_SQL = f"""(select doc_id, source, ('0x' || substr(md5(text), 1, 6))::int % 60000 as cell,
+REPORTS_SQL = f"""(select doc_id, source, text, case when doc_id % 7 = 3 then 'line' else
+    ['spot', 'address', 'description', 'people', 'vehicles'][('0x' || substr(md5(text), 7, 4))::int % 5 + 1] end as facet,
+  case when doc_id % 7 = 3 then md5(doc_id::varchar) when ('0x' || substr(md5(text), 7, 4))::int % 5 = 0
+    then ((('0x' || substr(md5(text), 1, 6))::int) % 60000)::varchar else md5(text) end as v,
   concat_ws(',', case when coalesce({REPORT["crime_type"]}, '') = '' then 'V2' end, case when {REPORT["incident_date"]} > date '1998-01-01' then 'V4' end) as errors
   from documents)"""
 OUTCOMES_SQL = f"""(
-  with d as (select * from {REPORTS_SQL}), s as (select cell, min(doc_id) as stored from d where doc_id % 17 = 0 group by cell),
-  j as (select d.*, s.stored from d left join s on d.cell = s.cell),
-  f as (select cell, min(doc_id) as first from j where errors = '' and stored is null group by cell)
-  select doc_id, source, errors, case when errors <> '' then 'Invalid' when stored is not null or first < doc_id then 'Duplicate' else 'Inserted' end as outcome,
-    case when errors = '' then stored end as matched_id, case when errors = '' and stored is null and first < doc_id then first end as matched_row
-  from j left join f on j.cell = f.cell)"""
+  with d as (select *, facet <> 'line' and doc_id % 17 = 0 as is_stored from {REPORTS_SQL}),
+  s as (select facet, v, min(doc_id) as stored from d where is_stored group by facet, v),
+  w as (select * from (values ('spot', 0.85::double), ('address', 0.85::double), ('description', 0.80::double), ('people', 0.75::double), ('vehicles', 0.70::double), ('line', 0.85::double)) x(facet, weight)),
+  j as (select d.*, s.stored, w.weight, weight >= 0.75 and stored is not null as known from d join w on d.facet = w.facet left join s on d.facet = s.facet and d.v = s.v),
+  f as (select facet, v, min(doc_id) as first from j where errors = '' and not known and weight >= 0.75 and facet <> 'line' group by facet, v),
+  i as (select doc_id, (doc_id - 3) // 7 - row_number() over (order by doc_id) as island from j where facet = 'line' and errors = ''),
+  l as (select doc_id, (row_number() over (partition by island order by doc_id)) % 2 = 0 as goes from i),
+  a as (select j.*, case when j.facet = 'line' then case when coalesce(goes, false) then j.doc_id - 7 end when first < j.doc_id then first end as earlier
+    from j left join f on j.facet = f.facet and j.v = f.v left join l on j.doc_id = l.doc_id)
+  select doc_id, source, errors, case when errors <> '' then 'Invalid' when known or earlier is not null then 'Duplicate' else 'Inserted' end as outcome,
+    case when errors = '' then stored end as matched_id, case when errors = '' and not known then earlier end as matched_row,
+    case when errors = '' and (stored is not null or earlier is not null) then weight else 0 end as confidence, facet
+  from a)"""
 
 
 def outcomes(spark, sf_dir) -> tuple[Ingest, dict[str, DataFrame], DataFrame]:
     """The chain, its stored tables, and the outcomes of all documents as reports."""
-    docs = table(spark, sf_dir, "documents")
-    cell = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long") % 60000
-    placed = docs.withColumn("lat", (cell * F.lit(0.0025) - 75).cast("decimal(10,8)"))
-    names = [x.split(":")[0] for x in S.LOCATION[7:-1].split(",")]
-    values = {"latitude": F.col("lat").cast("double"), "longitude": F.lit(10.0)}
-    location = F.struct(*(values.get(n, F.lit(None)).alias(n) for n in names)).cast(S.LOCATION)
-    made = {k: F.expr(v) for k, v in REPORT.items()} | {"fir_number": F.concat(F.lit("F"), "doc_id"), "location": F.when(F.col("lat").isNotNull(), location)}
+    digits = lambda start, n: F.conv(F.substring(F.md5("text"), start, n), 16, 10).cast("long")
+    position = F.floor((F.col("doc_id") - 3) / 7)
+    docs = table(spark, sf_dir, "documents").withColumn("facet", F.when(F.col("doc_id") % 7 == 3, -1).otherwise(digits(7, 4) % 5))
+    line, spot = F.col("facet") == -1, F.col("facet") == 0
+    lat = F.when(spot, (digits(1, 6) % 60000) * F.lit(0.0025) - 75).when(line, (position % 50_000) * F.lit(0.0009))
+    lon = F.when(spot, F.lit(10.0)).when(line, 20 + F.floor(position / 50_000) * F.lit(0.01))
+    made = docs.select(
+        "doc_id", "facet", *(F.expr(v).alias(k) for k, v in REPORT.items()), F.concat(F.lit("F"), "doc_id").alias("fir_number"),
+        lat.cast("decimal(10,8)").alias("lat"), lon.cast("decimal(11,8)").alias("lon"),
+        *(F.when(F.col("facet") == i, F.md5("text")).alias(c) for i, c in ((1, "address"), (2, "description"), (3, "name"), (4, "plate"))),
+    )
+
+    def struct(kind: str, **given: Column) -> Column:
+        names = [x.split(":")[0] for x in kind[7:-1].split(",")]
+        return F.struct(*(given.get(n, F.lit(None)).alias(n) for n in names)).cast(kind)
+
+    place = struct(S.LOCATION, latitude=F.col("lat").cast("double"), longitude=F.col("lon").cast("double"), address=F.col("address"))
+    values = {
+        "location": F.when(F.col("lat").isNotNull() | F.col("address").isNotNull(), place),
+        "suspects": F.when(F.col("name").isNotNull(), F.array(struct(S.PERSON, name=F.col("name")))).otherwise(F.array().cast(f"array<{S.PERSON}>")),
+        "vehicles": F.when(F.col("plate").isNotNull(), F.array(struct(S.VEHICLE, registration_number=F.col("plate")))).otherwise(F.array().cast(f"array<{S.VEHICLE}>")),
+    } | {c: F.col(c) for c in ("crime_type", "incident_date", "fir_number", "description")}
     lists = {f.name for f in S.RECORD.fields if f.dataType.typeName() == "array"}
-    records = placed.select(
+    records = made.select(
         F.col("doc_id").alias("row_id"),
-        *(made.get(f.name, F.array() if f.name in lists else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.RECORD.fields),
+        *(values.get(f.name, F.array() if f.name in lists else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.RECORD.fields),
     )
-    known = placed.where("doc_id % 17 = 0")
-    none = {
-        "case_persons": "case_id long, person_id long", "persons": "person_id long, identification_mark string, full_name string",
-        "vehicles": "case_id long, registration_number string", "crime_types": "crime_type_id long, crime_name string",
-    }
+    known = made.where("doc_id % 17 = 0 and facet >= 0")
+    none = {"persons": "person_id long, identification_mark string, full_name string", "crime_types": "crime_type_id long, crime_name string"}
     stored = {name: spark.createDataFrame([], ddl) for name, ddl in none.items()}
-    stored["cases"] = known.selectExpr("doc_id as case_id", "'S' || doc_id as case_number", "cast(null as string) as description", "doc_id as location_id", "cast(null as timestamp) as incident_time")
-    stored["locations"] = known.selectExpr("doc_id as location_id", "cast(null as string) as address", "lat as latitude", "cast(10 as decimal(11,8)) as longitude")
+    stored["people"] = known.where("name is not null").selectExpr("doc_id as case_id", "name as full_name")
+    stored["vehicles"] = known.where("plate is not null").selectExpr("doc_id as case_id", "plate as registration_number")
+    stored["cases"] = known.selectExpr("doc_id as case_id", "'S' || doc_id as case_number", "description", "doc_id as location_id", "cast(null as timestamp) as incident_time")
+    stored["locations"] = known.selectExpr("doc_id as location_id", "address", "lat as latitude", "lon as longitude")
     chain = Ingest(as_of=F.lit(AS_OF).cast("timestamp"))
     return chain, stored, chain.outcomes(records, stored)
 
@@ -612,9 +688,10 @@ def batch_summary(spark, sf_dir):
 
 @query(
     f"""
-    select doc_id, errors, outcome, matched_id, matched_row, case when outcome = 'Duplicate' then 0.85 else 0 end::double as confidence,
-      case when outcome = 'Duplicate' then 'incident spatial proximity' end as reason,
-      case when outcome = 'Inserted' then dense_rank() over (partition by outcome order by doc_id) + (select max(doc_id) from documents where doc_id % 17 = 0) end as case_id
+    select doc_id, errors, outcome, matched_id, matched_row, confidence::double as confidence,
+      case when outcome = 'Duplicate' then case facet when 'description' then 'narrative description (similar key similarity 100.0%)'
+        when 'people' then 'people profiles (similarity 100.0%)' else 'incident spatial proximity' end end as reason,
+      case when outcome = 'Inserted' then dense_rank() over (partition by outcome order by doc_id) + (select max(doc_id) from documents where doc_id % 17 = 0 and doc_id % 7 <> 3) end as case_id
     from {OUTCOMES_SQL}
     """
 )
