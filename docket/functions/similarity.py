@@ -37,25 +37,27 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-#: Characters are counted in so many groups (by code), eight counts of eight bits to a long; pivots of a class of lengths.
-GROUPS, PER_LONG, PIVOTS = 32, 8, 4
-COUNTS = [f"_c{i}" for i in range(GROUPS // PER_LONG)]
+#: Characters are counted in 32 groups (by code); a count is as many set bits of sixteen, four counts to a long. Pivots of a class of lengths.
+COUNTS, PER_LONG, BITS, PIVOTS = [f"_c{i}" for i in range(8)], 4, 16, 4
 
 
 def letter_counts(text: Column) -> Column:
-    """A struct of COUNTS: how often each group of characters stands in `text`, at most 255 each.
+    """A struct of COUNTS: how often each group of characters stands in `text`, at most BITS each.
 
     An indel changes one count by one, so the sum of differences of two texts' counts is at most their indel distance.
+    As counts are runs of set bits, that sum is the number of bits in which they differ.
     """
     plain = F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "~")
-    codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.ascii(c).bitwiseAND(GROUPS - 1))
+    codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.ascii(c).bitwiseAND(len(COUNTS) * PER_LONG - 1))
 
     def add(counts: Column, code: Column) -> Column:
+        shift = (code % PER_LONG) * BITS
+
         def one(i: int) -> Column:
-            shift = (code % PER_LONG) * 8
-            value, unit = counts[COUNTS[i]], F.call_function("shiftleft", F.lit(1).cast("long"), shift)
-            full = F.call_function("shiftright", value, shift).bitwiseAND(255) == 255
-            return F.when((F.floor(code / PER_LONG) == i) & ~full, value + unit).otherwise(value)
+            run = F.call_function("shiftright", counts[COUNTS[i]], shift).bitwiseAND((1 << BITS) - 1)
+            longer = (run * 2 + 1).bitwiseAND((1 << BITS) - 1)
+            more = counts[COUNTS[i]].bitwiseOR(F.call_function("shiftleft", longer, shift))
+            return F.when(F.floor(code / PER_LONG) == i, more).otherwise(counts[COUNTS[i]])
 
         return F.struct(*(one(i).alias(c) for i, c in enumerate(COUNTS)))
 
@@ -64,9 +66,7 @@ def letter_counts(text: Column) -> Column:
 
 def count_distance(a: str, b: str) -> Column:
     """The sum of differences of packed counts, in columns of COUNTS with prefixes `a` and `b`."""
-    bits = range(0, 8 * PER_LONG, 8)
-    byte = lambda c, k: F.shiftright(c, k).bitwiseAND(255)
-    return sum((F.abs(byte(f"{a}{c}", k) - byte(f"{b}{c}", k)) for c in COUNTS for k in bits), F.lit(0))
+    return F.expr(" + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in COUNTS))
 
 
 def banded(a: Column, b: Column, most: Column) -> Column:
@@ -105,7 +105,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, percent: float) -> DataFr
 
     def described(df: DataFrame, c: str, classes: Column) -> DataFrame:
         known = df.select(c, F.length(c).alias("_n"), letter_counts(F.col(c)).alias("_counts"))
-        return known.select(c, F.col("_n").alias(f"{c}_n"), *(F.col(f"_counts.{x}").alias(f"{c}{x}") for x in COUNTS), classes.alias("_class"))
+        return known.select(c, F.col("_n").alias(f"{c}_n"), *(F.coalesce(f"_counts.{x}", F.lit(0)).alias(f"{c}{x}") for x in COUNTS), classes.alias("_class"))
 
     def scale(c: str) -> Column:
         return F.floor(F.log(F.length(c)) / base)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import sys
 import time
@@ -72,8 +73,8 @@ def equal_texts(spark: SparkSession) -> None:
 
 
 PARTS = {
-    "names": lambda spark: joined(spark, "names", 200_000, 2, 3_000, 80.0),
-    "descriptions": lambda spark: joined(spark, "descriptions", 20_000, 30, 3_000, 85.0),
+    "names": lambda spark: joined(spark, "names", int(os.environ.get("ROWS", 200_000)), 2, 3_000, 80.0),
+    "descriptions": lambda spark: joined(spark, "descriptions", int(os.environ.get("ROWS", 20_000)), 30, 3_000, 85.0),
     "settling": settled,
     "equal": equal_texts,
 }
