@@ -126,11 +126,13 @@ def candidate_pairs(left: DataFrame, right: DataFrame, percent: float) -> DataFr
     at_home = described(two, "b", scale("b")).withColumn("b_p", distances("b", "_class"))
     at_home = at_home.withColumn("_home", (F.array_position("b_p", F.array_min("b_p")) - 1).cast("int"))
     most = F.floor((1 - t) * (F.col("a_n") + F.col("b_n")) + 1e-6).cast("int")
-    apart = [F.coalesce(F.abs(F.get("a_p", F.lit(i)) - F.get("b_p", F.lit(i))), F.lit(0)) for i in range(PIVOTS)]
+    # distances as columns, 0 on both sides where a class has fewer pivots
+    flat = lambda df, c: df.withColumns({f"{c}_p{i}": F.coalesce(F.get(f"{c}_p", F.lit(i)), F.lit(0)) for i in range(PIVOTS)}).drop(f"{c}_p")
+    apart = [F.abs(F.col(f"a_p{i}") - F.col(f"b_p{i}")) for i in range(PIVOTS)]
     fits = (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (count_distance("a", "b") <= most)
     for x in apart:
         fits &= x <= most
-    return placed.join(at_home, ["_class", "_home"]).where(fits).select("a", "b", most.alias("most"))
+    return flat(placed, "a").join(flat(at_home, "b"), ["_class", "_home"]).where(fits).select("a", "b", most.alias("most"))
 
 
 def similar_strings(left: DataFrame, right: DataFrame, percent: float) -> DataFrame:
