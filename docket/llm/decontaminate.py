@@ -7,7 +7,8 @@ banded alignment.
 
 Texts and items are compared in lower case, without ASCII characters other than letters and digits, as UTF-8 bytes.
 The budget k is `edit_rate` of an item's bytes; q is 8, or what is less in m / (k + 1), so that the lemma always demands a
-q-gram at least. Short items have short q-grams, and the same bound holds for them.
+q-gram at least. Short items have short q-grams, and the same bound holds for them. Items of fewer than 16 compared bytes
+are found only where the place begins and ends at word borders, as such letters stand inside other words by chance.
 
 The items are a stated query set. It is taken in blocks of a bounded size; each block is compared with all rows, and no
 row of a text is shuffled.
@@ -15,7 +16,7 @@ row of a text is shuffled.
 Defined cases: a null or empty text has no leaks; items that are null or without a byte to compare are never found;
 items with several ids are each reported, rows that are equal in id and text once; repeated documents are each reported;
 of several places of an item in a text, the one with fewest edits is given, of these the first; very long texts are
-searched whole; an empty benchmark or an empty table gives no leaks; a column `leaks` is replaced, all others stay.
+searched whole, and runs of one letter or line cost memory by their length alone; an empty benchmark or an empty table gives no leaks; a column `leaks` is replaced, all others stay.
 Positions are code points of the text.
 """
 
@@ -39,6 +40,12 @@ KEPT[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
 KEPT[128:] = True
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SIEVE_BITS = 20
+#: Counts that are held at once.
+STEP = 1 << 20
+#: Items of fewer compared bytes are found at word borders only.
+SHORT = 2 * Q
+#: From here on, scripts set no spaces between words, so that each character is a word.
+UNSPACED = "\u2e80"
 
 
 def compared(text: str | None) -> np.ndarray:
@@ -60,7 +67,7 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Items of a block that have one q, and which of them hold a q-gram at which position."""
+    """Items of a block that have one q, and where each of them holds a q-gram: runs of places at most k + 1 apart."""
 
     q: int
     ids: np.ndarray
@@ -70,7 +77,8 @@ class Items:
     codes: np.ndarray
     starts: np.ndarray
     owner: np.ndarray
-    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
     sieve: np.ndarray
 
 
@@ -91,17 +99,31 @@ def index_of(kept: list[tuple[int, np.ndarray]], q: int, edit_rate: float) -> It
     owner = np.repeat(np.arange(len(kept)), [len(c) for c in codes])
     place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c)) for c in codes)])
     order = np.argsort(every, kind="stable")
-    unique, starts = np.unique(every[order], return_index=True)
+    every, owner, place = every[order], owner[order], place[order]
+    same = (every[1:] == every[:-1]) & (owner[1:] == owner[:-1]) & (np.diff(place) <= budgets[owner[1:]] + 1)
+    new = np.flatnonzero(np.concatenate([[True], ~same]))
+    unique, starts = np.unique(every[new], return_index=True)
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[(unique * SPREAD) >> np.uint64(64 - SIEVE_BITS)] = True
     return Items(
         q, np.array([i for i, _ in kept], np.int64), [d for _, d in kept], budgets, sizes - q + 1 - budgets * q,
-        unique, np.append(starts, len(every)), owner[order], place[order], sieve,
+        unique, np.append(starts, len(new)), owner[new], place[new], place[np.append(new[1:], len(every)) - 1], sieve,
     )
 
 
+def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, the sum of each key's values)."""
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, np.bincount(at, np.concatenate(values), len(unique)).astype(np.int64)
+
+
 def regions(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first diagonal, last diagonal) of the bands that reach the bound; touching bands are joined."""
+    """(document, item, first diagonal, last diagonal) of the bands that reach the bound; touching bands are joined.
+
+    A text position counts once for each run of its q-gram's places in an item, in all bands that the run's diagonals
+    touch: it adds one where these begin and takes one where they end. That is never too few, and a gram that an item
+    repeats costs no more than ten runs. Positions are taken STEP counts at a time, so that memory is bounded.
+    """
     sizes = np.array([len(d) for d in docs])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     codes = grams(np.concatenate([*docs, np.zeros(0, np.uint8)]), items.q)
@@ -112,57 +134,80 @@ def regions(docs: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, in
     doc = np.searchsorted(starts, at, "right") - 1
     real = (items.codes[slot] == codes[at]) & (at + items.q <= starts[doc + 1])
     at, slot, doc = at[real], slot[real], doc[real]
-    times = items.starts[slot + 1] - items.starts[slot]
-    total = int(times.sum())
-    if not total:
+    if not len(at):
         return
-    source = np.repeat(np.arange(len(at)), times)
-    entry = np.arange(total) - np.repeat(np.cumsum(times) - times, times) + items.starts[slot][source]
-    item, diagonal = items.owner[entry], (at - starts[doc])[source] - items.place[entry]
-    pair = doc[source] * len(items.ids) + item
-    _, at_pair, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    enough = counts[at_pair] >= items.needs[item]
-    pair, diagonal = pair[enough], diagonal[enough]
-    if not len(pair):
+    times = items.starts[slot + 1] - items.starts[slot]
+    cuts = np.flatnonzero(np.diff((np.cumsum(times) - times) // STEP)) + 1
+    cuts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]))
+    n = len(items.ids)
+
+    def runs(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, text position, run) of the counts of the positions a to b."""
+        t = times[a:b]
+        source = np.repeat(np.arange(a, b), t)
+        run = np.arange(len(source)) - np.repeat(np.cumsum(t) - t, t) + items.starts[slot[source]]
+        return doc[source] * n + items.owner[run], (at - starts[doc])[source], run
+
+    found = [np.unique(runs(*cut)[0], return_counts=True) for cut in cuts]
+    pairs, counts = summed([p for p, _ in found], [c for _, c in found])
+    pairs = pairs[counts >= items.needs[pairs % n]]
+    if not len(pairs):
         return
-    half = items.budgets[pair % len(items.ids)] + 1
-    band = diagonal // half
-    pairs, bands = np.concatenate([pair, pair]), np.concatenate([band, band - 1])
-    order = np.lexsort((bands, pairs))
-    pairs, bands = pairs[order], bands[order]
-    new = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (bands[1:] != bands[:-1])]))
-    held = np.diff(np.append(new, len(pairs)))
-    pairs, bands = pairs[new], bands[new]
-    good = held >= items.needs[pairs % len(items.ids)]
+    below = max(map(len, items.texts)) + 2
+    width = below + int(sizes.max()) + 3
+    keys, steps = [], []
+    for cut in cuts:
+        pair, position, run = runs(*cut)
+        which = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        enough = pairs[which] == pair
+        which, position, run = which[enough], position[enough], run[enough]
+        half = items.budgets[items.owner[run]] + 1
+        base = which * width + below
+        opened = base + (position - items.last[run]) // half - 1
+        closed = base + (position - items.first[run]) // half + 1
+        keys += [opened, closed]
+        steps += [np.ones(len(opened)), -np.ones(len(closed))]
+        if sum(map(len, keys)) > STEP:
+            key, step = summed(keys, steps)
+            keys, steps = [key], [step]
+    key, step = summed(keys, steps)
+    good = np.flatnonzero(np.cumsum(step) >= items.needs[pairs[key // width] % n])
     last = None
-    for p, b in zip(pairs[good].tolist(), bands[good].tolist()):
-        h = int(items.budgets[p % len(items.ids)]) + 1
+    for p, b, e in zip(pairs[key[good] // width].tolist(), (key[good] % width - below).tolist(), (key[good + 1] % width - below).tolist()):
+        h = int(items.budgets[p % n]) + 1
         if last and last[0] == p and last[2] >= b * h - 1:
-            last[2] = (b + 2) * h - 1
+            last[2] = (e + 1) * h - 1
             continue
         if last:
-            yield last[0] // len(items.ids), last[0] % len(items.ids), last[1], last[2]
-        last = [p, b * h, (b + 2) * h - 1]
+            yield last[0] // n, last[0] % n, last[1], last[2]
+        last = [p, b * h, (e + 1) * h - 1]
     if last:
-        yield last[0] // len(items.ids), last[0] % len(items.ids), last[1], last[2]
+        yield last[0] // n, last[0] % n, last[1], last[2]
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+def align(
+    item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, borders: np.ndarray | None = None
+) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of `item` in `text` on diagonals from low - budget to high + budget.
 
     Row i of the table holds, for each diagonal d, the edits of the item's first i bytes against text ending at d + i.
+    Diagonals at both sides whose edits are beyond the budget are dropped as the rows go on. Where `borders` is given,
+    a place begins and ends at positions of the text for which it is true.
     """
-    low, high = low - budget, high + budget
-    width = high - low + 1
     inf = 1 << 30
-    steps = np.arange(width)
-    ends = np.arange(low, high + 1)
-    cost = np.where((ends >= 0) & (ends <= len(text)), 0, inf)
+    ends = np.arange(max(low - budget, -len(item)), min(high + budget, len(text)) + 1)
+    if not len(ends):
+        return None
+    steps = np.arange(len(ends))
+    cost = np.where(ends >= 0, 0, inf)
+    if borders is not None:
+        cost[(ends >= 0) & ~borders[np.maximum(ends, 0)]] = inf
     begin = ends.copy()
+    # Diagonals below 0 are reached by dropping the item's first bytes.
     for i in range(1, len(item) + 1):
         at = ends + i - 1
         inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, bool)
+        same = np.zeros(len(ends), bool)
         same[inside] = text[at[inside]] == item[i - 1]
         across = np.where(inside, cost + ~same, inf)
         drop = np.append(cost[1:] + 1, inf)
@@ -175,6 +220,15 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
         cost = np.minimum(low_so_far + steps, inf)
         cost[(ends + i < 0) | (ends + i > len(text))] = inf
         begin = start[origin]
+        if i % 64 == 0:
+            live = np.flatnonzero(cost <= budget)
+            if not len(live):
+                return None
+            part = slice(max(0, live[0] - budget), live[-1] + budget + 1)
+            ends, cost, begin = ends[part], cost[part], begin[part]
+            steps = np.arange(len(ends))
+    if borders is not None:
+        cost[~borders[np.clip(ends + len(item), 0, len(text))]] = inf
     least = int(cost.min())
     if least > budget:
         return None
@@ -182,6 +236,17 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return least, int(begin[d]), int(ends[d]) + len(item)
 
 
+def word_borders(text: str, places: np.ndarray) -> np.ndarray:
+    """Whether each position among the compared bytes, both ends included, is no place inside a word."""
+    out = np.ones(len(places) + 1, bool)
+    inside = places[1:] - places[:-1] <= 1
+    if not text.isascii():
+        joined = np.array([c.isalnum() and c < UNSPACED for c in text], bool)
+        inside &= (places[1:] == places[:-1]) | (joined[places[1:]] & joined[places[:-1]])
+    out[1:-1] = ~inside
+    return out
+
+
 def code_points(text: str) -> np.ndarray:
     """The code point in `text` of each compared byte."""
     if text.isascii():
@@ -201,15 +266,21 @@ def leaks_in(texts: list[str | None], blocks: list[Items]) -> list[list[dict]]:
 
 def leaks_of(texts: list[str | None], docs: list[np.ndarray], items: Items) -> list[list[dict]]:
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    borders: dict[int, np.ndarray] = {}
     for doc, item, low, high in regions(docs, items):
         budget, pattern = int(items.budgets[item]), items.texts[item]
         begin = max(0, low - budget)
-        window = docs[doc][begin : high + budget + len(pattern)]
-        exact = window.tobytes().find(pattern.tobytes())
-        if exact >= 0:
-            found = (0, begin + exact, begin + exact + len(pattern))
+        if len(pattern) < SHORT:
+            if doc not in borders:
+                borders = {doc: word_borders(texts[doc], code_points(texts[doc]))}
+            found = align(pattern, docs[doc], low, high, budget, borders[doc])
         else:
-            found = align(pattern, docs[doc], low, high, budget)
+            window = docs[doc][begin : high + budget + len(pattern)]
+            exact = window.tobytes().find(pattern.tobytes())
+            if exact >= 0:
+                found = (0, begin + exact, begin + exact + len(pattern))
+            else:
+                found = align(pattern, docs[doc], low, high, budget)
         if found and (doc, item) in best:
             found = min(found, best[doc, item])
         if found:

@@ -1,19 +1,33 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
+import pytest
 
 from docket.llm import decontaminate as D
 
 
-def edits(pattern, text):
+def edits(pattern, text, borders=None):
     """(fewest edits of `pattern` at any place of `text`), by the full table."""
-    row = [0] * (len(text) + 1)
+    far = 10**6
+    row = [0 if borders is None or borders[j] else far for j in range(len(text) + 1)]
     for i, p in enumerate(pattern, 1):
         new = [i]
         for j, c in enumerate(text, 1):
             new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p != c)))
         row = new
-    return min(row)
+    return min(r for j, r in enumerate(row) if borders is None or borders[j])
+
+
+def borders_of(text):
+    """Positions among the compared ASCII bytes at which no word goes on."""
+    kept = [i for i, c in enumerate(text) if c.isascii() and c.isalnum() or c > "\x7f"]
+    size = {i: len(D.compared(text[i])) for i in kept}
+    out = [True]
+    for n, i in enumerate(kept):
+        out += [False] * (size[i] - 1) + [n + 1 == len(kept) or kept[n + 1] > i + 1]
+    return out
 
 
 def mutate(rng, text, n):
@@ -37,6 +51,7 @@ def corpus():
         if i >= 120:
             text = mutate(rng, items[-1 - rng.randrange(8)][1], rng.randrange(4))
         docs.append(prose(rng.randrange(20)) + ". " + text.upper() + "! é " + prose(rng.randrange(20)))
+    docs.append("; ".join(t for _, t in items[1:5]) + " " + " ".join(t for _, t in items[-10:-4]))
     return items, docs
 
 
@@ -57,10 +72,10 @@ def test_against_full_alignment(spark):
                     assert (d, i) not in got
                     continue
                 budget = int(0.1 * len(pattern))
-                if len(text) >= 2000:
+                if len(text) >= 2000 and len(pattern) >= D.SHORT:
                     assert ((d, i) in got) or pattern not in text
                     continue
-                least = edits(pattern, text)
+                least = edits(pattern, text, borders_of(t) if t and len(pattern) < D.SHORT else None)
                 assert ((d, i) in got) == (least <= budget), (d, i, least, budget)
                 if (d, i) in got:
                     x = got[d, i]
@@ -70,6 +85,37 @@ def test_against_full_alignment(spark):
         assert hits > 40
 
 
+def test_short_items_at_word_borders():
+    index = D.index_items([(1, "a"), (2, "cat"), (3, "日本")], 0.1)
+    got = D.leaks_in(["banana concatenated", "Is it a cat?", "in 東日本では", "aa", ""], index)
+    assert [[(x["item_id"], x["start"], x["end"]) for x in g] for g in got] == [[], [(1, 6, 7), (2, 8, 11)], [(3, 4, 6)], [], []]
+
+
+def test_monotone_texts_in_bounded_memory():
+    """Texts and items of one letter, of short periods, and of runs with a foreign end: fast, small, and as by brute force."""
+    tracemalloc.start()
+    began = time.time()
+    for size, item in ((5_000, 1_000), (20_000, 2_000), (40_000, 2_000)):
+        got = D.leaks_in(["a" * size], D.index_items([(7, "a" * item)], 0.1))
+        assert got == [[{"item_id": 7, "start": 0, "end": item, "edits": 0}]]
+    taken, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken < 3 and peak < 300e6, (taken, peak)
+    long = "a" * 200_000
+    assert D.leaks_in([long], D.index_items([(1, "a" * 900 + "b" * 900)], 0.1)) == [[]]
+    rng = random.Random(3)
+    patterns = ["ab" * 30, "a" * 70, "abc" * 25 + "d" * 9, "a" * 30 + "b" * 30]
+    texts = [mutate(rng, p * rng.randrange(1, 5), rng.randrange(9)) for p in patterns for _ in range(15)]
+    index = D.index_items(list(enumerate(patterns)), 0.1)
+    for step in (1 << 20, 50):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(D, "STEP", step)
+            for t, leaks in zip(texts, D.leaks_in(texts, index)):
+                found = {x["item_id"]: x["edits"] for x in leaks}
+                least = {i: edits(p, t) for i, p in enumerate(patterns)}
+                assert found == {i: e for i, e in least.items() if e <= len(patterns[i]) // 10}
+
+
 def test_code_points():
     text = "É a-b, ñ!"
     assert D.code_points(text).tolist() == [0, 0, 2, 4, 7, 7] and len(D.compared(text)) == 6
