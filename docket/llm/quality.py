@@ -5,20 +5,22 @@ before the shuffle, so that a host with a third of all rows is a few partial row
 a row per host, which is broadcast if it has at most 100,000 rows and otherwise joined by a shuffle with skewed keys
 split.
 
-Each rule's failures are counted by host. For each rule, a beta prior is fitted to all hosts' rates by moments: its mean,
-and the variance between hosts that chance within hosts doesn't explain. A host's rate is shrunk towards the mean by the
-prior's strength. A host is rejected when the shrunk rate of some rule is more than `deviations` standard deviations of
-the prior above its mean. Where hosts differ by no more than chance, the prior is as strong as all documents, all rates
-shrink to its mean, and no host falls.
+Each rule's failures are counted by host. For each rule, a beta prior is fitted by moments to the rates of the hosts that
+don't stand out: its mean, and the variance between hosts that chance within hosts doesn't explain. A host stands out if
+it fails far more often than the median host, the scale being taken from the median down to the lower quartile, so that bad
+hosts, up to nearly half of all, neither raise the mean nor hide each other. Median and quartile come from counts of hosts
+in 1,001 bins of rates. A host's rate is shrunk towards the mean by the prior's strength, which is at most that of an average
+host. A host is rejected when the shrunk rate of some rule is more than `deviations` standard deviations of the prior
+above its mean; so hosts that differ by chance alone fall only beyond twice as many of their own standard errors.
 
 Defined cases: a null or empty text has no words, so it fails; a null host is a host of its own; repeated rows count
-each time; one host alone is never rejected; very long texts are taken whole, in arrays of their words; an empty table
+each time; one host alone, or the worse of two, is never rejected; very long texts are taken whole, in arrays of their words; an empty table
 gives no rows. Columns named as FIGURES, base_failed, host_rate, host_verdict or kept are replaced; all others stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.llm.shared import BLANKS, free_name, small, written
@@ -26,6 +28,8 @@ from docket.llm.shared import BLANKS, free_name, small, written
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: The lower quartile of a normal distribution, in standard deviations below its median.
+NORMAL_QUARTILE = 0.6745
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The rules, each true where a document fails. The first two are the base.
 RULES = {
@@ -113,36 +117,56 @@ def figures(documents: DataFrame) -> DataFrame:
     return docs.withColumn("base_failed", F.expr(f"({RULES['few_words']}) or ({RULES['repeats']})"))
 
 
+def priors(counts: DataFrame, deviations: float) -> DataFrame:
+    """(rule, mean, strength) of `counts` (host_docs, rule, fails): the prior of each rule, by the hosts that don't stand out."""
+    rated = counts.withColumn("rate", F.col("fails") / F.col("host_docs"))
+    bins = rated.groupBy("rule", F.floor(1000 * F.sqrt("rate")).alias("bin")).agg(
+        F.count("*").alias("hosts"), F.sum("fails").alias("fails"), F.sum("host_docs").alias("host_docs")
+    )
+    rule = Window.partitionBy("rule")
+    placed = bins.withColumns({"upto": F.sum("hosts").over(rule.orderBy("bin")), "every": F.sum("hosts").over(rule)})
+    middle = placed.groupBy("rule").agg(
+        F.pow((F.min(F.expr("if(2 * upto > every, bin, null)")) + 1) / 1000, 2).alias("centre"),
+        F.pow(F.min(F.expr("if(4 * upto > every, bin, null)")) / 1000, 2).alias("quarter"),
+        (F.sum("fails") / F.sum("host_docs")).alias("pooled"),
+    )
+    usual = F.col("host_docs") * (F.col("centre") + deviations * (F.col("centre") - F.col("quarter")) / NORMAL_QUARTILE)
+    chance = deviations * F.sqrt(F.expr("host_docs * pooled * (1 - pooled)")) + deviations**2 / 3
+    fitted = (
+        rated.join(F.broadcast(middle), "rule")
+        .where(F.col("fails") <= usual + chance)
+        .groupBy("rule")
+        .agg(
+            (F.sum("fails") / F.sum("host_docs")).alias("mean"),
+            F.coalesce(F.var_samp("rate"), F.lit(0.0)).alias("spread"),
+            F.avg(1 / F.col("host_docs")).alias("noise"),
+            F.avg("host_docs").alias("size"),
+        )
+    )
+    binomial = F.col("mean") * (1 - F.col("mean"))
+    between = F.col("spread") - binomial * F.col("noise")
+    explained = F.least(F.greatest(F.try_divide(binomial, between) - 1, F.lit(1.0)), F.col("size"))
+    return fitted.select("rule", "mean", F.when(between > 0, explained).otherwise(F.col("size")).alias("strength"))
+
+
 def host_rates(scored: DataFrame, host: str = "source", deviations: float = 3.0) -> DataFrame:
     """A row per host: (host, host_docs, host_rate, host_verdict).
 
     host_rate is the greatest of the rules' shrunk rates; host_verdict names the rules that reject the host, '' if none do.
     """
     fails = [F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()]
-    hosts = scored.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"), *fails)
-
-    def moments(name: str) -> Column:
-        return F.struct(
-            (F.sum(name) / F.sum("host_docs")).alias("mean"),
-            F.coalesce(F.var_samp(F.col(name) / F.col("host_docs")), F.lit(0.0)).alias("spread"),
-        ).alias(name)
-
-    prior = hosts.agg(F.sum("host_docs").cast("double").alias("docs"), F.avg(1 / F.col("host_docs")).alias("noise"), *map(moments, RULES))
-    joined = hosts.join(F.broadcast(prior.select(F.struct("*").alias("prior"))))
+    hosts = written(scored.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"), *fails), "host-counts")
+    by_rule = F.array(*(F.struct(F.lit(name).alias("rule"), F.col(name).alias("fails")) for name in RULES))
+    prior = priors(hosts.select("host_docs", F.inline(by_rule)), deviations)
+    fitted = F.map_from_entries(F.collect_list(F.struct("rule", F.struct("mean", "strength"))))
+    joined = hosts.join(F.broadcast(prior.agg(fitted.alias("prior"))))
 
     def shrunk(name: str) -> Column:
         """(rate, bound) of one rule on the host."""
-        mean, spread = F.col(f"prior.{name}.mean"), F.col(f"prior.{name}.spread")
-        binomial = mean * (1 - mean)
-        between = spread - binomial * F.col("prior.noise")
-        fitted = F.least(F.greatest(F.try_divide(binomial, between) - 1, F.lit(1.0)), F.col("prior.docs"))
-        strength = F.when(between > 0, fitted).otherwise(F.col("prior.docs"))
-        return bound(
-            strength,
-            lambda s: F.struct(
-                ((F.col(name) + mean * s) / (F.col("host_docs") + s)).alias("rate"),
-                (mean + deviations * F.sqrt(binomial / (s + 1))).alias("bound"),
-            ),
+        mean, strength = F.col("prior")[name]["mean"], F.col("prior")[name]["strength"]
+        return F.struct(
+            ((F.col(name) + mean * strength) / (F.col("host_docs") + strength)).alias("rate"),
+            (mean + deviations * F.sqrt(mean * (1 - mean) / (strength + 1))).alias("bound"),
         )
 
     judged = joined.select("host", "host_docs", *(shrunk(name).alias(name) for name in RULES))

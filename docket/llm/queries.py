@@ -129,8 +129,17 @@ with docs as (
 ), hosts as (
   select rule, source, count(*) as n, count(*) filter (where failed) as f
   from (unpivot judged on few_words, repeats, symbols, same_lines, word_length into name rule value failed) group by rule, source
+), bins as (
+  select rule, floor(1000 * sqrt(f / n)) as bin, count(*) as hosts, sum(f) as f, sum(n) as n from hosts group by all
+), placed as (
+  select *, sum(hosts) over (partition by rule order by bin) as upto, sum(hosts) over (partition by rule) as every from bins
+), middle as (
+  select rule, pow((min(bin) filter (where 2 * upto > every) + 1) / 1000, 2) as c,
+    pow(min(bin) filter (where 4 * upto > every) / 1000, 2) as q, sum(f) / sum(n) as p from placed group by rule
 ), moments as (
-  select rule, sum(f) / sum(n) as m, coalesce(var_samp(f / n), 0) as v, avg(1 / n) as r, sum(n)::double as docs from hosts group by rule
+  select rule, sum(f) / sum(n) as m, coalesce(var_samp(f / n), 0) as v, avg(1 / n) as r, avg(n) as docs
+  from hosts join middle using (rule)
+  where f <= n * (c + 3 * (c - q) / 0.6745) + 3 * sqrt(n * p * (1 - p)) + 3 group by rule
 ), prior as (
   select rule, m, case when v - m * (1 - m) * r > 0
     then least(greatest(m * (1 - m) / (v - m * (1 - m) * r) - 1, 1), docs) else docs end as s from moments

@@ -31,19 +31,55 @@ def test_figures(spark):
 
 def rates_of(hosts):
     """Shrunk rates and bounds by host and rule, of {host: (documents, failures by rule)}."""
-    out, docs = {}, sum(n for n, _ in hosts.values())
+    out = {}
     for k in range(len(quality.RULES)):
-        rate = {h: f[k] / n for h, (n, f) in hosts.items()}
-        m = sum(f[k] for _, f in hosts.values()) / docs
-        plain = sum(rate.values()) / len(rate)
-        v = sum((x - plain) ** 2 for x in rate.values()) / max(1, len(rate) - 1)
-        between = v - m * (1 - m) * sum(1 / n for n, _ in hosts.values()) / len(hosts)
-        s = min(max(m * (1 - m) / between - 1, 1), docs) if between > 0 else docs
+        counts = [(n, f[k]) for n, f in hosts.values()]
+        bins = sorted(int(1000 * (f / n) ** 0.5) for n, f in counts)
+        centre = ((bins[len(bins) // 2] + 1) / 1000) ** 2
+        usual = centre + 3 * (centre - (bins[len(bins) // 4] / 1000) ** 2) / 0.6745
+        p = sum(f for _, f in counts) / sum(n for n, _ in counts)
+        kept = [(n, f) for n, f in counts if f <= n * usual + 3 * (n * p * (1 - p)) ** 0.5 + 3]
+        m = sum(f for _, f in kept) / sum(n for n, _ in kept)
+        plain = sum(f / n for n, f in kept) / len(kept)
+        v = sum((f / n - plain) ** 2 for n, f in kept) / max(1, len(kept) - 1)
+        between = v - m * (1 - m) * sum(1 / n for n, _ in kept) / len(kept)
+        most = sum(n for n, _ in kept) / len(kept)
+        s = min(max(m * (1 - m) / between - 1, 1), most) if between > 0 else most
         for h, (n, f) in hosts.items():
             out[h, k] = ((f[k] + m * s) / (n + s), m + 3 * (m * (1 - m) / (s + 1)) ** 0.5)
     return out
 
 
+def counted(spark, hosts):
+    """Documents as figures() leaves them, whose first rule fails as often as {host: (documents, failures)} says."""
+    none = F.lit(0).cast("long")
+    frame = spark.createDataFrame([(h, n, f) for h, (n, f) in hosts.items()], "source string, n long, f long")
+    rows = frame.select("source", F.explode(F.sequence(F.lit(1), "n")).alias("i"), "f")
+    words = F.when(F.col("i") <= F.col("f"), 5).otherwise(50).cast("long")
+    figures = {"n_words": words, "word_chars": 5 * words, "n_symbols": none, "n_dup_lines": none, "n_repeat_words": none}
+    return rows.select("source", *(c.alias(name) for name, c in figures.items()))
+
+
+def test_many_bad_hosts_hide_each_other_no_more(spark):
+    rng = random.Random(4)
+    for bad in (1, 2, 5, 9, 12):
+        hosts = {f"h{i}": (1000, sum(rng.random() < (0.9 if i < bad else 0.02) for _ in range(1000))) for i in range(30)}
+        rows = quality.host_rates(counted(spark, hosts)).where("host_verdict = 'few_words'").collect()
+        assert {r.host for r in rows} == {f"h{i}" for i in range(bad)}
+
+
+def test_hosts_of_all_sizes_and_true_spread(spark):
+    """Small hosts, a hot one and rates that truly differ: none falls but those far off."""
+    rng = random.Random(6)
+    hosts = {f"tiny{i}": (1 + i % 3, int(rng.random() < 0.1)) for i in range(300)}
+    hosts |= {f"mid{i}": (400, sum(rng.random() < p for _ in range(400))) for i in range(60) for p in [rng.betavariate(10, 90)]}
+    hosts |= {"hot": (20_000, 2_300), "bad1": (500, 400), "bad2": (9_000, 7_000)}
+    rows = quality.host_rates(counted(spark, hosts)).where("host_verdict <> ''").collect()
+    assert {r.host for r in rows} == {"bad1", "bad2"}
+    two = quality.host_rates(counted(spark, {"a": (100, 2), "b": (100, 90)}))
+    assert two.where("host_verdict <> ''").count() == 0
+
+
 def test_hosts(spark):
     good = "one two three four five six seven eight nine ten eleven"
     rows, hosts = [], {}
