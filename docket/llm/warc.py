@@ -1,8 +1,9 @@
 """WARC archives: a writer with one gzip member per record, and a reader that salvages damaged archives.
 
 Writing goes through Spark's text writer, so archives land on any store Spark can write to; reading takes them as
-binary files. One archive is one file of `records_per_archive` records at most, and is read by one task. So a record may
-have as many bytes as a task's memory holds a few times; an archive, 2 GB at most (Spark's limit of a file in a row).
+binary files. One archive is one file of `records_per_archive` records and `archive_bytes` bytes at most, and is read by
+one task; a record that is larger by itself has an archive of its own, which may have 2 GB (Spark's limit of a file in a
+row). So a record may have as many bytes as a task's memory holds a few times.
 
 Defined cases: a null payload is empty; a null or repeated `page_id` is kept (equal smallest ids are each a response;
 null ids count as the largest); payloads shorter than `revisit_from` bytes never make revisits; an empty table gives an
@@ -90,19 +91,32 @@ def gzip_member(record: bytes, level: int = 6) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-def write_archives(records: DataFrame, path: str, records_per_archive: int = 1000) -> None:
-    """Writes the rows of with_revisits() as archives of gzip members. An empty member ends each record's line."""
+def write_archives(records: DataFrame, path: str, records_per_archive: int = 1000, archive_bytes: int = 256_000_000) -> None:
+    """Writes the rows of with_revisits() as archives of gzip members. An empty member ends each record's line.
+
+    Each task numbers its volumes, a new one where the next record would exceed `archive_bytes`; a volume is a folder.
+    """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume, size = 0, 0
         for b in batches:
-            packed = [gzip_member(make_record(*r.values())) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
+            volumes, packed = [], []
+            for row in b.to_pylist():
+                member = gzip_member(make_record(*row.values()))
+                length = len(member) + len(EMPTY_MEMBER)
+                if size and size + length > archive_bytes:
+                    volume, size = volume + 1, 0
+                size += length
+                volumes.append(volume)
+                packed.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int64()), pa.array(packed, pa.binary())], ["volume", "value"])
 
     (
         records.select(F.col("page_id").cast("string"), "url", "payload", "payload_digest", F.col("refers_to").cast("string"))
-        .mapInArrow(members, "value binary")
-        .select(F.col("value").cast("string"))
-        .write.option("maxRecordsPerFile", records_per_archive)
+        .mapInArrow(members, "volume long, value binary")
+        .select("volume", F.col("value").cast("string"))
+        .write.partitionBy("volume")
+        .option("maxRecordsPerFile", records_per_archive)
         .option("encoding", "ISO-8859-1")
         .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .text(path)

@@ -57,20 +57,32 @@ def test_damaged_archives_are_logged_where_they_stay_readable(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(40)], "page_id long, url string, html string")
     path = str(tmp_path / "w")
     warc.write_archives(warc.with_revisits(pages.coalesce(1)), path, records_per_archive=10)
-    files = sorted((tmp_path / "w").glob("part*"))
+    files = sorted((tmp_path / "w").rglob("part*"))
     assert len(files) == 4
     data = bytearray(files[0].read_bytes())
     starts = [m.start() for m in re.finditer(re.escape(warc.GZIP_MAGIC), data)]
     at = next(a for a, b in zip(starts[4:], starts[5:]) if b - a > 60)
     data[at + 30] ^= 0xFF
     files[0].write_bytes(bytes(data))
-    (tmp_path / "w" / f".{files[0].name}.crc").unlink()
+    (files[0].parent / f".{files[0].name}.crc").unlink()
     records, log = warc.recover(spark, path)
     assert records.count() == 39 and [r.archive.endswith(files[0].name) for r in log.collect()] == [True]
     again = spark.read.parquet(f"{path}-quarantine").first()
     assert 0 <= again.start < again.end <= len(data) and again.gap_reason
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    sizes = [rng.randrange(10, 3_000) for _ in range(80)] + [20_000]
+    pages = spark.createDataFrame([(i, "u", rng.randbytes(n).hex()) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    warc.write_archives(warc.with_revisits(pages.coalesce(1)), str(tmp_path / "w"), archive_bytes=12_000)
+    files = [f.stat().st_size for f in (tmp_path / "w").rglob("part*")]
+    assert len(files) > 5 and sorted(files)[-2] <= 12_000 < sorted(files)[-1]
+    records, log = warc.recover(spark, str(tmp_path / "w"))
+    assert log.count() == 0
+    assert sorted((r.page_id, r.payload_bytes) for r in records.collect()) == [(i, 2 * n) for i, n in enumerate(sizes)]
+
+
 def test_long_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000)], "page_id long, url string, html string")
     warc.write_archives(warc.with_revisits(pages), str(tmp_path / "w"))
