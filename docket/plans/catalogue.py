@@ -564,6 +564,26 @@ def geocode_enrich(spark, sf_dir):
     return found.select("c_custkey", *(F.col(f"location.{c}").alias(c) for c in ("latitude", "longitude", "district", "postal_code")))
 
 
+@query(
+    """
+    with p as (select c_custkey as point_id, radians(c_custkey * 7919 % 180001 / 1000 - 90) as a, radians(c_custkey * 104729 % 360001 / 1000 - 180) as b from customer),
+    g as (select 'S' || s_suppkey as place, radians(s_suppkey * 7907 % 160001 / 1000 - 80) as c, radians(s_suppkey * 99991 % 360001 / 1000 - 180) as d from supplier),
+    away as (select point_id, place, pow(cos(a) * cos(b) - cos(c) * cos(d), 2) + pow(cos(a) * sin(b) - cos(c) * sin(d), 2) + pow(sin(a) - sin(c), 2) as far from p, g)
+    select point_id, arg_min(place, far) as place from away group by point_id
+    """
+)
+def nearest_place(spark, sf_dir):
+    """The nearest of all suppliers to each customer, at coordinates over the whole globe that come from their keys."""
+    points = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as point_id", "c_custkey * 7919 % 180001 / 1000 - 90 as lat", "c_custkey * 104729 % 360001 / 1000 - 180 as lon"
+    )
+    places = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('S', s_suppkey) as query", "s_suppkey * 7907 % 160001 / 1000 - 80 as lat",
+        "s_suppkey * 99991 % 360001 / 1000 - 180 as lon", "cast(null as string) as address",
+    )
+    return geocode.nearest(points, places).select("point_id", F.col("query").alias("place"))
+
+
 @query(
     """
     select c_custkey as user_id, n_name as role_name from customer left join nation on c_nationkey = n_nationkey

@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import date, datetime
 
@@ -112,7 +113,34 @@ def test_geocoding(spark):
     assert (got[2].latitude, got[2].postal_code) == (1.0, None)
     assert [r.query for r in geocode.lookups(rows).collect()] == ["A, S"]
     points = spark.createDataFrame([(1, 5.1, 6.1), (2, 9.0, 9.0)], "point_id long, lat double, lon double")
-    assert [(r.point_id, r.address.postcode) for r in geocode.nearest(points, gazetteer).collect()] == [(1, "9")]
+    assert [(r.point_id, r.address.postcode) for r in geocode.nearest(points, gazetteer).orderBy("point_id").collect()] == [(1, "9"), (2, "9")]
+
+
+def test_nearest_place_over_the_globe(spark):
+    rng = random.Random(9)
+    places = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(0.0, 179.9), (89.9, 10.0), (-90.0, 0.0)]
+    places += [(50 + rng.random() / 1e3, 8 + rng.random() / 1e3) for _ in range(400)] + [(10.0, 10.0), (10.0, 10.0), (None, 1.0)]
+    points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(0.0, -179.9), (88.0, -170.0), (50.0005, 8.0005)]
+    points += [(10.0, 10.0), (10.0, 10.0), (None, 1.0), (50.0, 7.0), (-50.0, -172.0), (90.0, 0.0), (-90.0, 180.0)]
+
+    def metres(a, b):
+        u, v = ([math.cos(math.radians(y)) * f(math.radians(x)) for f in (math.cos, math.sin)] + [math.sin(math.radians(y))] for y, x in (a, b))
+        return 2 * geocode.EARTH_RADIUS * math.asin(min(1, math.dist(u, v) / 2))
+
+    gazetteer = spark.createDataFrame([(f"q{i}", *p, i) for i, p in enumerate(places)], "query string, lat double, lon double, address int")
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "point_id long, lat double, lon double")
+    for level in (3, 14):
+        got = {r.point_id: r for r in geocode.nearest(asked, gazetteer, level).collect()}
+        assert len(got) == len(points)
+        for i, p in enumerate(points):
+            if p[0] is None:
+                assert got[i].query is None and got[i].metres is None
+                continue
+            least = min((metres(p, q), f"q{k}", k) for k, q in enumerate(places) if q[0] is not None)
+            assert abs(got[i].metres - least[0]) < 0.5, (p, got[i], least)
+            assert (got[i].query, got[i].address) == least[1:]
+    none = geocode.nearest(asked, gazetteer.limit(0)).collect()
+    assert len(none) == len(points) and all(r.query is None for r in none)
 
 
 def test_replies_become_records(spark):
