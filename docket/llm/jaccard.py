@@ -36,19 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docket.llm.shared import components, discarding, small, with_python_columns, written
+from docket.llm.shared import BROADCAST_BYTES, components, discarding, small, with_python_columns, written
 
 BUCKET_BITS = 17
-#: Regions of more classes than this get a pivot, those of more than LISTED so many. What is left of up to LISTED classes
-#: lists its pairs after that.
+#: Regions of more classes than this get a pivot, those of more than LISTED so many, whose Voronoi regions they fall into.
 SMALL_REGION = 3
 PIVOTS = 8
 STUCK_PIVOTS = 32
-LISTED = 512
-#: What is left at the end is listed at once, when that is this many pairs at most, each counted twice.
-LAST_PAIRS = 400_000
-#: Elements of 8 bytes that are sent to all tasks at once at most.
-BROADCAST = 200_000
+LISTED = 16
 REST = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 IS_BLANK = np.zeros(256, bool)
@@ -298,13 +293,13 @@ class Verifier:
     def joined(self, pairs: DataFrame, table: DataFrame, columns: list[str], share: float = 1.0) -> DataFrame:
         """`pairs` with the columns of `table` (id, ...), a `share` of the sets' elements, for both, as name_a and name_b.
 
-        Those of `b` are broadcast if they hold BROADCAST elements in all or fewer.
+        Those of `b` are broadcast if their elements, of 8 bytes, take BROADCAST_BYTES or less.
         """
         few = written(pairs.select(F.col("b").alias("id")).distinct(), "partners")
         held = self.classes.join(small(few), "id", "left_semi").agg(F.sum("n")).first()[0] or 0
         for side in ("a", "b"):
             own = table.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
-            if side == "b" and share * held <= BROADCAST:
+            if side == "b" and 8 * share * held <= BROADCAST_BYTES:
                 own = F.broadcast(own.join(F.broadcast(few.withColumnRenamed("id", "b")), "b", "left_semi"))
             pairs = pairs.join(own, side)
         return pairs
@@ -504,9 +499,6 @@ def class_links(verifier: Verifier) -> DataFrame | None:
         if regions.isEmpty():
             return discarding(roots, live, regions)
         ready = (F.col("size") <= SMALL_REGION) | (F.col("tested") & (F.col("size") <= LISTED))
-        left = regions.where(~ready).agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0
-        if roots is not None and left <= LAST_PAIRS:
-            ready = F.lit(True)
         few = known.join(small(regions.where(ready).select("region")), "region")
         few = written(few.select("region", "id", "n", "place", "root", "far"), "few")
         pairs = listed(few, percent, reach)

@@ -192,5 +192,5 @@ def verdicts(scored: DataFrame, host: str = "source", deviations: float = 3.0) -
     kept = scored.drop("host_rate", "host_verdict", "kept")
     name = free_name(kept, "host")
     rates = host_rates(scored, host, deviations).select(F.col("host").alias(name), "host_rate", "host_verdict")
-    joined = kept.join(small(written(rates, "hosts"), 100_000), F.col(host).eqNullSafe(F.col(name)), "left").drop(name)
+    joined = kept.join(small(written(rates, "hosts")), F.col(host).eqNullSafe(F.col(name)), "left").drop(name)
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_verdict") == ""))

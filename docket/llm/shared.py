@@ -57,12 +57,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """`df`, to be broadcast if it has few rows (of two or three numbers).
+#: Bytes of rows that are sent to every executor at most, small against the gigabytes an executor has.
+BROADCAST_BYTES = 64 << 20
 
-    Otherwise Spark joins it by a sort-merge join, in which it splits the rows of frequent keys.
+
+def row_bytes(schema: T.StructType) -> int:
+    """What a row takes in memory, about: its header and 8 bytes a column; more where a column has no fixed size."""
+    wide = {"string": 64, "binary": 32, "array": 512, "struct": 64, "map": 512}
+    return 32 + sum(wide.get(f.dataType.typeName(), 8) for f in schema)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` (of numbers, hashes and short names), to be broadcast if all its rows take BROADCAST_BYTES or less.
+
+    Otherwise Spark joins it as it sees fit by what it knows of its size.
     """
-    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+    return F.broadcast(df) if df.count() * row_bytes(df.schema) <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame) -> DataFrame:

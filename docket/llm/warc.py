@@ -52,7 +52,7 @@ def with_revisits(pages: DataFrame, revisit_from: int = 100) -> DataFrame:
         .select("digest", "first_id")
     )
     first = written(first, "repeated")
-    joined = digested.where(long_enough).join(small(first, 100_000), "digest", "left").unionByName(
+    joined = digested.where(long_enough).join(small(first), "digest", "left").unionByName(
         digested.where(~long_enough).withColumn("first_id", F.lit(None).cast(first.schema["first_id"].dataType))
     )
     return joined.select(

@@ -60,7 +60,6 @@ def corpus(seed, groups=25):
 @pytest.mark.parametrize(("words", "percent", "small"), [(4, 85, 8), (5, 80, 2), (2, 50, 3)])
 def test_against_all_pairs(spark, monkeypatch, words, percent, small):
     monkeypatch.setattr(J, "SMALL_REGION", small)
-    monkeypatch.setattr(J, "LAST_PAIRS", 0 if small < 8 else J.LAST_PAIRS)
     monkeypatch.setattr(J, "LISTED", 3 * small)
     rows = corpus(words * 100 + small)
     documents = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
