@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docket.llm import jaccard as J
 
@@ -67,6 +68,29 @@ def test_against_all_pairs(spark, monkeypatch, words, percent, small):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, words, percent)
 
 
+def test_large_regions_fall_into_voronoi_regions(spark, monkeypatch):
+    """With the operator's own constants: many copies with few or many changes make regions of more than LISTED classes."""
+    inner, seen = J.regions_within, []
+
+    def spy(stars, *more):
+        seen.append(stars.where(F.col("size") > J.LISTED).count())
+        return inner(stars, *more)
+
+    monkeypatch.setattr(J, "regions_within", spy)
+    rng, texts = random.Random(11), []
+    for changes in (1, 2, 4, 6):
+        base = [f"w{changes}x{k}" for k in range(120)]
+        for copy in range(40):
+            words = list(base)
+            for k in rng.sample(range(120), changes):
+                words[k] = f"c{copy}x{k}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 4, 85)
+    assert max(seen) > 0
+
+
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
 def test_appended_prepended_and_truncated_copies(spark, words, percent):
     rng = random.Random(words)
