@@ -2,11 +2,11 @@
 
 A page is cut into leaf blocks: stretches of text between block-level tags, each with the path of its open elements. A
 bidirectional LSTM in numpy reads a vector per block, made of hashed tokens of the tag path (tags, and words of class and
-id) and hashed words of the text, and so labels every block with the whole page as context. Blocks labelled as main
+id), hashed words of the text and how it is written (sentences, commas, capitals), and so labels every block with the whole page as context. Blocks labelled as main
 text are joined by line feeds. Pages are read by HTML's own tokenizer rules, in one pass.
 
-The model is trained here, on pages that `make_page` composes from a seed with known labels: `PAGES` pages in all,
-whatever the input. Scripts, styles and comments of the markup are no blocks.
+The model is trained here, on pages that `make_page` and, with names that say nothing, `make_plain_page` compose from a
+seed with known labels: `PAGES` pages in all, whatever the input. Scripts, styles and comments of the markup are no blocks.
 
 Defined cases: a null, empty or markup-free page gives its text as one block to the labeller; unclosed and stray tags are
 handled as browsers do for paragraphs, list items and table cells; a tag that the page's end cuts off gives nothing, and
@@ -17,7 +17,10 @@ labelled each; an empty table gives no rows; columns `text` and `n_blocks` are r
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docket.functions.markup import VOID, OpenElements, tokens
 from docket.llm.jaccard import word_hashes
-from docket.llm.shared import with_python_columns
+from docket.llm.shared import shared_folder, with_python_columns
 
 #: Fixed values of HTML: elements within a line, elements without content, elements whose content is no text.
 INLINE = frozenset(
@@ -48,10 +51,10 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 
-PATH_SIZE, WORD_SIZE, EXTRA = 192, 64, 3
+PATH_SIZE, WORD_SIZE, EXTRA = 192, 64, 7
 INPUT = PATH_SIZE + WORD_SIZE + EXTRA
 HIDDEN = 16
-PAGES, BATCH, STEPS = 1500, 16, 600
+PAGES, BATCH, STEPS = 3000, 16, 1800
 #: (tag of the innermost open element, text, share of characters in links, vector of the path)
 Block = tuple[str, str, float, np.ndarray]
 
@@ -157,7 +160,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     sign = np.where(words & np.uint64(1), 1.0, -1.0)
     bag = np.bincount(place, sign, len(blocks) * WORD_SIZE).reshape(len(blocks), WORD_SIZE)
     count = np.maximum(np.diff(first), 1)
-    x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = bag / np.sqrt(count)[:, None] / 5
+    x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.clip(bag / np.sqrt(count)[:, None] / 5, -0.5, 0.5)
+    x[:, -7:-3] = [appearance(b[1]) for b in blocks]
     x[:, -3] = np.log1p(count) / 4
     x[:, -2] = [b[2] for b in blocks]
     x[:, -1] = 1
@@ -166,6 +170,21 @@ def features(blocks: list[Block]) -> np.ndarray:
     return x
 
 
+def appearance(text: str) -> tuple[float, ...]:
+    """What a text looks like in any language: ends of sentences, commas, capitals at word starts of short texts."""
+    words = text.count(" ") + 1
+    last = text.rstrip("\"'»”’)]")[-1:]
+    signs = sum(text.count(c) for c in ".!?…。؟।")
+    commas = sum(text.count(c) for c in ",;、،")
+    capitals = sum(w[0].isupper() for w in text.split())
+    return (
+        float(last != "" and last in ".!?…。؟।:"),
+        min(1.0, signs / 3),
+        min(1.0, 5 * commas / words),
+        capitals / words if words <= 12 else 0.0,
+    )
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -308,13 +327,27 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     typical = rng.random() < 0.5
     kind_now = "main"
 
+    noise = rng.choice([0.0, 0.0, 0.0, 0.8, 1.0])
+    kinds_of_noise = ["###", "%%%", "***", " |", " /", "&", "$", "7", " -"]
+    kinds_of_noise = [pick(kinds_of_noise)] if noise == 1 else kinds_of_noise
+
     def word() -> str:
         if typical and rng.random() < 0.4:
             return pick(TYPICAL[kind_now])
-        return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9)))
+        signs = pick(kinds_of_noise) if noise and rng.random() < noise else ""
+        return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9))) + signs
+
+    sentences = rng.choice([0.0, 0.3, 0.9])  # written alike in all parts, so that names tell them apart
 
     def prose(low: int, high: int) -> str:
-        return " ".join(word() for _ in range(int(rng.integers(low, high))))
+        words = [word() for _ in range(int(rng.integers(low, high)))]
+        if high > 20 and rng.random() < 0.05:  # one word again and again
+            return " ".join([words[0].capitalize()] * len(words) * int(rng.integers(1, 5)))
+        if rng.random() < sentences:
+            ends = [rng.random() < 0.1 for _ in words[1:]] + [rng.random() < 0.9]
+            words = [w.capitalize() if not i or ends[i - 1] else w for i, w in enumerate(words)]
+            words = [w + (pick("... ... ... ! ?")[:1] if end else "," * (rng.random() < 0.06)) for w, end in zip(words, ends)]
+        return " ".join(words)
 
     def opened(tags: str, names: str, always: bool) -> tuple[str, str]:
         tag = pick(tags)
@@ -322,7 +355,7 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         if plain and not always and rng.random() < 0.6:
             return f"<{tag}>", f"</{tag}>"
         kind = pick("class id class")
-        extra = " " + prose(1, 2) if rng.random() < 0.3 else ""
+        extra = " " + word().strip(" |/") if rng.random() < 0.3 else ""
         return f'<{tag} {kind}="{pick(names)}{extra}">', f"</{tag}>"
 
     def part(kind: str) -> str:
@@ -382,26 +415,141 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     return f"<html><head><title>{prose(1, 9)}</title></head><body>{body}</body></html>", main
 
 
+def make_plain_page(rng: np.random.Generator) -> tuple[str, list[str]]:
+    """A composed page whose names say nothing, and its main blocks.
+
+    Elements are plain (divisions, tables, paragraphs), without names or with invented ones. What tells main text is how it
+    is written (sentences, or a heading or list among them) and where it stands: other parts are links, labels and remarks.
+    """
+    pick = lambda values: values[int(rng.integers(len(values)))]
+    chance = lambda p: rng.random() < p
+    letters = "aaaabcdeeeeefghiiijklmnnooooprrsstttuuvwyzäéö" if chance(0.5) else "abcdefghijklmnopqrstuvwxyz"
+    named = chance(0.5)
+    layout = pick(["div", "div", "table", "bare"])
+    seldom = pick([0.0, 0.1, 0.3])
+    short = chance(0.5)
+
+    def word() -> str:
+        if chance(seldom):
+            return pick(TYPICAL["main"].split())
+        return "".join(pick(letters) for _ in range(int(rng.integers(1, 10))))
+
+    def label(most: int = 4) -> str:
+        words = [word() for _ in range(int(rng.integers(1, most + 1)))]
+        if chance(0.15):
+            words = [pick(TYPICAL[pick([k for k in TYPICAL if k != "main"])].split())]
+        every = chance(0.4)
+        return " ".join(w.capitalize() if every or not i else w for i, w in enumerate(words))
+
+    def sentence(low: int = 3, high: int = 25) -> str:
+        words = [word() for _ in range(int(rng.integers(low, high)))]
+        words = [w + "," if i + 1 < len(words) and chance(0.08) else w.capitalize() if chance(0.05) else w for i, w in enumerate(words)]
+        return " ".join([words[0].capitalize(), *words[1:]]) + pick("......?!")
+
+    def opened(*tags: str) -> tuple[str, str]:
+        tag = pick(tags)
+        said = f' {pick(["class", "id"])}="{word()}"' if named and chance(0.7) else ""
+        return f"<{tag}{said}>", f"</{tag}>"
+
+    def around(text: str, *tags: str) -> str:
+        start, end = opened(*tags)
+        return start + text + end
+
+    def links(n: int) -> str:
+        return "".join(pick(["", " ", " | "]) * (i > 0) + f'<a href="/{word()}">{label(3)}</a>' for i in range(n))
+
+    def small_part(text: str) -> str:
+        return text if layout == "table" and chance(0.6) else around(text, "div", "div", "p")
+
+    def menu() -> str:
+        n = int(rng.integers(1, 8))
+        kind = rng.integers(4)
+        if kind == 0:
+            return around("".join(f"<li><a href=/>{label(3)}</a></li>" for _ in range(n)), "ul", "ol")
+        if kind == 1:
+            return around("".join(around(label(2), "div", "li") for _ in range(n)), "div")
+        return small_part(links(n) if kind == 2 else " ".join(label(1) for _ in range(n)))
+
+    def footer() -> str:
+        year = str(int(rng.integers(1995, 2030)))
+        texts = [label(3), f"© {year} {label(3)}", f"{label(2)} | {label(2)}", f"{label(1)} {year}", links(int(rng.integers(1, 6)))]
+        return around("".join(around(pick(texts), "div", "p") for _ in range(int(rng.integers(1, 4)))) if chance(0.4) else pick(texts), "div", "p")
+
+    def paragraph() -> str:
+        return " ".join(sentence(3, 12 if short else 25) for _ in range(1 if short else int(rng.integers(1, 6))))
+
+    main: list[str] = []
+
+    def said(text: str) -> str:
+        main.append(text)
+        return text
+
+    def body() -> str:
+        out = []
+        if chance(0.6):
+            out.append(f"<{(h := pick(['h1', 'h1', 'h2']))}>{said(label(8))}</{h}>")
+        many = pick([1, 2, 3]) if short else pick([1, 2, 3, int(rng.integers(1, 14)), int(rng.integers(1, 14))])
+        if many == 1 and not out and chance(0.6):
+            return said(paragraph())
+        tags = pick([("p",), ("p",), ("p", "blockquote"), ("div",), ("div",)])
+        for i in range(many):
+            if i and chance(0.12):
+                out.append(f"<{(h := pick(['h2', 'h3', 'h4']))}>{said(label(6))}</{h}>")
+            text = paragraph()
+            linked = f"{text} <a href=/>{label(2)}</a>." if chance(0.1) else text
+            out.append(around(linked, *tags))
+            said(re.sub("<[^>]*>", "", linked))
+            if i and chance(0.08):
+                out.append("<ul>" + "".join(f"<li>{said(pick([label(5), sentence(2, 12)]))}</li>" for _ in range(int(rng.integers(2, 5)))) + "</ul>")
+        return "".join(out)
+
+    before = [part for part, p in ((small_part(label(4)), 0.3), (menu(), 0.5)) if chance(p)]
+    after = [part for part, p in ((menu(), 0.3), (footer(), 0.6)) if chance(p)]
+    if chance(0.15):
+        before = after = []
+    inner = body()
+    if layout == "table":
+        cell = lambda text: f"<td>{text}</td>"
+        if chance(0.5):
+            page = "<table>" + "".join(f"<tr>{cell(x)}</tr>" for x in (*before, inner, *after)) + "</table>"
+        else:
+            page = f"<table><tr>{''.join(map(cell, (*before, inner)))}</tr>" + "".join(f"<tr>{cell(x)}</tr>" for x in after) + "</table>"
+    else:
+        middle = inner if layout == "bare" else around(inner, "div", "div", "section")
+        page = "".join((*before, middle, *after))
+        if chance(0.2):
+            page = around(page, "div")
+    if chance(0.3):
+        return page, main
+    return f"<html><head>{f'<title>{label(8)}</title>' if chance(0.8) else ''}</head><body>{page}</body></html>", main
+
+
 def trained(pages: int = PAGES, steps: int = STEPS) -> Labeller:
     rng = np.random.default_rng(7)
     samples = []
-    for _ in range(pages):
-        page, main = make_page(rng)
+    for k in range(pages):
+        page, main = make_plain_page(rng) if k % 2 else make_page(rng)
         blocks, at = blocks_of(page), 0
         y = np.zeros(len(blocks), np.float32)
-        for k, b in enumerate(blocks):
+        for i, b in enumerate(blocks):
             if at < len(main) and b[1] == main[at]:
-                y[k], at = 1, at + 1
+                y[i], at = 1, at + 1
         samples.append((features(blocks), y))
     return Labeller().train(samples, steps)
 
 
-#: Labellers that this process has trained, by the application that did.
+#: Labellers that this process has, by the application that trained or read them.
 FITTED: dict[str, Labeller] = {}
 
 
+def stored_weights(spark: SparkSession) -> str:
+    """The folder of the weights that this code trains: the seeds are fixed, so they change with the code alone."""
+    code = hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:16]
+    return f"{shared_folder(spark)}/labeller-{code}"
+
+
 def fitted(spark: SparkSession) -> Labeller:
-    """The trained labeller. One task trains it, on composed pages alone, and sends back its weights; once a session."""
+    """The trained labeller. One task trains it, on composed pages alone; its weights are kept in the shared folder."""
     name = spark.sparkContext.applicationId
     if name in FITTED:
         return FITTED[name]
@@ -411,8 +559,12 @@ def fitted(spark: SparkSession) -> Labeller:
             for k, a in enumerate(trained().p):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([a.tobytes()])], ["k", "weights"])
 
-    labeller = Labeller()
-    for r in spark.range(1).coalesce(1).mapInArrow(run, "k long, weights binary").collect():
+    labeller, folder = Labeller(), stored_weights(spark)
+    done = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f"{folder}/_SUCCESS"))
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        weights = spark.range(1).coalesce(1).mapInArrow(run, "k long, weights binary")
+        weights.write.mode("overwrite").parquet(folder)
+    for r in spark.read.parquet(folder).collect():
         labeller.p[r.k] = np.frombuffer(r.weights, np.float32).reshape(labeller.p[r.k].shape)
     FITTED[name] = labeller
     return labeller

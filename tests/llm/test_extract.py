@@ -134,10 +134,10 @@ def test_gradients_are_those_of_the_loss():
     for k, g in enumerate(labeller.gradients(x, mask, y)):
         direction = rng.standard_normal(g.shape).astype(np.float32)
         old = labeller.p[k]
-        labeller.p[k] = old + 1e-2 * direction
+        labeller.p[k] = old + 1e-3 * direction
         up = loss()
-        labeller.p[k] = old - 1e-2 * direction
-        slope = (up - loss()) / 2e-2
+        labeller.p[k] = old - 1e-3 * direction
+        slope = (up - loss()) / 2e-3
         labeller.p[k] = old
         assert abs(slope - float((g * direction).sum())) < 2e-2 * max(1, abs(slope))
 
@@ -162,6 +162,47 @@ def test_held_out_pages(labeller):
     assert right / total > 0.985
 
 
+def test_held_out_plain_pages(labeller):
+    rng, right, total = np.random.default_rng(321), 0, 0
+    for _ in range(200):
+        page, main = X.make_plain_page(rng)
+        blocks = X.blocks_of(page)
+        marks = labeller.main_blocks([X.features(blocks)])[0]
+        want = set(main)
+        right += sum((b[1] in want) == m for b, m in zip(blocks, marks))
+        total += len(blocks)
+    assert right / total > 0.985
+
+
+FIRST, SECOND = "The council met on Monday, and it decided to close the bridge.", "It will be opened again in May."
+HAND_MADE = [
+    ('<body><div id="kopf">Startseite Nachrichten</div><div id="inhalt"><p>Der erste Absatz handelt von der Stadt.</p>'
+     '<p>Der zweite Absatz sagt, was geschah.</p></div><div id="fuss">Impressum</div></body>',
+     "Der erste Absatz handelt von der Stadt.\nDer zweite Absatz sagt, was geschah."),
+    ('<div id="inhalt"><p>Der Artikel ist hier.</p></div><div id="fuss">Impressum</div>', "Der Artikel ist hier."),
+    ("<p>The first one.</p><p>The second one.</p>", "The first one.\nThe second one."),
+    (f"<div>{FIRST}</div><div>{SECOND}</div>", f"{FIRST}\n{SECOND}"),
+    (f"<body><div><div>Home News Sport</div><div>{FIRST}</div><div>{SECOND}</div><div>© 2020 The Paper</div></div></body>", f"{FIRST}\n{SECOND}"),
+    (f"<table><tr><td>Home News</td><td>{FIRST} {SECOND}</td></tr></table>", f"{FIRST} {SECOND}"),
+    (f"<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td><td><p>{FIRST}</p><p>{SECOND}</p></td></tr><tr><td>Contact</td></tr></table>", f"{FIRST}\n{SECOND}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), HAND_MADE)
+def test_pages_without_known_names(labeller, page, want):
+    assert X.main_texts([page], labeller)[0][0] == want
+
+
+def test_weights_are_trained_once(spark, monkeypatch):
+    monkeypatch.setattr(X, "trained", lambda: X.Labeller(5))
+    monkeypatch.setattr(X, "stored_weights", lambda spark, folder=X.stored_weights(spark) + "-test": folder)
+    for _ in range(2):
+        monkeypatch.setattr(X, "FITTED", {})
+        got = X.fitted(spark)
+        monkeypatch.setattr(X, "trained", lambda: X.Labeller(6))
+        assert all((a == b).all() for a, b in zip(got.p, X.Labeller(5).p))
+
+
 def test_extract(spark, labeller):
     rows = [(1, PAGE, 3), (2, None, 3), (3, "", 3), (1, PAGE, 3), (4, "<article>" + "<p>word &amp; word</p>" * 3000 + "</article>", 3)]
     out = X.extract(spark.createDataFrame(rows, "page_id long, html string, text int"), labeller).collect()
