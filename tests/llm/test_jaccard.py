@@ -69,7 +69,8 @@ def test_against_all_pairs(spark, monkeypatch, words, percent, small):
 
 
 def test_large_regions_fall_into_voronoi_regions(spark, monkeypatch):
-    """With the operator's own constants: many copies with few or many changes make regions of more than LISTED classes."""
+    """Many copies with few or many changes make regions of more than LISTED classes."""
+    monkeypatch.setattr(J, "LISTED", 16)
     inner, seen = J.regions_within, []
 
     def spy(stars, *more):
