@@ -11,7 +11,8 @@ distances of all documents to them measured; links join components, so a group o
 component after that, and its pairs are never listed. Large regions then fall into the Voronoi regions of their pivots,
 to which boundary documents are replicated by triangle-inequality windows (`regions_within`), and the next round does the
 same in these. Small regions list their pairs across components, less those that a window excludes: |d(x, p) - d(y, p)|
-beyond the threshold's distance, p a pivot. Each round takes its pivots out of their region, so the recursion ends; no
+beyond the threshold's distance, p a pivot. Neither lists pairs whose sketches differ more than linked sets can
+(`differ_too_much`): passages that texts share by chance make pairs that grow with the square of the texts. Each round takes its pivots out of their region, so the recursion ends; no
 limit is set.
 
 Documents with equal sets are one class from the start; sets are taken as equal by 128-bit hashes. Elements are 64-bit
@@ -45,6 +46,8 @@ SMALL_REGION = 3
 PIVOTS = 8
 STUCK_PIVOTS = 32
 LISTED = 512
+#: A sketch is the parity of how many elements end in each of so many bits, in words of 64.
+SKETCH = [f"sketch_{k}" for k in range(8)]
 REST = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 IS_BLANK = np.zeros(256, bool)
@@ -168,8 +171,26 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
 
+def sketches(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The columns SKETCH of the sets."""
+    bits = 64 * len(SKETCH)
+    odd = [np.bincount(s & (bits - 1), minlength=bits) & 1 for s in sets]
+    packed = np.packbits(np.array(odd, np.uint8).reshape(len(sets), bits), axis=1).view(np.int64)
+    return [pa.array(packed[:, k]) for k in range(len(SKETCH))]
+
+
+def differ_too_much(n: Column, m: Column, one: list[Column], other: list[Column], percent: int) -> Column:
+    """Whether sets of n and m elements can't be linked, as their sketches `one` and `other` differ.
+
+    An element that only one of them holds changes one bit, so no more bits differ than there are such elements. Linked
+    sets have (n + m) (1 - t) / (1 + t) of these at most.
+    """
+    bits = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one, other)), F.lit(0))
+    return (100 + percent) * bits > (100 - percent) * (n + m)
+
+
 def describe(documents: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, n, class, keys): set size, a hash of the set (null if empty), the elements whose regions it goes to."""
+    """(doc_id, n, class, keys, SKETCH): set size, a hash of the set (null if empty), the elements whose regions it goes to."""
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +204,14 @@ def describe(documents: DataFrame, words: int, percent: int, ranks: np.ndarray)
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([class_of(s) for s in sets], pa.binary()),
                         lists([s[: prefix_size(len(s), percent)] for s in sets]),
+                        *sketches(sets),
                     ],
-                    ["doc_id", "n", "class", "keys"],
+                    ["doc_id", "n", "class", "keys", *SKETCH],
                 )
 
     plain = documents.select(F.col("doc_id").cast("long"), "text")
-    return plain.mapInArrow(run, "doc_id long, n long, class binary, keys array<long>")
+    marks = "".join(f", {c} long" for c in SKETCH)
+    return plain.mapInArrow(run, "doc_id long, n long, class binary, keys array<long>" + marks)
 
 
 def full_sets(documents: DataFrame, words: int, ranks: np.ndarray) -> DataFrame:
@@ -214,7 +237,7 @@ def class_of(elements: np.ndarray) -> bytes | None:
 
 
 def distinct_classes(described: DataFrame) -> DataFrame:
-    """A row per set: (id, class, doc_id, n, keys, again): a number, its smallest doc_id, whether several rows have it."""
+    """A row per set: (id, class, doc_id, n, keys, SKETCH, again): a number, its smallest doc_id, whether several rows have it."""
     whole = described.where("class is not null and doc_id is not null")
     counted = whole.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     repeated = written(counted.where("copies > 1").select("class", "first"), "repeated")
@@ -294,7 +317,8 @@ class Verifier:
     def joined(self, pairs: DataFrame, table: DataFrame, columns: list[str], share: float = 1.0) -> DataFrame:
         """`pairs` with the columns of `table` (id, ...), a `share` of the sets' elements, for both, as name_a and name_b.
 
-        Those of `b` are broadcast if their elements, of 8 bytes, take BROADCAST_BYTES or less.
+        Sets are many times as wide as pairs, so `pairs`, which must be written, go to the sets of `a` if they are small. The
+        sets of `b` are broadcast if their elements, of 8 bytes, take BROADCAST_BYTES or less.
         """
         few = written(pairs.select(F.col("b").alias("id")).distinct(), "partners")
         held = self.classes.join(small(few), "id", "left_semi").agg(F.sum("n")).first()[0] or 0
@@ -302,7 +326,7 @@ class Verifier:
             own = table.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
             if side == "b" and 8 * share * held <= BROADCAST_BYTES:
                 own = F.broadcast(own.join(F.broadcast(few.withColumnRenamed("id", "b")), "b", "left_semi"))
-            pairs = pairs.join(own, side)
+            pairs = own.join(small(pairs), side) if side == "a" else pairs.join(own, side)
         return pairs
 
 
@@ -340,16 +364,27 @@ def possible(n: Column, place: Column, m: Column, other: Column, percent: int) -
 
 
 def listed(few: DataFrame, percent: int, reach: float) -> DataFrame:
-    """(a, b): pairs across components within small regions, less those that sizes or the triangle inequality exclude."""
+    """(a, b): pairs across components within small regions, less those that sizes, sketches or the triangle inequality exclude."""
     x, y = few.alias("x"), few.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     window = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
     sizes = possible(n, F.col("x.place"), m, F.col("y.place"), percent)
     across = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & across & sizes & window)
+    one, other = ([F.col(f"{side}.{c}") for c in SKETCH] for side in "xy")
+    alike = ~differ_too_much(n, m, one, other, percent)
+    pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & across & sizes & window & alike)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The `pairs` (a, b) that their `marks` (id, n, SKETCH) don't exclude."""
+    for side in ("a", "b"):
+        own = marks.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *SKETCH)))
+        pairs = pairs.join(small(own), side)
+    one, other = ([F.col(f"{c}_{side}") for c in SKETCH] for side in "ab")
+    return pairs.where(~differ_too_much(F.col("n_a"), F.col("n_b"), one, other, percent)).select("a", "b")
+
+
 def with_pivots(many: DataFrame, percent: int) -> DataFrame:
     """A row for each class and pivot of its region; pivots: the most central class, in large regions others by hash too.
 
@@ -493,15 +528,17 @@ def class_links(verifier: Verifier) -> DataFrame | None:
     held = written(live.groupBy("id").agg(F.count("*").alias("held")), "held")
     share = (1 - F.col("held") / F.col("n")).alias("rank")
     ranked = live.join(small(held), "id").select("region", "after", "id", "n", "place", share, "far", "stuck", "tested")
+    marks = written(verifier.classes.join(small(held.select("id")), "id", "left_semi").select("id", "n", *SKETCH), "marks")
     live, roots = discarding(written(ranked, "live"), live, held), None
     while True:
         known = with_roots(live, roots)
         regions = unsettled(known)
         if regions.isEmpty():
-            return discarding(roots, live, regions)
+            return discarding(roots, live, regions, marks)
         ready = (F.col("size") <= SMALL_REGION) | (F.col("tested") & (F.col("size") <= LISTED))
         few = known.join(small(regions.where(ready).select("region")), "region")
-        few = written(few.select("region", "id", "n", "place", "root", "far"), "few")
+        few = few.select("region", "id", "n", "place", "root", "far").join(small(marks.drop("n")), "id")
+        few = written(few, "few")
         pairs = listed(few, percent, reach)
         others = regions.where(~ready).select("region", "size")
         more = not others.isEmpty()
@@ -509,7 +546,8 @@ def class_links(verifier: Verifier) -> DataFrame | None:
             stars = with_pivots(known.join(small(others), "region"), percent)
             star = stars.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "size", "maybe").where("a <> b")
             whole = star.where(F.col("size") > LISTED).select("a", "b").distinct()
-            pairs = pairs.unionByName(star.where((F.col("size") <= LISTED) & F.col("maybe")).select("a", "b")).distinct()
+            tried = star.where((F.col("size") <= LISTED) & F.col("maybe")).select("a", "b").distinct()
+            pairs = pairs.unionByName(alike(tried, marks, percent)).distinct()
         close = verifier.close(pairs)
         tests = written(close.unionByName(whole).distinct() if more else close, "tests")
         verifier.load(tests.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -519,7 +557,7 @@ def class_links(verifier: Verifier) -> DataFrame | None:
             roots = merged(roots, links)
         discarding(None, regions, few, close, tests)
         if not more:
-            return discarding(roots, live, distances)
+            return discarding(roots, live, distances, marks)
         live = discarding(regions_within(stars, distances, roots, verifier, reach), live, stars, distances)
 
 
@@ -544,8 +582,8 @@ def grouped(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         )
     first = found.groupBy("root").agg(F.min("doc_id").alias("first"))
     several = written(found.select("class", "root").join(first, "root"), "several")
-    discarding(None, *verifier.parts)
-    out = described.drop("keys").join(small(several), "class", "left").select(
+    discarding(None, classes, *verifier.parts)
+    out = described.drop("keys", *SKETCH).join(small(several), "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"),

@@ -92,6 +92,45 @@ def test_large_regions_fall_into_voronoi_regions(spark, monkeypatch):
     assert max(seen) > 0
 
 
+def test_chance_pairs_are_not_compared(spark, monkeypatch):
+    """Texts of shared passages meet in many regions of two or three; their sketches tell that they aren't linked."""
+    inner, seen = J.Verifier.close, []
+
+    def spy(self, pairs):
+        seen.append(pairs.count())
+        return inner(self, pairs)
+
+    monkeypatch.setattr(J.Verifier, "close", spy)
+    rng = random.Random(3)
+    passages = [[f"p{k}w{i}" for i in range(12)] for k in range(30)]
+    texts = [" ".join(w for k in rng.sample(range(30), 8) for w in passages[k]) for _ in range(120)]
+    texts += [f"{t} more" for t in texts[:5]]
+    rows = list(enumerate(texts))
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    want = brute(rows, 4, 85)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert len({c for _, _, c in want}) == 120
+    assert sum(seen) <= 10
+
+
+def test_sets_are_not_shuffled_for_few_pairs(spark):
+    """Whatever Spark's own threshold, few pairs go to the sets, not the sets to the pairs."""
+    documents = spark.createDataFrame([(k, f"a b c d e f {k} g h i j k l") for k in range(40)], "doc_id long, text string")
+    ranks = J.rank_buckets(J.bucket_counts(documents, 4))
+    classes = J.distinct_classes(J.describe(documents, 4, 85, ranks))
+    verifier = J.Verifier(documents, classes, 4, 85, ranks)
+    ids = sorted(r.id for r in classes.select("id").collect())
+    pairs = J.written(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), "pairs")
+    verifier.load(classes.select("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = verifier.joined(pairs, verifier.sets, ["elements"])
+        assert joined.count() == 39
+        assert "hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
 def test_appended_prepended_and_truncated_copies(spark, words, percent):
     rng = random.Random(words)
