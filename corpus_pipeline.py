@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docket.llm import decontaminate, jaccard, quality, secrets, sentencepiece_bpe
 from docket.llm.queries import table, tokenizer_file
-from docket.llm.shared import free_name, written
+from docket.llm.shared import discarding, free_name, written
 
 
 def shielded(docs: DataFrame, *needed: str) -> DataFrame:
@@ -75,7 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Of the tables between stages, only the one that it reads stays."""
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = discarding(written(stage(spark, docs, sf_dir), name.replace(" ", "-")), *done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

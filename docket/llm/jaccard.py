@@ -377,10 +377,13 @@ def listed(few: DataFrame, percent: int, reach: float) -> DataFrame:
 
 
 def alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The `pairs` (a, b) that their `marks` (id, n, SKETCH) don't exclude."""
+    """The `pairs` (a, b) that their `marks` (id, n, SKETCH) don't exclude.
+
+    Marks are wider than pairs and needed in every round: broadcasts of them would pile up in the executors' memory.
+    """
     for side in ("a", "b"):
         own = marks.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *SKETCH)))
-        pairs = pairs.join(small(own), side)
+        pairs = pairs.join(own, side)
     one, other = ([F.col(f"{c}_{side}") for c in SKETCH] for side in "ab")
     return pairs.where(~differ_too_much(F.col("n_a"), F.col("n_b"), one, other, percent)).select("a", "b")
 
@@ -537,7 +540,7 @@ def class_links(verifier: Verifier) -> DataFrame | None:
             return discarding(roots, live, regions, marks)
         ready = (F.col("size") <= SMALL_REGION) | (F.col("tested") & (F.col("size") <= LISTED))
         few = known.join(small(regions.where(ready).select("region")), "region")
-        few = few.select("region", "id", "n", "place", "root", "far").join(small(marks.drop("n")), "id")
+        few = few.select("region", "id", "n", "place", "root", "far").join(marks.drop("n"), "id")
         few = written(few, "few")
         pairs = listed(few, percent, reach)
         others = regions.where(~ready).select("region", "size")
@@ -566,8 +569,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     return grouped(documents, words, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
-def grouped(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, np.ndarray]:
-    """near_duplicates() with class and root, a number for each component of several rows; and the ranks of the buckets."""
+def grouped(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, np.ndarray, list[DataFrame]]:
+    """near_duplicates() with class and root, a number for each component of several rows; the ranks of the buckets; what it reads."""
     ranks = rank_buckets(bucket_counts(documents, words))
     described = written(describe(documents, words, percent, ranks), "described")
     classes = distinct_classes(described)
@@ -590,7 +593,7 @@ def grouped(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         "class",
         F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"),
     )
-    return out, ranks
+    return out, ranks, [described, several]
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -599,12 +602,13 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     Rows with empty sets or null ids all stay. Rows of one id are judged each by its own text; where several of a
     component have the smallest id, the smallest class stays, and of its rows one with the smallest text.
     """
-    found, ranks = grouped(documents, words, percent)
-    groups = written(found, "groups")
+    found, ranks, read = grouped(documents, words, percent)
+    groups = discarding(written(found, "groups"), *read)
     counted = groups.where("doc_id is not null").groupBy("doc_id").count()
     repeated = written(counted.where("count > 1").select("doc_id"), "repeated")
     dropped = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     if repeated.isEmpty():
+        discarding(None, groups, repeated)
         return documents.join(small(dropped), "doc_id", "left_anti").select(*documents.columns)
     once = documents.join(small(repeated), "doc_id", "left_anti").join(small(dropped), "doc_id", "left_anti")
     shared = documents.sparkSession.sparkContext.broadcast(ranks)

@@ -1,5 +1,6 @@
 """The pipeline against brute-force versions of its stages."""
 
+import pathlib
 import random
 
 import public_tokenizers
@@ -13,6 +14,7 @@ from tests.llm.test_secrets import brute as spans
 import corpus_pipeline
 from pyspark.sql import functions as F
 from docket.llm import decontaminate as D
+from docket.llm.shared import shared_folder
 
 
 def corpus():
@@ -76,6 +78,20 @@ def test_pipeline(spark, tmp_path):
     assert all(r.round_trip for r in got.values())
 
 
+def test_tables_that_are_done_are_deleted(spark, tmp_path):
+    """Texts stay on disk twice at most: as the quality rules write them, and as the last stage reads them; no sets or classes."""
+    documents, items = corpus()
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(documents, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert {"quality", "secret-scan"} <= left
+    assert not left & {"quality-rules", "near-duplicates", "decontamination", "described", "classes", "several", "groups", "sets"}
+
+
 CLASHES = (
     "kept n_words word_chars base_failed host_rate host_verdict host counted class root id row again component_id leaks before"
     " spans n_tokens ids decoded round_trip own_0 own_1 _doc prior key region"
